@@ -1,0 +1,26 @@
+"""The analyses. Each takes lazy DataFrames plus column names and returns a
+lazy DataFrame; the only actions are the count/sample of the bucketed
+windows (``windows.plan_buckets``) and their checkpoint."""
+
+from basketry.operators.activity import active_counts, dau_wau_mau  # noqa: F401
+from basketry.operators.cohort import cohort_retention  # noqa: F401
+from basketry.operators.funnel import DEFAULT_STEPS, conversion_funnel, step_counts  # noqa: F401
+from basketry.operators.ranking import customer_ranking, customer_spend, rank_customers  # noqa: F401
+from basketry.operators.reshape import (  # noqa: F401
+    pivot_cohort,
+    pivot_revenue,
+    quartile_profile,
+    top_k_per_group,
+    value_counts,
+)
+from basketry.operators.revenue import monthly_category, revenue_breakdown  # noqa: F401
+from basketry.operators.rfm import rfm_raw, rfm_scores, rfm_segment, rfm_segmentation  # noqa: F401
+from basketry.operators.summary import executive_summary, summary_dict  # noqa: F401
+from basketry.operators.whatif import (  # noqa: F401
+    DEFAULT_SCENARIOS,
+    Scenario,
+    funnel_baseline,
+    simulate_kpis,
+    simulate_stages,
+)
+from basketry.operators.windows import Ordering, global_windows, ntile, percent_rank  # noqa: F401

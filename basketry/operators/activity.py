@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.exprs import pct, require_columns, to_day, trunc_month, trunc_week
@@ -32,18 +32,29 @@ def dau_wau_mau(orders: DataFrame, *, user_col: str = "user_id", date_col: str =
     """day, dau, wau, mau, dau_over_wau for every day with a completed order.
 
     WAU/MAU are the distinct buyers of the day's calendar week (Monday
-    start) and month, repeated on each of its days. The week and month
-    tables have one row per period and are joined on the truncated day;
-    AQE broadcasts them.
+    start) and month, repeated on each of its days. The (grain, period)
+    table has one row per day, week and month of the calendar span, so it
+    is small whatever the order volume; the week and month values are
+    attached to the day rows with windows partitioned by week and by month
+    over that table (a filter on the grain before them would be pushed
+    below the aggregate and make Spark scan the orders three times).
+    A NULL day matches no week or month.
     """
     counts = active_counts(orders, user_col=user_col, date_col=date_col,
                            status_col=status_col, completed=completed)
-    days = counts.where(F.col("grain") == "day").select(F.col("period").alias("day"), F.col("users").alias("dau"))
-    weeks = counts.where(F.col("grain") == "week").select(F.col("period").alias("_w"), F.col("users").alias("wau"))
-    months = counts.where(F.col("grain") == "month").select(F.col("period").alias("_m"), F.col("users").alias("mau"))
-    out = (days.join(weeks, trunc_week("day") == F.col("_w"), "left")
-           .join(months, trunc_month("day") == F.col("_m"), "left")
-           .select("day", "dau", "wau", "mau", pct("dau", F.nullif(F.col("wau"), F.lit(0)), 1).alias("dau_over_wau")))
+    g, p = F.col("grain"), F.col("period")
+    keyed = counts.withColumns({
+        "_wk": F.when(g == "day", trunc_week(p)).when(g == "week", p),
+        "_mo": F.when(g == "day", trunc_month(p)).when(g == "month", p),
+    })
+    by_week = Window.partitionBy("_wk")
+    by_month = Window.partitionBy("_mo")
+    filled = keyed.select(
+        "grain", F.col("period").alias("day"), F.col("users").alias("dau"),
+        F.max(F.when((g == "week") & p.isNotNull(), F.col("users"))).over(by_week).alias("wau"),
+        F.max(F.when((g == "month") & p.isNotNull(), F.col("users"))).over(by_month).alias("mau"))
+    out = filled.where(F.col("grain") == "day").select(
+        "day", "dau", "wau", "mau", pct("dau", F.nullif(F.col("wau"), F.lit(0)), 1).alias("dau_over_wau"))
     if sort:
         out = out.orderBy(F.col("day").asc_nulls_last())
     return out

@@ -121,7 +121,7 @@ def _row_tuple(v):
 
 
 def plan_buckets(df: DataFrame, orderings: dict[str, Ordering], *, buckets: int | None = None,
-                 rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
+                 rows_per_bucket: int | None = None, max_buckets: int | None = None,
                  seed: int = 17) -> dict[str, list[tuple]]:
     """Split points for each ordering, from one count and one bounded sample.
 
@@ -129,6 +129,8 @@ def plan_buckets(df: DataFrame, orderings: dict[str, Ordering], *, buckets: int
     two small jobs over it. With ``buckets`` given, exactly that many
     buckets are targeted (used by tests to force bucket edges on tiny data).
     """
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    max_buckets = max_buckets or MAX_BUCKETS
     n = df.count()
     if buckets is None:
         buckets = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
@@ -452,8 +454,8 @@ def percent_rank(rank: str | Column, n: str | Column) -> Column:
 
 
 def global_windows(df: DataFrame, specs: dict[str, tuple[Ordering, dict]], *,
-                   buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                   max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                   buckets: int | None = None, rows_per_bucket: int | None = None,
+                   max_buckets: int | None = None) -> DataFrame:
     """Apply several orderings to one (already materialised) DataFrame.
 
     ``specs`` maps a column prefix to ``(ordering, options)`` where options

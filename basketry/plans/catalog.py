@@ -8,6 +8,7 @@ from the whole tables through the adapters in ``basketry.sources``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,25 +36,43 @@ SCENARIOS = (
 
 
 class Shop:
-    """The three shop tables of one folder, as lazy DataFrames."""
+    """The three shop tables of one folder, as lazy DataFrames (each
+    source table is opened only when a query uses it)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        raw_orders = read_table(spark, sf_dir, "orders")
-        self.orders = shop_orders(raw_orders)
-        self.users = shop_users(read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation"),
-                                raw_orders)
-        self.events = shop_events(read_table(spark, sf_dir, "events"))
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def _raw_orders(self) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, "orders")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return shop_orders(self._raw_orders)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return shop_users(read_table(self.spark, self.sf_dir, "customer"),
+                          read_table(self.spark, self.sf_dir, "nation"), self._raw_orders)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return shop_events(read_table(self.spark, self.sf_dir, "events"))
 
     def completed(self) -> DataFrame:
         return self.orders.where(F.col("status") == "completed")
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: key -> builder over any object with ``orders``/``users``/``events``
+BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {}
+#: key -> (spark, sf_dir) -> DataFrame over the folder's tables
 QUERIES: dict[str, Query] = {}
 
 
 def query(name: str):
     def register(fn: Callable[[Shop], DataFrame]) -> Callable:
+        BUILDERS[name] = fn
         QUERIES[name] = lambda spark, sf_dir: fn(Shop(spark, sf_dir))
         return fn
     return register

@@ -58,13 +58,31 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: inputs whose optimizer size estimate is below this are recomputed
+#: rather than checkpointed (writing them costs more than re-reading)
+MATERIALIZE_MIN_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan, if available."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:
+        return None
+
+
+def materialize(df: DataFrame, min_bytes: int = MATERIALIZE_MIN_BYTES) -> DataFrame:
     """Cut lineage with a reliable checkpoint when a checkpoint folder exists.
 
     Used before an operator reads the same intermediate more than once
     (a count, a split-point sample and the main pass), so the upstream
-    aggregation runs once and a lost executor does not replay it.
+    aggregation runs once and a lost executor does not replay it. Inputs
+    the optimizer estimates below ``min_bytes`` are left as they are:
+    recomputing them is cheaper than the write.
     """
+    size = estimated_bytes(df)
+    if size is not None and size < min_bytes:
+        return df
     if checkpoint_dir(df.sparkSession) is None:
         return df
     return df.checkpoint(eager=True)

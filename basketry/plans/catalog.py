@@ -19,7 +19,9 @@ from basketry.functions.exprs import (
 )
 from basketry.operators import activity, cohort, funnel, ranking, reshape, revenue, rfm, summary, whatif
 from basketry.operators.whatif import Scenario
-from basketry.sources.adapters import EVENT_STEPS, shop_events, shop_orders, shop_users
+from basketry.sources.adapters import (
+    EVENT_STEPS, ORDER_COLUMNS, STATUS_FILTER, shop_events, shop_orders, shop_users,
+)
 from basketry.sources.tables import read_table
 
 # Fixed values for the star-schema data: the "as of" date for recency
@@ -60,7 +62,7 @@ class Shop:
         return shop_events(read_table(self.spark, self.sf_dir, "events"))
 
     def completed(self) -> DataFrame:
-        return self.orders.where(F.col("status") == "completed")
+        return self.orders.where(F.col("status_code") == "F")
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,12 +85,12 @@ def query(name: str):
 
 @query("cohort_retention")
 def _a1(s: Shop) -> DataFrame:
-    return cohort.cohort_retention(s.users, s.orders)
+    return cohort.cohort_retention(s.users, s.orders, status_col="status_code", active_status="F")
 
 
 @query("rfm_segmentation")
 def _a2(s: Shop) -> DataFrame:
-    return rfm.rfm_segmentation(s.orders, as_of=AS_OF)
+    return rfm.rfm_segmentation(s.orders, as_of=AS_OF, **STATUS_FILTER)
 
 
 @query("conversion_funnel")
@@ -107,22 +109,22 @@ def _a3s(s: Shop) -> DataFrame:
 
 @query("dau_wau_mau")
 def _a4(s: Shop) -> DataFrame:
-    return activity.dau_wau_mau(s.orders)
+    return activity.dau_wau_mau(s.orders, **STATUS_FILTER)
 
 
 @query("revenue_breakdown")
 def _a5(s: Shop) -> DataFrame:
-    return revenue.revenue_breakdown(s.orders)
+    return revenue.revenue_breakdown(s.orders, **STATUS_FILTER)
 
 
 @query("customer_ranking")
 def _a6(s: Shop) -> DataFrame:
-    return ranking.customer_ranking(s.users, s.orders)
+    return ranking.customer_ranking(s.users, s.orders, **STATUS_FILTER)
 
 
 @query("executive_summary")
 def _a7(s: Shop) -> DataFrame:
-    return summary.executive_summary(s.orders)
+    return summary.executive_summary(s.orders, **STATUS_FILTER, returned="P", cancelled="O")
 
 
 def _baseline(s: Shop) -> DataFrame:
@@ -148,7 +150,7 @@ def _a9(s: Shop) -> DataFrame:
 
 @query("scan_orders")
 def _s1(s: Shop) -> DataFrame:
-    return s.orders
+    return s.orders.select(*ORDER_COLUMNS)
 
 
 @query("project_alias")
@@ -158,8 +160,8 @@ def _p1(s: Shop) -> DataFrame:
 
 @query("star_plus")
 def _p2(s: Shop) -> DataFrame:
-    return s.orders.withColumns({"order_month": trunc_month("order_date"),
-                                 "is_completed": F.col("status") == "completed"})
+    return s.orders.select(*ORDER_COLUMNS).withColumns({
+        "order_month": trunc_month("order_date"), "is_completed": F.col("status") == "completed"})
 
 
 @query("filter_eq")
@@ -177,12 +179,12 @@ def _p4(s: Shop) -> DataFrame:
 
 @query("filter_gt")
 def _p5(s: Shop) -> DataFrame:
-    return ranking.customer_spend(s.users, s.orders).select("user_id", "total_orders")
+    return ranking.customer_spend(s.users, s.orders, **STATUS_FILTER).select("user_id", "total_orders")
 
 
 @query("case_searched")
 def _p6(s: Shop) -> DataFrame:
-    return rfm.rfm_segmentation(s.orders, as_of=AS_OF, sort=False).select(
+    return rfm.rfm_segmentation(s.orders, as_of=AS_OF, sort=False, **STATUS_FILTER).select(
         "user_id", "r_score", "f_score", "m_score", "segment")
 
 
@@ -193,7 +195,7 @@ def _p7(s: Shop) -> DataFrame:
 
 @query("nullif_div")
 def _p8(s: Shop) -> DataFrame:
-    return activity.dau_wau_mau(s.orders, sort=False).select("day", "dau_over_wau")
+    return activity.dau_wau_mau(s.orders, sort=False, **STATUS_FILTER).select("day", "dau_over_wau")
 
 
 @query("fill_zero")
@@ -227,7 +229,7 @@ def _j2(s: Shop) -> DataFrame:
 
 @query("join_left_expr")
 def _j3(s: Shop) -> DataFrame:
-    return activity.dau_wau_mau(s.orders, sort=False).select("day", "dau", "wau")
+    return activity.dau_wau_mau(s.orders, sort=False, **STATUS_FILTER).select("day", "dau", "wau")
 
 
 @query("join_left_extra_pred")
@@ -329,33 +331,33 @@ def _g11(s: Shop) -> DataFrame:
 
 @query("value_counts")
 def _g12(s: Shop) -> DataFrame:
-    return reshape.value_counts(rfm.rfm_segmentation(s.orders, as_of=AS_OF, sort=False), "segment")
+    return reshape.value_counts(rfm.rfm_segmentation(s.orders, as_of=AS_OF, sort=False, **STATUS_FILTER), "segment")
 
 
 @query("quartile_profile")
 def _g13(s: Shop) -> DataFrame:
-    return reshape.quartile_profile(ranking.customer_ranking(s.users, s.orders))
+    return reshape.quartile_profile(ranking.customer_ranking(s.users, s.orders, **STATUS_FILTER))
 
 
 @query("pivot_cohort")
 def _g14(s: Shop) -> DataFrame:
-    return reshape.pivot_cohort(cohort.cohort_retention(s.users, s.orders, sort=False))
+    return reshape.pivot_cohort(cohort.cohort_retention(s.users, s.orders, status_col="status_code", active_status="F", sort=False))
 
 
 @query("pivot_revenue")
 def _g15(s: Shop) -> DataFrame:
-    return reshape.pivot_revenue(revenue.revenue_breakdown(s.orders, sort=False), CATEGORIES)
+    return reshape.pivot_revenue(revenue.revenue_breakdown(s.orders, sort=False, **STATUS_FILTER), CATEGORIES)
 
 
 # --------------------------------------------------------------------- windows
 
 
 def _rfm_scored(s: Shop) -> DataFrame:
-    return rfm.rfm_scores(rfm.rfm_raw(s.orders, as_of=AS_OF))
+    return rfm.rfm_scores(rfm.rfm_raw(s.orders, as_of=AS_OF, **STATUS_FILTER))
 
 
 def _ranked_all(s: Shop) -> DataFrame:
-    return ranking.rank_customers(ranking.customer_spend(s.users, s.orders))
+    return ranking.rank_customers(ranking.customer_spend(s.users, s.orders, **STATUS_FILTER))
 
 
 @query("win_ntile5_desc")
@@ -405,7 +407,7 @@ def _w9(s: Shop) -> DataFrame:
 
 @query("win_lag_mom")
 def _w10(s: Shop) -> DataFrame:
-    r = revenue.revenue_breakdown(s.orders, sort=False)
+    r = revenue.revenue_breakdown(s.orders, sort=False, **STATUS_FILTER)
     return r.select("month", "category", "revenue", "mom_growth_pct")
 
 
@@ -423,7 +425,7 @@ def _w12(s: Shop) -> DataFrame:
 
 @query("win_share")
 def _w13(s: Shop) -> DataFrame:
-    return revenue.revenue_breakdown(s.orders, sort=False).select("month", "category", "revenue", "pct_of_month")
+    return revenue.revenue_breakdown(s.orders, sort=False, **STATUS_FILTER).select("month", "category", "revenue", "pct_of_month")
 
 
 # ---------------------------------------------------------- sorts and top-k
@@ -431,19 +433,19 @@ def _w13(s: Shop) -> DataFrame:
 
 @query("sort_multi")
 def _t1(s: Shop) -> DataFrame:
-    return revenue.revenue_breakdown(s.orders).select("month", "category", "revenue")
+    return revenue.revenue_breakdown(s.orders, **STATUS_FILTER).select("month", "category", "revenue")
 
 
 @query("top_n")
 def _t3(s: Shop) -> DataFrame:
-    spend = ranking.customer_spend(s.users, s.orders)
+    spend = ranking.customer_spend(s.users, s.orders, **STATUS_FILTER)
     return (spend.orderBy(F.col("total_spent").desc_nulls_last(), F.col("user_id").asc())
             .limit(100).select("user_id", "total_spent"))
 
 
 @query("top_k_per_group")
 def _t5(s: Shop) -> DataFrame:
-    return reshape.top_k_per_group(ranking.customer_ranking(s.users, s.orders)).select(
+    return reshape.top_k_per_group(ranking.customer_ranking(s.users, s.orders, **STATUS_FILTER)).select(
         "user_id", "country", "plan", "total_spent", "country_rank")
 
 

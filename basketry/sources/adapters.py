@@ -23,6 +23,9 @@ from basketry.functions.exprs import to_day
 # each one stands for.
 STATUS_BY_CODE = {"F": "completed", "P": "returned", "O": "cancelled"}
 
+#: operator keyword arguments that filter on the raw status code
+STATUS_FILTER = {"status_col": "status_code", "completed": "F"}
+
 # The event types of the events table in funnel order
 # ('error' is deliberately not a step).
 EVENT_STEPS = ("view", "click", "signup", "purchase")
@@ -36,8 +39,19 @@ def _status(code_col: str) -> F.Column:
     return out
 
 
+ORDER_COLUMNS = ("order_id", "user_id", "order_date", "amount", "category", "status")
+
+
 def shop_orders(orders: DataFrame) -> DataFrame:
-    """orders -> (order_id, user_id, order_date DATE, amount, category, status)."""
+    """orders -> (order_id, user_id, order_date DATE, amount, category, status,
+    status_code).
+
+    ``status_code`` is the raw one-letter code. Filtering on it (operators
+    take the status column and values as parameters, see ``STATUS_FILTER``)
+    reaches the Parquet scan as ``EqualTo(o_orderstatus, F)``; a filter on
+    the mapped ``status`` would stay a CASE above the scan, which Catalyst
+    does not fold back.
+    """
     return orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
@@ -45,6 +59,7 @@ def shop_orders(orders: DataFrame) -> DataFrame:
         F.col("o_totalprice").alias("amount"),
         F.col("o_orderpriority").alias("category"),
         _status("o_orderstatus").alias("status"),
+        F.col("o_orderstatus").alias("status_code"),
     )
 
 

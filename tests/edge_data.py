@@ -83,12 +83,15 @@ class EdgeShop:
 
     def __init__(self, spark, users=USERS, orders=ORDERS, events=EVENTS):
         self.users = spark.createDataFrame(users, USERS_SCHEMA)
-        self.orders = spark.createDataFrame(orders, ORDERS_SCHEMA)
+        code = F.col("status")
+        self.orders = spark.createDataFrame(orders, ORDERS_SCHEMA).withColumn(
+            "status_code", F.when(code == "completed", "F").when(code == "returned", "P")
+            .when(code == "cancelled", "O"))
         self.events = spark.createDataFrame(events, EVENTS_SCHEMA)
         self._rows = (users, orders, events)
 
     def completed(self):
-        return self.orders.where(F.col("status") == "completed")
+        return self.orders.where(F.col("status_code") == "F")
 
     def duck(self):
         import duckdb

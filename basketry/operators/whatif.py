@@ -1,6 +1,6 @@
 """Funnel what-if: purchases and revenue under improved step rates.
 
-The scalar simulator of the original toolkit is re-expressed as a
+The scalar simulator of the original analyses is re-expressed as a
 DataFrame operator: a *baseline* row per segment (visitors, average
 order value and the observed step-to-step rates, usually derived from
 ``conversion_funnel`` and the orders table) is expanded with a small,

@@ -59,8 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 #: inputs whose optimizer size estimate is below this are recomputed
-#: rather than checkpointed (writing them costs more than re-reading)
-MATERIALIZE_MIN_BYTES = 64 << 20
+#: rather than checkpointed (writing them costs more than re-reading).
+#: Join estimates run high, so this errs toward checkpointing.
+MATERIALIZE_MIN_BYTES = 1 << 30
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analyses this library re-creates are one-shot batch queries over
+bounded tables; none of them has a stream source, watermark, event-time
+window or per-key state. Every operator takes and returns DataFrames, so
+a caller that needs periodic refreshes can run them over a
+``foreachBatch`` sink or on a schedule over the latest tables, but no
+streaming operator is provided because none exists to match.
+"""

@@ -99,7 +99,11 @@ def _a3(s: Shop) -> DataFrame:
 
 
 def _events_by_country(s: Shop) -> DataFrame:
-    return s.events.join(s.users.select("user_id", "country"), "user_id", "inner")
+    """Distinct (user, type) pairs with the user's country. Deduplicating
+    before the join keeps a user with a third of all events to a handful
+    of rows on the join's shuffle."""
+    pairs = s.events.select("user_id", "event_type").distinct()
+    return pairs.join(s.users.select("user_id", "country"), "user_id", "inner")
 
 
 @query("conversion_funnel_by_country")
@@ -129,8 +133,10 @@ def _a7(s: Shop) -> DataFrame:
 
 def _baseline(s: Shop) -> DataFrame:
     fun = funnel.step_counts(_events_by_country(s), steps=EVENT_STEPS, segment_cols=("country",))
-    aov = (s.completed().join(s.users.select("user_id", "country"), "user_id", "inner")
-           .groupBy("country").agg(money_sum("amount").alias("_s"), F.count("amount").alias("_n"))
+    per_user = s.completed().groupBy("user_id").agg(money_sum("amount").alias("_s"),
+                                                    F.count("amount").alias("_n"))
+    aov = (per_user.join(s.users.select("user_id", "country"), "user_id", "inner")
+           .groupBy("country").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
            .select("country", round_n(money_avg("_s", "_n"), 2).alias("aov")))
     return whatif.funnel_baseline(fun, len(EVENT_STEPS), segment_cols=("country",), aov=aov)
 
@@ -221,7 +227,7 @@ def _j1(s: Shop) -> DataFrame:
 @query("join_inner_derived")
 def _j2(s: Shop) -> DataFrame:
     c = _cohorts(s)
-    buyers = (c.join(s.completed().select("user_id"), "user_id", "inner")
+    buyers = (c.join(s.completed().select("user_id").distinct(), "user_id", "inner")
               .groupBy("cohort_month").agg(F.count_distinct("user_id").alias("buyers")))
     sizes = c.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("total_users"))
     return buyers.join(sizes, "cohort_month", "inner").select("cohort_month", "buyers", "total_users")
@@ -234,9 +240,18 @@ def _j3(s: Shop) -> DataFrame:
 
 @query("join_left_extra_pred")
 def _j4(s: Shop) -> DataFrame:
-    return (s.users.select("user_id")
-            .join(s.completed().select("user_id", "order_id"), "user_id", "left")
-            .select("user_id", "order_id"))
+    """users LEFT JOIN orders ON id AND status = completed.
+
+    Written as the inner join plus the users without a completed order
+    (an anti join against distinct buyer ids): AQE can split a hot user
+    on either side of an inner join, but only the preserved side of an
+    outer join, and here the hot side is orders."""
+    done = s.completed().select("user_id", "order_id")
+    users = s.users.select("user_id")
+    matched = users.join(done, "user_id", "inner")
+    unmatched = (users.join(done.select("user_id").distinct(), "user_id", "left_anti")
+                 .select("user_id", F.lit(None).cast("long").alias("order_id")))
+    return matched.unionByName(unmatched)
 
 
 @query("cross_scenarios")
@@ -261,9 +276,9 @@ def _g1(s: Shop) -> DataFrame:
 
 @query("agg_count_col")
 def _g2(s: Shop) -> DataFrame:
-    return (s.users.select("user_id", "country")
-            .join(s.completed().select("user_id", "order_id"), "user_id", "left")
-            .groupBy("country").agg(F.count("order_id").alias("completed_orders")))
+    per_user = s.completed().groupBy("user_id").agg(F.count("order_id").alias("_n"))
+    return (s.users.select("user_id", "country").join(per_user, "user_id", "left")
+            .groupBy("country").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("completed_orders")))
 
 
 @query("agg_count_distinct")

@@ -158,37 +158,80 @@ def plan_buckets(df: DataFrame, orderings: dict[str, Ordering], *, buckets: int
 
 
 def _sql_literal(v, dtype: T.DataType) -> str:
-    """Exact SQL text for one split-point value of a key field."""
+    """Exact, non-null SQL literal for one split-point value of a key field."""
     if isinstance(dtype, T.BooleanType):
         return "true" if v else "false"
     if isinstance(dtype, T.StringType):
-        return f"CAST(X'{v.encode('utf-8').hex()}' AS STRING)"
-    return f"CAST('{v!r}' AS {dtype.simpleString()})" if isinstance(v, float) else \
-        f"CAST('{v}' AS {dtype.simpleString()})"
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dtype, T.DoubleType):
+        return f"{float(v)!r}D" if v >= 0 else f"(-{-float(v)!r}D)"
+    if isinstance(dtype, T.FloatType):
+        return f"CAST({float(v)!r}D AS FLOAT)"
+    if isinstance(dtype, T.LongType):
+        return f"{int(v)}L"
+    if isinstance(dtype, (T.IntegerType, T.ShortType, T.ByteType)):
+        return f"CAST({int(v)} AS {dtype.simpleString()})"
+    if isinstance(dtype, T.DecimalType):
+        return f"CAST({v}BD AS {dtype.simpleString()})"
+    return f"CAST('{v}' AS {dtype.simpleString()})"
+
+
+#: split points handled by a compiled CASE tree alone; with more, the tree
+#: covers this many evenly spaced ones and a short binary search over a
+#: constant array finishes the job
+CASE_TREE_MAX_BOUNDS = 31
+_PACK = 1 << 20  # (lo, hi) of the search packed in one long: lo * _PACK + hi
 
 
 def _bucket_expr(key: Column, schema: T.StructType, bounds: list[tuple]) -> Column:
-    """Number of split points <= key, as a balanced tree of struct comparisons.
-
-    Built as one SQL expression (``key`` is the struct of the fields named
-    in ``schema``); each row evaluates about log2(#bounds) comparisons.
+    """Number of split points <= the key struct (a column named ``_o`` with
+    the fields of ``schema``); about log2(#bounds) comparisons per row.
+
+    A balanced CASE tree (compiled with the rest of the stage) over at
+    most ``CASE_TREE_MAX_BOUNDS`` split points narrows the answer to a
+    range; when there are more split points, ``aggregate`` runs a fixed
+    number of binary-search steps over them as one constant array. The
+    generated code stays small for any bucket count.
     """
-    if not bounds:
+    m = len(bounds)
+    if not m:
         return F.lit(0)
-    key_sql = "named_struct(" + ", ".join(f"'{f.name}', `{f.name}`" for f in schema.fields) + ")"
+    key_sql = "`_o`"
     lits = [
         "named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(v, f.dataType)}"
                                     for v, f in zip(b, schema.fields)) + ")"
         for b in bounds
     ]
-
-    def build(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi + 1) // 2
-        return f"CASE WHEN {key_sql} >= {lits[mid - 1]} THEN {build(mid, hi)} ELSE {build(lo, mid - 1)} END"
-
-    return F.expr(build(0, len(bounds)))
+    if m <= CASE_TREE_MAX_BOUNDS:
+        coarse = list(range(1, m + 1))
+    else:
+        k = CASE_TREE_MAX_BOUNDS
+        coarse = sorted({max(1, (j * m) // (k + 1)) for j in range(1, k + 1)})
+
+    def tree(lo: int, hi: int, cand: list[int]) -> str:
+        # the answer is in [lo, hi]; cand are split positions p in (lo, hi]
+        if not cand:
+            return f"{lo * _PACK + hi}L"
+        i = len(cand) // 2
+        p = cand[i]
+        return (f"CASE WHEN {key_sql} >= {lits[p - 1]} THEN {tree(p, hi, cand[i + 1:])} "
+                f"ELSE {tree(lo, p - 1, cand[:i])} END")
+
+    packed = tree(0, m, coarse)
+    if m <= CASE_TREE_MAX_BOUNDS:
+        return F.expr(f"CAST(({packed}) div {_PACK} AS INT)")
+    widest = max(b - a for a, b in zip([0] + coarse, coarse + [m + 1]))
+    steps = max(1, math.ceil(math.log2(widest + 1)))
+    lo, hi = f"(acc div {_PACK})", f"(acc % {_PACK})"
+    mid = f"(({lo} + {hi} + 1) div 2)"
+    search = (
+        f"aggregate(sequence(1, {steps}), {packed}, (acc, i) -> "
+        f"CASE WHEN {lo} >= {hi} THEN acc "
+        f"WHEN {key_sql} >= element_at(array({', '.join(lits)}), CAST({mid} AS INT)) "
+        f"THEN {mid} * {_PACK} + {hi} "
+        f"ELSE {lo} * {_PACK} + ({mid} - 1) END, acc -> CAST(acc div {_PACK} AS INT))"
+    )
+    return F.expr(search)
 
 
 # ----------------------------------------------------------------- positions
@@ -261,7 +304,8 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
     keyed = df.withColumns(dict(fields))
     key_schema = T.StructType([keyed.schema[f] for f in names])
     key = F.struct(*[F.col(f) for f in names])
-    keyed = keyed.withColumns({"_o": key, "_b": _bucket_expr(key, key_schema, bounds)})
+    keyed = keyed.withColumn("_o", key)
+    keyed = keyed.withColumn("_b", _bucket_expr(F.col("_o"), key_schema, bounds))
 
     k_part, k_nulls, k_peer = levels["part"], levels["nulls"], levels["peer"]
     has_part = k_part > 0

@@ -62,7 +62,7 @@ def _mine(df, part, desc, buckets):
 
 @pytest.mark.parametrize("part", [(), ("country",)])
 @pytest.mark.parametrize("desc", [True, False])
-@pytest.mark.parametrize("buckets", [1, 11])
+@pytest.mark.parametrize("buckets", [1, 11, 90])
 def test_matches_native(spark, skewed, part, desc, buckets):
     nat = {r.uid: tuple(r) for r in _native(skewed, part, desc).collect()}
     mine = {r.uid: tuple(r) for r in _mine(skewed, part, desc, buckets).collect()}
@@ -88,3 +88,24 @@ def test_no_single_partition_window_over_rows(spark, skewed):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the only windows without partition keys run on the bucket summary
     assert "hashpartitioning(_b" in plan
+
+
+def test_bucket_expr_counts_split_points(spark):
+    """The bucket number is the count of split points <= key, for the pure
+    CASE tree and for the tree + binary-search form."""
+    from pyspark.sql import types as T
+
+    from basketry.operators.windows import _bucket_expr, _key_fields
+
+    df = spark.range(0, 500).select((F.col("id") % 97).cast("double").alias("v"), F.col("id").alias("uid"))
+    o = Ordering((("v", True),), ("uid",))
+    fields, _ = _key_fields(df, o)
+    keyed = df.withColumns(dict(fields))
+    schema = T.StructType([keyed.schema[f] for f, _ in fields])
+    keyed = keyed.withColumn("_o", F.struct(*[F.col(f) for f, _ in fields]))
+    rows = sorted(tuple(r["_o"]) for r in keyed.select("_o").collect())
+    for m in (5, 31, 32, 200):
+        bounds = sorted({rows[(j * len(rows)) // (m + 1)] for j in range(1, m + 1)})
+        got = keyed.select(F.col("_o"), _bucket_expr(F.col("_o"), schema, bounds).alias("b")).collect()
+        for r in got:
+            assert r.b == sum(1 for b in bounds if b <= tuple(r["_o"]))

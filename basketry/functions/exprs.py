@@ -36,7 +36,7 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str) -> None:
 
 
 def round_n(x: ColumnOrName, n: int) -> Column:
-    """ROUND(x, n) on doubles the way the reference engine does it.
+    """ROUND(x, n) on doubles the way the oracle SQL engine does it.
 
     Scale, round half away from zero, scale back. Spark's own
     ``round(x, n)`` rounds the shortest decimal text of ``x`` instead and

@@ -239,7 +239,8 @@ def _bucket_expr(key: Column, schema: T.StructType, bounds: list[tuple]) -> Colu
 
 def with_positions(df: DataFrame, o: Ordering, bounds: list[tuple], prefix: str, *,
                    value: str | None = None, running: bool = False, neighbours: bool = False,
-                   first_value: bool = False, reverse_rank: bool = False) -> DataFrame:
+                   first_value: bool = False, reverse_rank: bool = False,
+                   stats_source: DataFrame | None = None) -> DataFrame:
     """Add window values of ordering ``o`` as columns named ``prefix + ...``.
 
     Always: ``pos`` (ROW_NUMBER with ties broken by ``tie_by``), ``n``
@@ -253,6 +254,11 @@ def with_positions(df: DataFrame, o: Ordering, bounds: list[tuple], prefix: str,
     ``bounds`` come from ``plan_buckets``. No bounds means the counted
     input fits one bucket, and native windows partitioned by the partition
     columns are used directly.
+
+    ``stats_source`` is the frame the per-bucket summary is computed from
+    (default ``df``): any frame with the same rows and the ordering and
+    value columns. When several orderings are chained, passing the common
+    base keeps each summary off the previous orderings' shuffles.
     """
     if running and o.partition_by:
         raise NotImplementedError("running sums are provided for global orderings only")
@@ -262,7 +268,7 @@ def with_positions(df: DataFrame, o: Ordering, bounds: list[tuple], prefix: str,
                 first_value=first_value, reverse_rank=reverse_rank)
     if not bounds:
         return _native_positions(df, o, prefix, **opts)
-    return _bucketed_positions(df, o, bounds, prefix, **opts)
+    return _bucketed_positions(df, o, bounds, prefix, stats_source=stats_source, **opts)
 
 
 def _native_positions(df, o, prefix, *, value, running, neighbours, first_value, reverse_rank):
@@ -298,14 +304,19 @@ def _native_positions(df, o, prefix, *, value, running, neighbours, first_value,
     return keyed.withColumns(out).select(*df.columns, *out.keys())
 
 
-def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, first_value, reverse_rank):
+def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, first_value, reverse_rank,
+                        stats_source=None):
     fields, levels = _key_fields(df, o)
     names = [f for f, _ in fields]
-    keyed = df.withColumns(dict(fields))
-    key_schema = T.StructType([keyed.schema[f] for f in names])
-    key = F.struct(*[F.col(f) for f in names])
-    keyed = keyed.withColumn("_o", key)
-    keyed = keyed.withColumn("_b", _bucket_expr(F.col("_o"), key_schema, bounds))
+    key_schema = T.StructType([df.withColumns(dict(fields)).schema[f] for f in names])
+
+    def keyed_of(frame: DataFrame) -> DataFrame:
+        k = frame.withColumns(dict(fields))
+        k = k.withColumn("_o", F.struct(*[F.col(f) for f in names]))
+        return k.withColumn("_b", _bucket_expr(F.col("_o"), key_schema, bounds))
+
+    keyed = keyed_of(df)
+    source = keyed if stats_source is None else keyed_of(stats_source)
 
     k_part, k_nulls, k_peer = levels["part"], levels["nulls"], levels["peer"]
     has_part = k_part > 0
@@ -339,17 +350,31 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
         cols[f"_cle_{lname}"] = F.count(F.lit(1)).over(w_l)
     ws = keyed.withColumns(cols)
 
-    # ---- one row per bucket: bounded by the bucket count
+    # ---- one row per bucket, bounded by the bucket count. Built from the
+    # unshuffled input with two map-side aggregates, so the big shuffle on
+    # _b happens once (a summary taken from the windowed rows would be a
+    # second, column-pruned shuffle of everything).
+    def prefix_of(struct_col: str, k: int) -> Column:
+        return F.struct(*[F.col(struct_col).getField(f).alias(f) for f in names[:k]])
+
     aggs = [F.count(F.lit(1)).alias("_cnt"), F.min("_o").alias("_fo"), F.max("_o").alias("_lo")]
-    for lname in lv:
-        aggs += [F.max(f"_rk_{lname}").alias(f"_lrk_{lname}"), F.min(f"_cle_{lname}").alias(f"_fcle_{lname}")]
     if running:
         aggs.append(F.sum(F.col(value).cast(MONEY_DECIMAL)).alias("_sv"))
     if neighbours or first_value:
         aggs += [F.min_by(value, "_o").alias("_fv"), F.max_by(value, "_o").alias("_lv")]
+    edges = source.groupBy("_b").agg(*aggs)
+    # rows of each bucket's first and last peer group (per level)
+    ends = F.broadcast(edges.select("_b", F.col("_fo").alias("_efo"), F.col("_lo").alias("_elo")))
+    sized = source.join(ends, "_b")
+    saggs = []
+    for lname, k in lv.items():
+        saggs += [F.count(F.when(prefix_of("_o", k) == prefix_of("_efo", k), F.lit(1))).alias(f"_fcle_{lname}"),
+                  F.count(F.when(prefix_of("_o", k) == prefix_of("_elo", k), F.lit(1))).alias(f"_lsz_{lname}")]
     if first_value and has_part:
-        aggs.append(F.max_by("_gfv", "_o").alias("_lgfv"))
-    t = ws.groupBy("_b").agg(*aggs)
+        in_last = prefix_of("_o", k_part) == prefix_of("_elo", k_part)
+        saggs.append(F.min_by(value, F.when(in_last, F.col("_o"))).alias("_lgfv"))
+    t = edges.join(sized.groupBy("_b").agg(*saggs), "_b")
+    t = t.withColumns({f"_lrk_{x}": F.col("_cnt") - F.col(f"_lsz_{x}") + 1 for x in lv})
 
     # These windows have no PARTITION BY on purpose: the summary holds at
     # most ``max_buckets`` rows.
@@ -359,9 +384,6 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
     after = wb.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    def prefix_of(struct_col: str, k: int) -> Column:
-        return F.struct(*[F.col(struct_col).getField(f).alias(f) for f in names[:k]])
-
     # phase 1: offsets, edge rows, and per level whether the bucket's first
     # peer group continues the previous bucket's last one ("linked")
     p1: dict[str, Column] = {"_off": F.coalesce(F.sum("_cnt").over(before), F.lit(0).cast("long"))}
@@ -511,5 +533,5 @@ def global_windows(df: DataFrame, specs: dict[str, tuple[Ordering, dict]], *,
                           rows_per_bucket=rows_per_bucket, max_buckets=max_buckets)
     out = df
     for p, (o, opts) in specs.items():
-        out = with_positions(out, o, bounds[p], p, **opts)
+        out = with_positions(out, o, bounds[p], p, stats_source=df, **opts)
     return out

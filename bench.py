@@ -32,8 +32,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     scratch = tempfile.mkdtemp(prefix="basketry-bench-")
-    spark = local_session(cpus=cpus, partitions=cpus, app="basketry-bench",
-                          extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt")})
+    extra = {"spark.checkpoint.dir": os.path.join(scratch, "ckpt")}
+    for kv in filter(None, os.environ.get("BENCH_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        extra[k] = v
+    spark = local_session(cpus=cpus, partitions=cpus, app="basketry-bench", extra=extra)
 
     def run(name: str) -> float:
         t0 = time.perf_counter()

@@ -304,19 +304,31 @@ def _native_positions(df, o, prefix, *, value, running, neighbours, first_value,
     return keyed.withColumns(out).select(*df.columns, *out.keys())
 
 
+def _sql_array(values, dtype: T.DataType) -> Column:
+    """A constant array column (one SQL expression, any length)."""
+    null = f"CAST(NULL AS {dtype.simpleString()})"
+    items = [null if v is None else _sql_literal(v, dtype) for v in values]
+    return F.expr(f"array({', '.join(items)})")
+
+
+def _at(arr: Column) -> Column:
+    """The entry of a per-bucket constant array for this row's bucket."""
+    return F.element_at(arr, F.col("_b") + 1)
+
+
 def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, first_value, reverse_rank,
                         stats_source=None):
     fields, levels = _key_fields(df, o)
     names = [f for f, _ in fields]
     key_schema = T.StructType([df.withColumns(dict(fields)).schema[f] for f in names])
+    m = len(bounds)
 
     def keyed_of(frame: DataFrame) -> DataFrame:
         k = frame.withColumns(dict(fields))
         k = k.withColumn("_o", F.struct(*[F.col(f) for f in names]))
-        return k.withColumn("_b", _bucket_expr(F.col("_o"), key_schema, bounds))
-
-    keyed = keyed_of(df)
-    source = keyed if stats_source is None else keyed_of(stats_source)
+        # never NULL: keeps Catalyst from adding an isnotnull(_b) filter
+        # that would evaluate the bucket expression a second time
+        return k.withColumn("_b", F.coalesce(_bucket_expr(F.col("_o"), key_schema, bounds), F.lit(0)))
 
     k_part, k_nulls, k_peer = levels["part"], levels["nulls"], levels["peer"]
     has_part = k_part > 0
@@ -325,8 +337,79 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
         lv["part"] = k_part
     if reverse_rank:
         lv["nulls"] = k_nulls
-
-    # ---- inside each bucket: ordinary windows (one shuffle on _b)
+    vtype = df.schema[value].dataType if value is not None else None
+
+    def prefix_of(k: int) -> Column:
+        return F.struct(*[F.col("_o").getField(f).alias(f) for f in names[:k]])
+
+    def prefix_lits(k: int) -> Column:
+        """Prefixes of the split points; split point j is the first row of bucket j + 1."""
+        sub = T.StructType(key_schema.fields[:k])
+        return F.expr("array(" + ", ".join(
+            "named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(v, f.dataType)}"
+                                        for v, f in zip(b[:k], sub.fields)) + ")"
+            for b in bounds) + ")")
+
+    # ---- one row per bucket (at most max_buckets), in one pass over the
+    # unshuffled input. The split points are rows of the input, so a
+    # bucket's first row is known: bucket b > 0 starts at split point b - 1.
+    # What crosses the edge between buckets b and b + 1 is the peer group
+    # of split point b; counting its rows on both sides is enough to chain
+    # groups over any number of buckets.
+    src = keyed_of(df if stats_source is None else stats_source)
+    aggs = [F.count(F.lit(1)).alias("cnt")]
+    for lname, k in lv.items():
+        p = prefix_lits(k)
+        aggs.append(F.count(F.when((F.col("_b") > 0) & (prefix_of(k) == F.element_at(p, F.col("_b"))),
+                                   F.lit(1))).alias(f"head_{lname}"))
+        aggs.append(F.count(F.when((F.col("_b") < m) & (prefix_of(k) == F.element_at(p, F.col("_b") + 1)),
+                                   F.lit(1))).alias(f"tail_{lname}"))
+    if running:
+        aggs.append(F.sum(F.col(value).cast(MONEY_DECIMAL)).alias("sv"))
+    if neighbours or first_value:
+        aggs += [F.min_by(value, "_o").alias("fv"), F.max_by(value, "_o").alias("lv")]
+    if first_value and has_part:
+        in_tail = (F.col("_b") < m) & (prefix_of(k_part) == F.element_at(prefix_lits(k_part), F.col("_b") + 1))
+        aggs.append(F.min_by(value, F.when(in_tail, F.col("_o"))).alias("tfv"))
+    rows = {r["_b"]: r for r in src.groupBy("_b").agg(*aggs).collect()}
+    nb = m + 1
+    empty = {"cnt": 0, "sv": None, "fv": None, "lv": None, "tfv": None}
+    summ = [rows[b].asDict() if b in rows else dict(empty, **{f"{x}_{lname}": 0 for x in ("head", "tail")
+                                                               for lname in lv}) for b in range(nb)]
+    for b in range(1, nb):
+        if summ[b]["cnt"] == 0 or any(summ[b][f"head_{x}"] == 0 for x in lv):
+            raise RuntimeError("bucketed window: a split point is missing from the input; "
+                               "the input must be deterministic (checkpoint it)")
+    off, acc = [], 0
+    for b in range(nb):
+        off.append(acc)
+        acc += summ[b]["cnt"]
+    total = acc
+    starts, ends = {}, {}
+    for lname in lv:
+        head = [summ[b][f"head_{lname}"] for b in range(nb)]
+        tail = [summ[b][f"tail_{lname}"] for b in range(nb)]
+        cnt = [summ[b]["cnt"] for b in range(nb)]
+        linked = [b > 0 and tail[b - 1] > 0 for b in range(nb)]
+        fs, last_start = [0] * nb, [0] * nb
+        for b in range(nb):
+            fs[b] = last_start[b - 1] if linked[b] else off[b] + 1
+            # start of the group that continues into the next bucket
+            last_start[b] = fs[b] if (linked[b] and head[b] == cnt[b]) else off[b] + cnt[b] - tail[b] + 1
+        le, first_end = [0] * nb, [0] * nb
+        for b in reversed(range(nb)):
+            nxt = b + 1 < nb and tail[b] > 0
+            le[b] = first_end[b + 1] if nxt else off[b] + cnt[b]
+            # end of the group that came from the previous bucket
+            first_end[b] = le[b] if (nxt and tail[b] == cnt[b]) else off[b] + head[b]
+        starts[lname], ends[lname] = fs, le
+        if lname == "part":
+            part_tail = tail
+            part_linked = linked
+            part_head = head
+
+    # ---- inside each bucket: ordinary windows, one shuffle on _b
+    keyed = keyed_of(df)
     full = [F.col(f) for f in names]
     w_row = Window.partitionBy("_b").orderBy(*full)
     cols: dict[str, Column] = {"_rib": F.row_number().over(w_row)}
@@ -340,7 +423,7 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
         if has_part:
             cols["_lagp"] = F.lag(pkey).over(w_row)
             cols["_leadp"] = F.lead(pkey).over(w_row)
-    if first_value and has_part:
+    if first_value:
         w_grp = (Window.partitionBy("_b", *names[:k_part]).orderBy(*full[k_part:])
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         cols["_gfv"] = F.first(value).over(w_grp)
@@ -350,113 +433,22 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
         cols[f"_cle_{lname}"] = F.count(F.lit(1)).over(w_l)
     ws = keyed.withColumns(cols)
 
-    # ---- one row per bucket, bounded by the bucket count. Built from the
-    # unshuffled input with two map-side aggregates, so the big shuffle on
-    # _b happens once (a summary taken from the windowed rows would be a
-    # second, column-pruned shuffle of everything).
-    def prefix_of(struct_col: str, k: int) -> Column:
-        return F.struct(*[F.col(struct_col).getField(f).alias(f) for f in names[:k]])
-
-    aggs = [F.count(F.lit(1)).alias("_cnt"), F.min("_o").alias("_fo"), F.max("_o").alias("_lo")]
-    if running:
-        aggs.append(F.sum(F.col(value).cast(MONEY_DECIMAL)).alias("_sv"))
-    if neighbours or first_value:
-        aggs += [F.min_by(value, "_o").alias("_fv"), F.max_by(value, "_o").alias("_lv")]
-    edges = source.groupBy("_b").agg(*aggs)
-    # rows of each bucket's first and last peer group (per level)
-    ends = F.broadcast(edges.select("_b", F.col("_fo").alias("_efo"), F.col("_lo").alias("_elo")))
-    sized = source.join(ends, "_b")
-    saggs = []
-    for lname, k in lv.items():
-        saggs += [F.count(F.when(prefix_of("_o", k) == prefix_of("_efo", k), F.lit(1))).alias(f"_fcle_{lname}"),
-                  F.count(F.when(prefix_of("_o", k) == prefix_of("_elo", k), F.lit(1))).alias(f"_lsz_{lname}")]
-    if first_value and has_part:
-        in_last = prefix_of("_o", k_part) == prefix_of("_elo", k_part)
-        saggs.append(F.min_by(value, F.when(in_last, F.col("_o"))).alias("_lgfv"))
-    t = edges.join(sized.groupBy("_b").agg(*saggs), "_b")
-    t = t.withColumns({f"_lrk_{x}": F.col("_cnt") - F.col(f"_lsz_{x}") + 1 for x in lv})
-
-    # These windows have no PARTITION BY on purpose: the summary holds at
-    # most ``max_buckets`` rows.
-    wb = Window.orderBy("_b")
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = wb.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    # phase 1: offsets, edge rows, and per level whether the bucket's first
-    # peer group continues the previous bucket's last one ("linked")
-    p1: dict[str, Column] = {"_off": F.coalesce(F.sum("_cnt").over(before), F.lit(0).cast("long"))}
-    if not has_part:
-        p1["_N"] = F.sum("_cnt").over(everything)
-    if running:
-        p1["_soff"] = F.sum("_sv").over(before)
-    if neighbours:
-        p1["_plv"] = F.lag("_lv").over(wb)
-        p1["_nfv"] = F.lead("_fv").over(wb)
-        if has_part:
-            p1["_plp"] = F.lag(prefix_of("_lo", k_part)).over(wb)
-            p1["_nfp"] = F.lead(prefix_of("_fo", k_part)).over(wb)
-    if first_value and not has_part:
-        p1["_gfirst"] = F.first("_fv").over(everything)
-    for lname, k in lv.items():
-        first_k, last_k = prefix_of("_fo", k), prefix_of("_lo", k)
-        p1[f"_lk_{lname}"] = F.coalesce(first_k == F.lag(last_k).over(wb), F.lit(False))
-        p1[f"_one_{lname}"] = first_k == last_k
-    t = t.withColumns(p1)
-
-    # phase 2: is the next bucket linked to this one?
-    t = t.withColumns({f"_nlk_{x}": F.coalesce(F.lead(f"_lk_{x}").over(wb), F.lit(False)) for x in lv})
-
-    # phase 3: a bucket filled by one group that continues on both sides
-    # passes the group's start forward and its end backward
-    p3: dict[str, Column] = {}
-    for lname in lv:
-        with_fv = first_value and has_part and lname == "part"
-        through_back = F.col(f"_lk_{lname}") & F.col(f"_one_{lname}")
-        through_fwd = F.col(f"_nlk_{lname}") & F.col(f"_one_{lname}")
-        carried = F.struct((F.col("_off") + F.col(f"_lrk_{lname}")).alias("s"),
-                           *([F.col("_lgfv").alias("v")] if with_fv else []))
-        p3[f"_lst_{lname}"] = F.last(F.when(~through_back, carried), ignorenulls=True).over(upto)
-        p3[f"_fen_{lname}"] = F.first(F.when(~through_fwd, F.col("_off") + F.col(f"_fcle_{lname}")),
-                                      ignorenulls=True).over(after)
-    t = t.withColumns(p3)
-
-    # phase 4: global start of each bucket's first group, end of its last
-    p4: dict[str, Column] = {}
-    for lname in lv:
-        linked, next_linked = F.col(f"_lk_{lname}"), F.col(f"_nlk_{lname}")
-        prev_start = F.lag(f"_lst_{lname}").over(wb)
-        p4[f"_FS_{lname}"] = F.when(linked, prev_start.getField("s")).otherwise(F.col("_off") + 1)
-        p4[f"_LE_{lname}"] = F.when(next_linked, F.lead(f"_fen_{lname}").over(wb)).otherwise(
-            F.col("_off") + F.col("_cnt"))
-        if first_value and has_part and lname == "part":
-            p4["_FV"] = F.when(linked, prev_start.getField("v")).otherwise(F.col("_fv"))
-    t = t.withColumns(p4)
-
-    keep = ["_b", "_off", "_cnt"] + [f"_FS_{x}" for x in lv] + [f"_LE_{x}" for x in lv]
-    if not has_part:
-        keep.append("_N")
-    if running:
-        keep.append("_soff")
-    if neighbours:
-        keep += ["_plv", "_nfv"] + (["_plp", "_nfp"] if has_part else [])
-    if first_value:
-        keep.append("_FV" if has_part else "_gfirst")
-    res = ws.join(F.broadcast(t.select(*keep)), "_b")
+    longs = T.LongType()
+    b_off = _at(_sql_array(off, longs))
+    b_cnt = _at(_sql_array([s["cnt"] for s in summ], longs))
 
     def start(lname: str) -> Column:
-        return F.when(F.col(f"_rk_{lname}") == 1, F.col(f"_FS_{lname}")).otherwise(
-            F.col("_off") + F.col(f"_rk_{lname}"))
+        return F.when(F.col(f"_rk_{lname}") == 1, _at(_sql_array(starts[lname], longs))).otherwise(
+            b_off + F.col(f"_rk_{lname}"))
 
     def end(lname: str) -> Column:
-        return F.when(F.col(f"_cle_{lname}") == F.col("_cnt"), F.col(f"_LE_{lname}")).otherwise(
-            F.col("_off") + F.col(f"_cle_{lname}"))
+        return F.when(F.col(f"_cle_{lname}") == b_cnt, _at(_sql_array(ends[lname], longs))).otherwise(
+            b_off + F.col(f"_cle_{lname}"))
 
     s_part = start("part") if has_part else F.lit(1).cast("long")
-    e_part = end("part") if has_part else F.col("_N")
+    e_part = end("part") if has_part else F.lit(total).cast("long")
     out = {
-        f"{prefix}pos": (F.col("_off") + F.col("_rib") - s_part + 1).cast("long"),
+        f"{prefix}pos": (b_off + F.col("_rib") - s_part + 1).cast("long"),
         f"{prefix}n": (e_part - s_part + 1).cast("long"),
         f"{prefix}rank": (start("peer") - s_part + 1).cast("long"),
         f"{prefix}rank_last": (end("peer") - s_part + 1).cast("long"),
@@ -467,26 +459,48 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
         out[f"{prefix}rank_rev"] = F.when(null_flag, nonnull + 1).otherwise(
             nonnull - (end("peer") - s_part + 1) + 1).cast("long")
     if running:
+        dec = T.DecimalType(38, 2)
+        soff, accd = [], None
+        for s in summ:
+            soff.append(accd)
+            if s["sv"] is not None:
+                accd = s["sv"] if accd is None else accd + s["sv"]
+        b_soff = _at(_sql_array(soff, dec))
         zero = F.lit(0).cast(MONEY_DECIMAL)
-        out[f"{prefix}running"] = F.when(F.col("_soff").isNull() & F.col("_run").isNull(), F.lit(None)).otherwise(
-            F.coalesce(F.col("_soff"), zero) + F.coalesce(F.col("_run"), zero))
+        out[f"{prefix}running"] = F.when(b_soff.isNull() & F.col("_run").isNull(), F.lit(None)).otherwise(
+            F.coalesce(b_soff, zero) + F.coalesce(F.col("_run"), zero))
     if neighbours:
+        prev_last = _at(_sql_array([None] + [s["lv"] for s in summ[:-1]], vtype))
+        next_first = _at(_sql_array([s["fv"] for s in summ[1:]] + [None], vtype))
         first_in_b = F.col("_rib") == 1
-        last_in_b = F.col("_rib") == F.col("_cnt")
+        last_in_b = F.col("_rib") == b_cnt
         if has_part:
-            out[f"{prefix}lag"] = F.when(first_in_b, F.when(F.col("_plp") == pkey, F.col("_plv"))).otherwise(
+            # the rows on both sides of an edge share a partition exactly when
+            # the partition of split point b has rows in bucket b
+            prev_same = _at(_sql_array([False] + [t > 0 for t in part_tail[:-1]], T.BooleanType()))
+            next_same = _at(_sql_array([t > 0 for t in part_tail[:-1]] + [False], T.BooleanType()))
+            out[f"{prefix}lag"] = F.when(first_in_b, F.when(prev_same, prev_last)).otherwise(
                 F.when(F.col("_lagp") == pkey, F.col("_lagv")))
-            out[f"{prefix}lead"] = F.when(last_in_b, F.when(F.col("_nfp") == pkey, F.col("_nfv"))).otherwise(
+            out[f"{prefix}lead"] = F.when(last_in_b, F.when(next_same, next_first)).otherwise(
                 F.when(F.col("_leadp") == pkey, F.col("_leadv")))
         else:
-            out[f"{prefix}lag"] = F.when(first_in_b, F.col("_plv")).otherwise(F.col("_lagv"))
-            out[f"{prefix}lead"] = F.when(last_in_b, F.col("_nfv")).otherwise(F.col("_leadv"))
+            out[f"{prefix}lag"] = F.when(first_in_b, prev_last).otherwise(F.col("_lagv"))
+            out[f"{prefix}lead"] = F.when(last_in_b, next_first).otherwise(F.col("_leadv"))
     if first_value:
         if has_part:
-            out[f"{prefix}first"] = F.when(F.col("_rk_part") == 1, F.col("_FV")).otherwise(F.col("_gfv"))
+            # first value of each bucket's first partition group, carried
+            # from the bucket where that group starts
+            fvp, tail_fv = [None] * nb, [None] * nb
+            for b in range(nb):
+                fvp[b] = tail_fv[b - 1] if part_linked[b] else summ[b]["fv"]
+                whole = part_linked[b] and part_head[b] == summ[b]["cnt"]
+                tail_fv[b] = fvp[b] if whole else summ[b]["tfv"]
+            out[f"{prefix}first"] = F.when(F.col("_rk_part") == 1, _at(_sql_array(fvp, vtype))).otherwise(
+                F.col("_gfv"))
         else:
-            out[f"{prefix}first"] = F.col("_gfirst")
-    return res.select(*df.columns, *[e.alias(k) for k, e in out.items()])
+            out[f"{prefix}first"] = F.lit(summ[0]["fv"]).cast(vtype) if summ[0]["fv"] is not None \
+                else F.lit(None).cast(vtype)
+    return ws.select(*df.columns, *[e.alias(k) for k, e in out.items()])
 
 
 # ------------------------------------------------------ derived rank values

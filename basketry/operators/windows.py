@@ -11,13 +11,22 @@ rows, makes Spark sort everything in a single task. Here the total order
    ordering. Splits are on the *full* key including the unique tie columns,
    so one hot key value or one huge partition still spreads over many
    buckets. Correctness never depends on the splits, only balance does.
-2. ``with_positions`` shuffles once on the bucket number and runs ordinary
-   windows inside each bucket (row number, peer-group rank/end, running
-   sum, neighbour values).
-3. A per-bucket summary (one row per bucket, so at most ``max_buckets``
-   rows) carries row offsets, sum offsets, edge rows and the extent of
-   peer groups that cross bucket edges. It is broadcast back — its size is
-   bounded by the bucket count, not by the data.
+2. One aggregate over the unshuffled input gives a summary row per bucket
+   (at most ``max_buckets`` rows, collected like the sample): row count,
+   value sum, edge values, and how many rows of the peer groups of the
+   neighbouring split points the bucket holds. The split points are rows
+   of the input, so bucket b > 0 starts at split point b - 1 and the only
+   group that can cross the edge into bucket b + 1 is the one of split
+   point b. From these counts the driver chains row offsets and the
+   extent of groups that span several buckets.
+3. ``with_positions`` shuffles once on the bucket number, runs ordinary
+   windows inside each bucket (row number, peer rank/end, running sum,
+   neighbours) and adds the bucket's offsets from constant arrays indexed
+   by bucket number: no join and no single-task stage.
+
+The input must be deterministic (the operators checkpoint large inputs);
+a split point missing from the input raises instead of giving wrong
+positions.
 
 Ties are resolved by the caller's tie columns, so NTILE, ROW_NUMBER-like
 positions, running sums and LAG/LEAD are deterministic under any

@@ -26,8 +26,10 @@ def main(sf_dir: str) -> None:
         "",
         f"Generated by `tools/plan_report.py` on `{sf_dir}` (local[8], 8 shuffle partitions, AQE on).",
         "Counts come from the final adaptive plan. *gathered* lists the runtime row counts of",
-        "every shuffle into a single partition. In the bucketed runs (rows per bucket forced to 200)",
-        "these are the per-bucket summaries and are bounded by the bucket count.",
+        "every shuffle into a single partition: window inputs counted to fit one bucket (native",
+        "mode, at most rows_per_bucket rows) and the partial results of global aggregates. In the",
+        "bucketed runs (rows per bucket forced to 200) the windows shuffle once per ordering by",
+        "bucket, and the per-bucket summaries are collected (at most 1,024 rows) before the query.",
         "",
         "| query | mode | scans | shuffles | reused | broadcasts | python | gathered rows | pushed status filter |",
         "|---|---|---|---|---|---|---|---|---|",

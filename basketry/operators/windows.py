@@ -507,8 +507,10 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
             out[f"{prefix}first"] = F.when(F.col("_rk_part") == 1, _at(_sql_array(fvp, vtype))).otherwise(
                 F.col("_gfv"))
         else:
-            out[f"{prefix}first"] = F.lit(summ[0]["fv"]).cast(vtype) if summ[0]["fv"] is not None \
-                else F.lit(None).cast(vtype)
+            # the first row of the first non-empty bucket (bucket 0 is empty
+            # when the first split point is the smallest key)
+            g = next((s["fv"] for s in summ if s["cnt"] > 0), None)
+            out[f"{prefix}first"] = _at(_sql_array([g] * nb, vtype))
     return ws.select(*df.columns, *[e.alias(k) for k, e in out.items()])
 
 

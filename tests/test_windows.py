@@ -62,7 +62,7 @@ def _mine(df, part, desc, buckets):
 
 @pytest.mark.parametrize("part", [(), ("country",)])
 @pytest.mark.parametrize("desc", [True, False])
-@pytest.mark.parametrize("buckets", [1, 11, 90])
+@pytest.mark.parametrize("buckets", [1, 11, 90, 1000])
 def test_matches_native(spark, skewed, part, desc, buckets):
     nat = {r.uid: tuple(r) for r in _native(skewed, part, desc).collect()}
     mine = {r.uid: tuple(r) for r in _mine(skewed, part, desc, buckets).collect()}

@@ -1,6 +1,8 @@
 """The analyses. Each takes lazy DataFrames plus column names and returns a
-lazy DataFrame; the only actions are the count/sample of the bucketed
-windows (``windows.plan_buckets``) and their checkpoint."""
+lazy DataFrame. The only actions run while building the plan are those of
+the bucketed windows: the checkpoint of a large input, one count, one
+bounded sample of sort keys, and one per-bucket summary (at most
+``windows.MAX_BUCKETS`` rows) per ordering."""
 
 from basketry.operators.activity import active_counts, dau_wau_mau  # noqa: F401
 from basketry.operators.cohort import cohort_retention  # noqa: F401

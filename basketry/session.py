@@ -72,7 +72,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def materialize(df: DataFrame, min_bytes: int = MATERIALIZE_MIN_BYTES) -> DataFrame:
+def materialize(df: DataFrame, min_bytes: int | None = None) -> DataFrame:
     """Cut lineage with a reliable checkpoint when a checkpoint folder exists.
 
     Used before an operator reads the same intermediate more than once
@@ -81,6 +81,7 @@ def materialize(df: DataFrame, min_bytes: int = MATERIALIZE_MIN_BYTES) -> DataFr
     the optimizer estimates below ``min_bytes`` are left as they are:
     recomputing them is cheaper than the write.
     """
+    min_bytes = MATERIALIZE_MIN_BYTES if min_bytes is None else min_bytes
     size = estimated_bytes(df)
     if size is not None and size < min_bytes:
         return df

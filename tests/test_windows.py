@@ -109,3 +109,26 @@ def test_bucket_expr_counts_split_points(spark):
         got = keyed.select(F.col("_o"), _bucket_expr(F.col("_o"), schema, bounds).alias("b")).collect()
         for r in got:
             assert r.b == sum(1 for b in bounds if b <= tuple(r["_o"]))
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_two_order_columns_and_two_partitions(spark, buckets):
+    rnd = random.Random(11)
+    rows = [(uid, rnd.choice(["a", "b"]), rnd.choice([1, 2]), rnd.choice([None, 1, 2, 3]),
+             rnd.choice([0.5, 1.5, None])) for uid in range(600)]
+    df = spark.createDataFrame(rows, "uid long, p1 string, p2 int, k1 int, k2 double")
+    o = Ordering((("k1", True), ("k2", False)), ("uid",), ("p1", "p2"))
+    b = plan_buckets(df, {"x": o}, buckets=buckets)["x"]
+    out = with_positions(df, o, b, "x_", value="k2", neighbours=True, first_value=True)
+    mine = {r.uid: (r.x_pos, r.x_n, r.x_rank, r.x_rank_last, r.x_lag, r.x_lead, r.x_first)
+            for r in out.collect()}
+    order = [F.col("k1").desc_nulls_last(), F.col("k2").asc_nulls_last()]
+    w = Window.partitionBy("p1", "p2").orderBy(*order, "uid")
+    wp = Window.partitionBy("p1", "p2").orderBy(*order)
+    nat = df.select(
+        "uid", F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("p1", "p2")),
+        F.rank().over(wp), F.count(F.lit(1)).over(wp.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        F.lag("k2").over(w), F.lead("k2").over(w),
+        F.first("k2").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    want = {r[0]: tuple(r[1:]) for r in nat.collect()}
+    assert mine == want

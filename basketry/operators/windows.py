@@ -36,6 +36,7 @@ partitioning. NULL order values sort last in both directions.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -249,7 +250,7 @@ def _bucket_expr(key: Column, schema: T.StructType, bounds: list[tuple]) -> Colu
 def with_positions(df: DataFrame, o: Ordering, bounds: list[tuple], prefix: str, *,
                    value: str | None = None, running: bool = False, neighbours: bool = False,
                    first_value: bool = False, reverse_rank: bool = False,
-                   stats_source: DataFrame | None = None) -> DataFrame:
+                   stats_source: DataFrame | None = None, summary_rows: list | None = None) -> DataFrame:
     """Add window values of ordering ``o`` as columns named ``prefix + ...``.
 
     Always: ``pos`` (ROW_NUMBER with ties broken by ``tie_by``), ``n``
@@ -268,6 +269,8 @@ def with_positions(df: DataFrame, o: Ordering, bounds: list[tuple], prefix: str,
     (default ``df``): any frame with the same rows and the ordering and
     value columns. When several orderings are chained, passing the common
     base keeps each summary off the previous orderings' shuffles.
+    ``summary_rows`` are the collected rows of ``bucket_summary`` when the
+    caller has already run it (``global_windows`` runs them concurrently).
     """
     if running and o.partition_by:
         raise NotImplementedError("running sums are provided for global orderings only")
@@ -277,7 +280,15 @@ def with_positions(df: DataFrame, o: Ordering, bounds: list[tuple], prefix: str,
                 first_value=first_value, reverse_rank=reverse_rank)
     if not bounds:
         return _native_positions(df, o, prefix, **opts)
-    return _bucketed_positions(df, o, bounds, prefix, stats_source=stats_source, **opts)
+    return _bucketed_positions(df, o, bounds, prefix, stats_source=stats_source, summary_rows=summary_rows, **opts)
+
+
+def bucket_summary(df: DataFrame, o: Ordering, bounds: list[tuple], **opts) -> DataFrame:
+    """The lazy per-bucket summary aggregate ``with_positions`` collects
+    (one row per bucket, at most ``max_buckets``)."""
+    full = dict(value=None, running=False, neighbours=False, first_value=False, reverse_rank=False)
+    full.update(opts)
+    return _bucketed_positions(df, o, bounds, "", summary_only=True, **full)
 
 
 def _native_positions(df, o, prefix, *, value, running, neighbours, first_value, reverse_rank):
@@ -326,7 +337,7 @@ def _at(arr: Column) -> Column:
 
 
 def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, first_value, reverse_rank,
-                        stats_source=None):
+                        stats_source=None, summary_only=False, summary_rows=None):
     fields, levels = _key_fields(df, o)
     names = [f for f, _ in fields]
     key_schema = T.StructType([df.withColumns(dict(fields)).schema[f] for f in names])
@@ -380,7 +391,12 @@ def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, fi
     if first_value and has_part:
         in_tail = (F.col("_b") < m) & (prefix_of(k_part) == F.element_at(prefix_lits(k_part), F.col("_b") + 1))
         aggs.append(F.min_by(value, F.when(in_tail, F.col("_o"))).alias("tfv"))
-    rows = {r["_b"]: r for r in src.groupBy("_b").agg(*aggs).collect()}
+    summary = src.groupBy("_b").agg(*aggs)
+    if summary_only:
+        return summary
+    if summary_rows is None:
+        summary_rows = summary.collect()
+    rows = {r["_b"]: r for r in summary_rows}
     nb = m + 1
     empty = {"cnt": 0, "sv": None, "fv": None, "lv": None, "tfv": None}
     summ = [rows[b].asDict() if b in rows else dict(empty, **{f"{x}_{lname}": 0 for x in ("head", "tail")
@@ -551,12 +567,20 @@ def global_windows(df: DataFrame, specs: dict[str, tuple[Ordering, dict]], *,
 
     ``specs`` maps a column prefix to ``(ordering, options)`` where options
     are keyword arguments of ``with_positions``. Split points of all
-    orderings come from a single sample, then each ordering costs one
-    shuffle.
+    orderings come from a single sample, their per-bucket summaries run
+    as concurrent jobs, then each ordering costs one shuffle.
     """
     bounds = plan_buckets(df, {p: o for p, (o, _) in specs.items()}, buckets=buckets,
                           rows_per_bucket=rows_per_bucket, max_buckets=max_buckets)
+    # the per-bucket summaries only read the base, so they run as
+    # concurrent jobs; each returns at most max_buckets rows
+    pending = {p: bucket_summary(df, o, bounds[p], **opts) for p, (o, opts) in specs.items() if bounds[p]}
+    collected = {}
+    if pending:
+        with ThreadPoolExecutor(max_workers=len(pending)) as pool:
+            futures = {p: pool.submit(s.collect) for p, s in pending.items()}
+            collected = {p: f.result() for p, f in futures.items()}
     out = df
     for p, (o, opts) in specs.items():
-        out = with_positions(out, o, bounds[p], p, stats_source=df, **opts)
+        out = with_positions(out, o, bounds[p], p, stats_source=df, summary_rows=collected.get(p), **opts)
     return out

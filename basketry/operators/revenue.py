@@ -23,21 +23,21 @@ def revenue_breakdown(orders: DataFrame, *, date_col: str = "order_date", catego
                       completed: str = "completed", sort: bool = True) -> DataFrame:
     """month, category, revenue, orders_count, pct_of_month, mom_growth_pct.
 
-    ``pct_of_month`` divides by the month's total (an aggregate joined back
-    null-safely on the month, not a window over a month's rows);
+    ``pct_of_month`` divides by the month's exact total (a SUM window per
+    month over the aggregated table, whose partitions hold one row per
+    category sold that month, i.e. the month's own result rows);
     ``mom_growth_pct`` compares with the category's previous month present
     in the data (a gap month is skipped). That LAG runs per category over
-    at most one row per calendar month.
+    at most one row per calendar month. The orders are scanned once.
     """
     mc = monthly_category(orders, date_col=date_col, category_col=category_col, amount_col=amount_col,
                           status_col=status_col, completed=completed)
-    totals = mc.groupBy(F.col("month").alias("_tm")).agg(F.sum("_rev").alias("_tot"))
-    j = mc.join(totals, F.col("month").eqNullSafe(F.col("_tm")), "inner")
     revenue = round_n(F.col("_rev").cast("double"), 2)
+    by_month = Window.partitionBy("month")
     w = Window.partitionBy(category_col).orderBy(F.col("month").asc_nulls_last())
-    step = j.select(
+    step = mc.select(
         "month", category_col, revenue.alias("revenue"), "orders_count",
-        pct(revenue, F.col("_tot").cast("double"), 1).alias("pct_of_month"))
+        pct(revenue, F.sum("_rev").over(by_month).cast("double"), 1).alias("pct_of_month"))
     step = step.withColumn("_prev", F.lag("revenue").over(w))
     out = step.select(
         "month", category_col, "revenue", "orders_count", "pct_of_month",

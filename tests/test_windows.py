@@ -132,3 +132,19 @@ def test_two_order_columns_and_two_partitions(spark, buckets):
         F.first("k2").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     want = {r[0]: tuple(r[1:]) for r in nat.collect()}
     assert mine == want
+
+
+def test_string_partition_values_with_quotes_and_accents(spark):
+    rnd = random.Random(5)
+    names = ["a'b", "c\\d", "electrónica", "x\"y", "plain", "日本"]
+    rows = [(uid, rnd.choice(names), rnd.choice([1.0, 2.0, 3.0])) for uid in range(400)]
+    df = spark.createDataFrame(rows, "uid long, cat string, v double")
+    o = Ordering((("v", True),), ("uid",), ("cat",))
+    b = plan_buckets(df, {"x": o}, buckets=9)["x"]
+    assert b
+    out = with_positions(df, o, b, "x_", value="v", neighbours=True)
+    mine = {r.uid: (r.x_pos, r.x_rank, r.x_lag, r.x_lead) for r in out.collect()}
+    w = Window.partitionBy("cat").orderBy(F.col("v").desc(), "uid")
+    nat = df.select("uid", F.row_number().over(w), F.rank().over(Window.partitionBy("cat").orderBy(F.col("v").desc())),
+                    F.lag("v").over(w), F.lead("v").over(w))
+    assert mine == {r[0]: tuple(r[1:]) for r in nat.collect()}

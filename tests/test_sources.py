@@ -36,3 +36,18 @@ def test_write_parquet_round_trip(spark):
     back = spark.read.parquet(out)
     assert back.count() == df.count()
     assert sorted(back.columns) == sorted(df.columns)
+
+
+def test_sql_views_and_summary_dict(spark):
+    from basketry.operators import executive_summary, summary_dict
+    from basketry.sources import register_views
+
+    raw = read_table(spark, SF, "orders")
+    orders = shop_orders(raw)
+    register_views(spark, {"shop_orders": orders})
+    n_sql = spark.sql("SELECT COUNT(*) AS n FROM shop_orders WHERE status = 'completed'").first().n
+    kpis = summary_dict(executive_summary(orders, status_col="status_code", completed="F",
+                                          returned="P", cancelled="O"))
+    assert kpis["completed_orders"] == n_sql
+    assert set(kpis) == {"total_users", "completed_orders", "total_revenue", "avg_order_value",
+                         "return_rate_pct", "cancel_rate_pct"}

@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.llm import packing
+from basketry.llm import line_dedup, mixing, packing
 from basketry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,39 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op4_range_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
+# white space of the key, as DuckDB's trim() and split() take it
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE["op4_range_line_dedup"] = f"""
+WITH line AS (
+    SELECT doc_id, rn, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM (SELECT doc_id, text, row_number() OVER () AS rn FROM documents)),
+keyed AS (
+    SELECT *, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM line),
+frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.k IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id, rn"""
+
+
+def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling weight by labelled quality: 1 for good, 1/4 for bad; unlabelled documents weigh 1 by default."""
+    labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    return labels.select("doc_id", F.when(F.col("q") == 0, 0.25).otherwise(1.0).alias("weight"))
+
+
+@query("op5_weighted_mix")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"), quality=label_weights(spark, sf_dir),
+                              weights=(1, 2, 3), share=1.0, cap=3)
+
+
 @query("op10_sum_of_squares_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe)

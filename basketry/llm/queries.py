@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import line_dedup, mixing, packing
+from basketry.llm import line_dedup, mixing, packing, warc
+from basketry.llm.common import shared_path
 from basketry.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +63,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                               weights=(1, 2, 3), share=1.0, cap=3)
 
 
+@query("op6_arc_to_warc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, out = shared_path(spark, "arc"), shared_path(spark, "warc")
+    warc.write_arc(read_table(spark, sf_dir, "pages"), arc)
+    warc.convert(spark, arc, out)
+    kind = F.when(F.col("warc_type") == "revisit", "revisit").otherwise("response")
+    return warc.read_warc(spark, out).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", kind.alias("record_type"),
+        F.col("refers_key").alias("refers_to"))
+
+
+ORACLE["op6_arc_to_warc"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f"""
+
+
 @query("op10_sum_of_squares_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import line_dedup, mixing, packing, topk, warc
+from basketry.llm import line_dedup, mixing, packing, ppm, topk, warc
 from basketry.llm.common import shared_path
 from basketry.sources.tables import read_table
 
@@ -103,6 +103,14 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f"""
 
 
+@query("op7_ppm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scores = ppm.ppm_scores(read_table(spark, sf_dir, "documents"), ~held_out, order=5)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 @query("op10_sum_of_squares_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe)

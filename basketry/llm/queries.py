@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import line_dedup, mixing, packing, ppm, topk, warc
+from basketry.llm import line_dedup, mixing, packing, ppm, quality, topk, warc
 from basketry.llm.common import shared_path
 from basketry.sources.tables import read_table
 
@@ -30,6 +30,16 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents labelled good and not toxic."""
+    return read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()
+
+
+@query("op2_kneser_ney_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), trusted(spark, sf_dir)).drop("row_key")
+
+
 @query("op3_threshold_topk")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import line_dedup, mixing, packing, ppm, quality, topk, warc
+from basketry.llm import line_dedup, mixing, packing, ppm, quality, substring, topk, warc
 from basketry.llm.common import shared_path
 from basketry.sources.tables import read_table
 
@@ -30,6 +30,30 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_fm_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(read_table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+ORACLE["op1_fm_substring_dedup"] = r"""
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS rn,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+    SELECT rn, doc_id, s, sha256(array_to_string(w[s + 1 : s + 50], ' ')) AS h
+    FROM (SELECT *, unnest(range(0, len(w) - 49)) AS s FROM d WHERE len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+hit AS (SELECT rn, s FROM win JOIN first USING (h) WHERE first < doc_id),
+gone AS (SELECT DISTINCT rn, unnest(range(s, s + 50)) AS p FROM hit),
+word AS (SELECT rn, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM d),
+kept AS (
+    SELECT word.rn, string_agg(x, ' ' ORDER BY word.p) AS t, count(*) AS n
+    FROM word LEFT JOIN gone ON gone.rn = word.rn AND gone.p = word.p WHERE gone.p IS NULL GROUP BY word.rn)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rn)"""
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the documents labelled good and not toxic."""
     return read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()

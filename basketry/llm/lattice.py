@@ -66,7 +66,7 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+def forest_edges(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what a symmetric matrix links, one fewer than the nodes of each component."""
     n = len(linked)
     fresh = np.ones(n, dtype=bool)
@@ -85,7 +85,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(table: pa.Table, key: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def grouped_rows(table: pa.Table, key: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row order, bounds) of the groups with equal keys."""
     columns = [table.column(c).to_numpy() for c in key]
     by = np.lexsort(columns[::-1])
@@ -96,7 +96,7 @@ def _groups(table: pa.Table, key: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _edges(table: pa.Table, least: float) -> pa.Table:
     """(a, b): spanning edges of the vectors of each cell (or pair of its blocks) whose cosine is at least ``least``."""
-    by, bounds = _groups(table, ["dim", "cell", "lo", "hi"])
+    by, bounds = grouped_rows(table, ["dim", "cell", "lo", "hi"])
     ids, left = table.column("id").to_numpy()[by], table.column("left").to_numpy(zero_copy_only=False)[by]
     out: list[np.ndarray] = [np.empty((0, 2), np.int64)]
     dims = table.column("dim").to_numpy()[by]
@@ -120,7 +120,7 @@ def _edges(table: pa.Table, least: float) -> pa.Table:
             linked = own @ own.T >= least
             if not own_left.all():  # two blocks: each is verified in itself elsewhere
                 linked &= own_left[:, None] != own_left[None, :]
-            found = _forest(linked)
+            found = forest_edges(linked)
             out.append(own_ids[np.array(found, dtype=np.int64).reshape(-1, 2)])
     pairs = np.concatenate(out)
     return pa.table({"a": pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 0]),
@@ -129,7 +129,7 @@ def _edges(table: pa.Table, least: float) -> pa.Table:
 
 def _counts(table: pa.Table, least: float) -> pa.Table:
     """(id, n): links of each vector in its component (or pair of its blocks), as many as the other has copies."""
-    by, bounds = _groups(table, ["component", "lo", "hi"])
+    by, bounds = grouped_rows(table, ["component", "lo", "hi"])
     ids, copies = table.column("id").to_numpy()[by], table.column("copies").to_numpy()[by]
     left = table.column("left").to_numpy(zero_copy_only=False)[by]
     v = _unit(table.column("v").take(pa.array(by)))  # a component has one length of vectors; a task may have several

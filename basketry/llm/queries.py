@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import lattice, line_dedup, mixing, packing, ppm, quality, substring, topk, warc
+from basketry.llm import forest, lattice, line_dedup, mixing, packing, ppm, quality, substring, topk, warc
 from basketry.llm.common import shared_path
 from basketry.sources.tables import read_table
 
@@ -145,6 +145,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+@query("op8_minhash_forest_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_documents(read_table(spark, sf_dir, "documents"), similarity=0.8, length=5).drop("row_key")
+
+
 @query("op9_e8_near_vectors")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(read_table(spark, sf_dir, "embeddings"), least=0.95)

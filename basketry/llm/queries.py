@@ -158,3 +158,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sum_of_squares_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which takes its inputs from here
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -127,9 +127,12 @@ def _search(table: pa.Table, window: int) -> pa.Table:
     doc, n = table.column("doc").to_numpy(), table.column("n").to_numpy()
     mine = np.repeat(indexed, lengths)
     numbers, distinct = pd.factorize(words[mine])
-    index = FMIndex(numbers, lengths[indexed], doc[indexed], max(1, len(distinct)), window)
+    if indexed.any():
+        index = FMIndex(numbers, lengths[indexed], doc[indexed], max(1, len(distinct)), window)
     if indexed.all():
         firsts = index.owners(numbers, begin, lengths, window)
+    elif not indexed.any():  # no passage came to this index
+        firsts = np.full(int(n.sum()), LAST)
     else:  # passages of other indexes too: window by window
         known = np.full(int(words.max()) + 1, -1)
         known[distinct] = np.arange(len(distinct))

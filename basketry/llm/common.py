@@ -58,6 +58,11 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def carried(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` with its columns inside ``row``, so that none clashes with ``columns``; ``select("row.*")`` undoes it."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(data, bounds) of a string column: row i is data[bounds[i]:bounds[i + 1]], a null row is empty."""
     if isinstance(column, pa.ChunkedArray):

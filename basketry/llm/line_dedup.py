@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import partitions, row_key, slices, stored, utf8
+from basketry.llm.common import carried, partitions, row_key, slices, stored, utf8
 
 LINES = "hi bigint, lo bigint, doc_id bigint, row_key bigint, n_lines int, at array<int>"
 STREAMED = LINES + ", kind string, docs bigint"
@@ -203,11 +203,12 @@ def kept_text(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their ``_keep_bitmap`` (null: keep all)."""
+    """The rows of ``docs`` as (row, bitmap), where a null bitmap keeps all lines."""
     b = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"),
-                       F.col("keep_bitmap").alias("_keep_bitmap"))
-    return docs.join(b, F.col(id_col).cast("bigint").eqNullSafe(F.col("_doc"))
-                     & (row_key(F.col(text_col)) == F.col("_key")), "left").drop("_doc", "_key")
+                       F.col("keep_bitmap").alias("bitmap"))
+    own = carried(docs, doc=F.col(id_col).cast("bigint"), key=row_key(F.col(text_col)))
+    both = own.join(b, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    return both.select("row", "bitmap")
 
 
 def line_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -223,8 +224,9 @@ def line_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                  pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())],
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
+    bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options)
     read = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return (with_bitmaps(read, keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options))
+    return (with_bitmaps(read, bitmaps).select("row.doc_id", "row.text", "bitmap")
             .mapInArrow(digests, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"))
 
 
@@ -235,7 +237,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pd.Series([t if m is None or t is None else kept_text(t.encode(), m)[0].decode()
                           for t, m in zip(text, bitmap)], dtype=object)
 
-    own = docs.withColumn("_text", F.col(text_col))
-    both = with_bitmaps(own, keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options), id_col=id_col)
-    text = F.when(F.col("_keep_bitmap").isNull(), F.col("_text")).otherwise(applied("_text", "_keep_bitmap"))
-    return both.withColumn(text_col, text).select(*docs.columns)
+    bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options)
+    text = F.col("row")[text_col]
+    text = F.when(F.col("bitmap").isNull(), text).otherwise(applied(text, "bitmap"))
+    return (with_bitmaps(docs, bitmaps, id_col=id_col, text_col=text_col)
+            .select(F.col("row").withField(text_col, text).alias("row")).select("row.*"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basketry.llm.common import row_key, stored
+from basketry.llm.common import carried, row_key, stored
 
 #: buckets per doubling of the key: at most some 0.3 percent of a source each
 BUCKETS_PER_OCTAVE = 256
@@ -69,7 +69,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     each other in the order. An empty table gives no rows. Other columns are
     not read, so they can have any name.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("row_key"),
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(text_col)).alias("row_key"),
                        F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     if quality is None:
         rows = rows.withColumn("weight", F.lit(1.0))
@@ -116,12 +116,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     taken = (mix_sources(docs, **options).groupBy("doc_id", "row_key", "source")
              .agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
              .withColumnsRenamed({"doc_id": "_doc", "row_key": "_key", "source": "_src"}))
-    own = docs.withColumns({"_own_doc": F.col(id_col), "_own_key": row_key(F.col(text_col)),
-                            "_own_src": F.col(source_col)})
-    both = own.join(taken, F.col("_own_doc").eqNullSafe(F.col("_doc")) & (F.col("_own_key") == F.col("_key"))
-                    & F.col("_own_src").eqNullSafe(F.col("_src")))
+    own = carried(docs, doc=F.col(id_col).cast("bigint"), key=row_key(F.col(text_col)), src=F.col(source_col))
+    both = own.join(taken, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
+                    & F.col("src").eqNullSafe(F.col("_src"))).where(F.col("_copies") > 0)
     number = F.row_number().over(W.partitionBy("_doc", "_key", "_src").orderBy(F.lit(0)))
-    times = F.expr("_copies div _rows") + (F.col("_number") <= F.col("_copies") % F.col("_rows")).cast("bigint")
-    return (both.where(F.col("_copies") > 0).withColumn("_number", number).withColumn("_times", times)
-            .where(F.col("_times") > 0).withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
-            .select(*docs.columns))
+    times = F.expr("_copies div _rows") + (F.col("number") <= F.col("_copies") % F.col("_rows")).cast("bigint")
+    return (both.withColumn("number", number).withColumn("times", times).where("times > 0")
+            .withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("row.*"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from basketry.functions.exprs import money_avg, money_sum, require_columns, round_n
 from basketry.operators.windows import Ordering, global_windows, ntile, percent_rank
-from basketry.session import materialize
 
 
 def customer_spend(users: DataFrame, orders: DataFrame, *, user_col: str = "user_id",
@@ -41,23 +40,22 @@ def customer_spend(users: DataFrame, orders: DataFrame, *, user_col: str = "user
 
 
 def rank_customers(spend: DataFrame, *, user_col: str = "user_id", country_col: str = "country",
-                   n_tiles: int = 4, buckets: int | None = None) -> DataFrame:
+                   n_tiles: int = 4, ranges: int | None = None) -> DataFrame:
     """Add global_rank, country_rank, percentile, running_revenue,
     prev_user_spent, next_user_spent and quartile to a per-buyer table.
 
     Two orderings by total_spent DESC (global, and per country) through
-    the bucketed windows: two shuffles, no single-task sort even when one
-    country holds most buyers. Ties: RANK/percentile use peers; running
+    sorted ranges: no single-task sort, even when one country holds most
+    buyers. Ties: RANK/percentile use peers; running
     sum, LAG/LEAD and NTILE break them by user id.
     """
-    spend = materialize(spend)
     specs = {
         "_g_": (Ordering((("total_spent", True),), (user_col,)),
                 dict(value="total_spent", running=True, reverse_rank=True)),
         "_c_": (Ordering((("total_spent", True),), (user_col,), (country_col,)),
                 dict(value="total_spent", neighbours=True)),
     }
-    w = global_windows(spend, specs, buckets=buckets)
+    w = global_windows(spend, specs, ranges=ranges)
     return w.select(
         *spend.columns,
         F.col("_g_rank").alias("global_rank"),
@@ -72,13 +70,13 @@ def rank_customers(spend: DataFrame, *, user_col: str = "user_id", country_col:
 def customer_ranking(users: DataFrame, orders: DataFrame, *, user_col: str = "user_id",
                      country_col: str = "country", plan_col: str = "plan", order_id_col: str = "order_id",
                      amount_col: str = "amount", status_col: str = "status", completed: str = "completed",
-                     n_tiles: int = 4, limit: int | None = 100, buckets: int | None = None) -> DataFrame:
+                     n_tiles: int = 4, limit: int | None = 100, ranges: int | None = None) -> DataFrame:
     """The ranked buyers, best first; ``limit`` keeps the top rows (the
     windows always cover every buyer). The limit is a top-k
     (TakeOrderedAndProject), ties at the cut broken by user id."""
     spend = customer_spend(users, orders, user_col=user_col, country_col=country_col, plan_col=plan_col,
                            order_id_col=order_id_col, amount_col=amount_col, status_col=status_col,
                            completed=completed)
-    ranked = rank_customers(spend, user_col=user_col, country_col=country_col, n_tiles=n_tiles, buckets=buckets)
+    ranked = rank_customers(spend, user_col=user_col, country_col=country_col, n_tiles=n_tiles, ranges=ranges)
     ranked = ranked.orderBy(F.col("global_rank").asc_nulls_last(), F.col(user_col).asc_nulls_last())
     return ranked.limit(limit) if limit is not None else ranked

@@ -11,7 +11,6 @@ from basketry.functions.exprs import (
     date_lit, diff_days, money_sum, require_columns, round_n, to_day,
 )
 from basketry.operators.windows import Ordering, global_windows, ntile
-from basketry.session import materialize
 
 # Segment names, tested in this order (first match wins).
 CHAMPIONS = "Champions"
@@ -51,20 +50,18 @@ def rfm_raw(orders: DataFrame, *, as_of: str | _dt.date, user_col: str = "user_i
 
 
 def rfm_scores(raw: DataFrame, *, user_col: str = "user_id", n_tiles: int = 5,
-               buckets: int | None = None) -> DataFrame:
+               ranges: int | None = None) -> DataFrame:
     """Add r/f/m_score: NTILE over recency DESC (recent = high), frequency
     and monetary ASC; ties broken by user id so scores are deterministic.
 
-    The three global orderings go through the bucketed windows: one
-    checkpoint of the per-user table, one sample, then one shuffle each.
+    The three global orderings go through sorted ranges, one after the other.
     """
-    raw = materialize(raw)
     specs = {
         "_r_": (Ordering((("recency", True),), (user_col,)), {}),
         "_f_": (Ordering((("frequency", False),), (user_col,)), {}),
         "_m_": (Ordering((("monetary", False),), (user_col,)), {}),
     }
-    w = global_windows(raw, specs, buckets=buckets)
+    w = global_windows(raw, specs, ranges=ranges)
     return w.select(
         *raw.columns,
         ntile("_r_pos", "_r_n", n_tiles).alias("r_score"),
@@ -76,11 +73,11 @@ def rfm_segmentation(orders: DataFrame, *, as_of: str | _dt.date = "2023-12-31",
                      user_col: str = "user_id", date_col: str = "order_date",
                      amount_col: str = "amount", status_col: str = "status",
                      completed: str = "completed", n_tiles: int = 5,
-                     buckets: int | None = None, sort: bool = True) -> DataFrame:
+                     ranges: int | None = None, sort: bool = True) -> DataFrame:
     """user, recency, frequency, monetary, r/f/m_score, rfm_avg, segment."""
     raw = rfm_raw(orders, as_of=as_of, user_col=user_col, date_col=date_col,
                   amount_col=amount_col, status_col=status_col, completed=completed)
-    s = rfm_scores(raw, user_col=user_col, n_tiles=n_tiles, buckets=buckets)
+    s = rfm_scores(raw, user_col=user_col, n_tiles=n_tiles, ranges=ranges)
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     out = s.select(
         user_col, "recency", "frequency", "monetary", "r_score", "f_score", "m_score",

@@ -2,52 +2,39 @@
 LAG/LEAD, FIRST_VALUE) without funnelling a whole ordering into one task.
 
 A window with no PARTITION BY, or one whose partition holds a third of the
-rows, makes Spark sort everything in a single task. Here the total order
-(partition columns, order columns, tie columns) is cut into contiguous
-*buckets* at split points sampled from the data:
-
-1. ``plan_buckets`` counts the input once and samples a bounded number of
-   sort keys; it returns at most ``max_buckets - 1`` split points per
-   ordering. Splits are on the *full* key including the unique tie columns,
-   so one hot key value or one huge partition still spreads over many
-   buckets. Correctness never depends on the splits, only balance does.
-2. One aggregate over the unshuffled input gives a summary row per bucket
-   (at most ``max_buckets`` rows, collected like the sample): row count,
-   value sum, edge values, and how many rows of the peer groups of the
-   neighbouring split points the bucket holds. The split points are rows
-   of the input, so bucket b > 0 starts at split point b - 1 and the only
-   group that can cross the edge into bucket b + 1 is the one of split
-   point b. From these counts the driver chains row offsets and the
-   extent of groups that span several buckets.
-3. ``with_positions`` shuffles once on the bucket number, runs ordinary
-   windows inside each bucket (row number, peer rank/end, running sum,
-   neighbours) and adds the bucket's offsets from constant arrays indexed
-   by bucket number: no join and no single-task stage.
-
-The input must be deterministic (the operators checkpoint large inputs);
-a split point missing from the input raises instead of giving wrong
-positions.
-
-Ties are resolved by the caller's tie columns, so NTILE, ROW_NUMBER-like
-positions, running sums and LAG/LEAD are deterministic under any
-partitioning. NULL order values sort last in both directions.
+rows, makes Spark sort everything in a single task. Here Spark's range
+partitioner deals the rows to ranges of the full sort key (partition
+columns, order columns, tie columns), so one hot value or one huge
+partition spreads over many ranges. The sorted ranges are stored once in
+the shared folder with each row's place in them. Then
+
+1. one row per range says how many rows it holds, and which groups of
+   equal partition or order columns it begins and ends with. Windows over
+   these few rows (as many as there are ranges, whatever the data) give each
+   range its offset and the extent of the groups that span several ranges;
+2. the stored rows go back to one task per range (``repartitionById``),
+   where ordinary windows find each row's place in the groups of its range;
+   groups at the range's ends take their extent from the range's row.
+
+The same plan runs at every size. Order is the range partitioner's, that is
+Spark's own for ``ORDER BY ... NULLS LAST``: strings, dates and timestamps
+in either direction, NaN above all numbers, zone-free timestamps as they
+are. Ties are resolved by the caller's tie columns, so positions, running
+sums and LAG/LEAD are the same under any partitioning.
 """
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from basketry.functions.exprs import MONEY_DECIMAL
+from basketry.functions.exprs import exact
+from basketry.session import stored
 
-ROWS_PER_BUCKET = 1 << 20
-MAX_BUCKETS = 1024
-SAMPLE_PER_BUCKET = 32
+#: a row's place: its range in the upper bits, its number in the range below
+RANGE_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -56,531 +43,195 @@ class Ordering:
 
     ``order_by`` is a tuple of ``(column, descending)``; ``tie_by`` are the
     columns appended to make the order total (they must be unique together
-    with the partition columns).
+    with the partition columns). NULLs sort last in both directions.
     """
 
     order_by: tuple[tuple[str, bool], ...]
     tie_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
 
-
-# ---------------------------------------------------------------- sort key
-
-
-def _zero(dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.StringType):
-        return F.lit("")
-    if isinstance(dtype, T.BooleanType):
-        return F.lit(False)
-    if isinstance(dtype, T.DateType):
-        return F.lit(0).cast("long")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.lit(0).cast("long")
-    return F.lit(0).cast(dtype)
-
-
-def _orderable(c: Column, dtype: T.DataType, descending: bool) -> tuple[Column, T.DataType]:
-    """A value whose ascending order is the requested order."""
-    if isinstance(dtype, T.DateType):
-        c, dtype = F.unix_date(c).cast("long"), T.LongType()
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        c, dtype = F.unix_micros(c.cast("timestamp")), T.LongType()
-    if descending:
-        if not isinstance(dtype, T.NumericType):
-            raise TypeError(f"descending order needs a numeric, date or timestamp column, got {dtype}")
-        c = -c
-    return c, dtype
-
-
-def _key_fields(df: DataFrame, o: Ordering) -> tuple[list[tuple[str, Column]], dict[str, int]]:
-    """Flat list of (name, expr) sort fields, all ascending, no NULLs.
-
-    Each source column contributes a null flag (False sorts first, so NULLs
-    go last) and a null-free value. Returns the fields and the prefix
-    length of each level: ``part`` (partition), ``nulls`` (partition + null
-    flag of the first order column), ``peer`` (partition + order columns).
+    def sort_columns(self) -> list[Column]:
+        return [*[F.col(c).asc_nulls_last() for c in self.partition_by],
+                *[F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in self.order_by],
+                *[F.col(c).asc_nulls_last() for c in self.tie_by]]
+
+    def levels(self) -> dict[str, list[Column]]:
+        """Columns whose equal values make a group: the partition, its rows
+        with or without a NULL in the first order column, and the peers."""
+        part = [F.col(c) for c in self.partition_by]
+        nulls = [*part, F.col(self.order_by[0][0]).isNull()] if self.order_by else part
+        return {"part": part, "nulls": nulls, "peer": [*part, *[F.col(c) for c, _ in self.order_by]]}
+
+
+def sorted_ranges(df: DataFrame, o: Ordering, ranges: int | None = None) -> DataFrame:
+    """``df`` in sorted ranges, stored, with ``_place`` (ascending in the
+    total order) and ``_range``."""
+    for c in [*o.partition_by, *[c for c, _ in o.order_by], *o.tie_by]:
+        if c not in df.columns:
+            raise ValueError(f"window ordering: missing column {c!r}; have {df.columns}")
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = o.sort_columns()
+    if not keys:
+        raise ValueError("window ordering: no columns to order by")
+    placed = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_place", F.monotonically_increasing_id()))
+    return stored(placed.withColumn("_range", F.shiftright("_place", RANGE_BITS).cast("int")), "sorted-ranges")
+
+
+def _number(place: Column) -> Column:
+    """A row's number in its range, from 0."""
+    return place.bitwiseAND((1 << RANGE_BITS) - 1)
+
+
+def range_rows(rows: DataFrame, o: Ordering, value: str | None = None) -> DataFrame:
+    """One row per range: its offset in the total order, and for each level
+    where the group that it begins with starts and the one that it ends with
+    ends, both in numbers over all rows.
+
+    With ``value``: the value before and behind the range, the first value
+    of the partition it begins in, and the exact sum of that partition's
+    values in earlier ranges.
     """
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    fields: list[tuple[str, Column]] = []
-
-    def add(name: str, descending: bool) -> None:
-        if name not in types:
-            raise ValueError(f"window ordering: missing column {name!r}; have {df.columns}")
-        c, dtype = _orderable(F.col(name), types[name], descending)
-        i = len(fields) // 2
-        fields.append((f"_k{i}n", F.col(name).isNull()))
-        fields.append((f"_k{i}v", F.coalesce(c, _zero(dtype))))
-
-    for p in o.partition_by:
-        add(p, False)
-    k_part = len(fields)
-    for name, desc in o.order_by:
-        add(name, desc)
-    k_peer = len(fields)
-    for t in o.tie_by:
-        add(t, False)
-    levels = {"part": k_part, "nulls": k_part + 1 if o.order_by else k_part, "peer": k_peer}
-    return fields, levels
-
-
-def _row_tuple(v):
-    return tuple(v)
-
-
-# ------------------------------------------------------------- split points
-
-
-def plan_buckets(df: DataFrame, orderings: dict[str, Ordering], *, buckets: int | None = None,
-                 rows_per_bucket: int | None = None, max_buckets: int | None = None,
-                 seed: int = 17) -> dict[str, list[tuple]]:
-    """Split points for each ordering, from one count and one bounded sample.
-
-    ``df`` should be materialised (checkpointed) by the caller: this runs
-    two small jobs over it. With ``buckets`` given, exactly that many
-    buckets are targeted (used by tests to force bucket edges on tiny data).
-    """
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    max_buckets = max_buckets or MAX_BUCKETS
-    n = df.count()
-    if buckets is None:
-        buckets = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    buckets = max(1, min(buckets, max_buckets))
-    if buckets == 1 or n == 0:
-        return {name: [] for name in orderings}
-    keyed = {}
-    for name, o in orderings.items():
-        fields, _ = _key_fields(df, o)
-        keyed[name] = F.struct(*[e.alias(f) for f, e in fields]).alias(name)
-    fraction = min(1.0, (SAMPLE_PER_BUCKET * buckets * 1.2) / n)
-    sample = df.select(*keyed.values()).sample(withReplacement=False, fraction=fraction, seed=seed).collect()
-    out: dict[str, list[tuple]] = {}
-    for name in orderings:
-        keys = sorted(_row_tuple(r[name]) for r in sample)
-        bounds: list[tuple] = []
-        for j in range(1, buckets):
-            if not keys:
-                break
-            cand = keys[(j * len(keys)) // buckets]
-            if not bounds or cand > bounds[-1]:
-                bounds.append(cand)
-        out[name] = bounds
-    return out
-
-
-def _sql_literal(v, dtype: T.DataType) -> str:
-    """Exact, non-null SQL literal for one split-point value of a key field."""
-    if isinstance(dtype, T.BooleanType):
-        return "true" if v else "false"
-    if isinstance(dtype, T.StringType):
-        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(dtype, T.DoubleType):
-        return f"{float(v)!r}D" if v >= 0 else f"(-{-float(v)!r}D)"
-    if isinstance(dtype, T.FloatType):
-        return f"CAST({float(v)!r}D AS FLOAT)"
-    if isinstance(dtype, T.LongType):
-        return f"{int(v)}L"
-    if isinstance(dtype, (T.IntegerType, T.ShortType, T.ByteType)):
-        return f"CAST({int(v)} AS {dtype.simpleString()})"
-    if isinstance(dtype, T.DecimalType):
-        return f"CAST({v}BD AS {dtype.simpleString()})"
-    return f"CAST('{v}' AS {dtype.simpleString()})"
-
-
-#: split points handled by a compiled CASE tree alone; with more, the tree
-#: covers this many evenly spaced ones and a short binary search over a
-#: constant array finishes the job
-CASE_TREE_MAX_BOUNDS = 31
-_PACK = 1 << 20  # (lo, hi) of the search packed in one long: lo * _PACK + hi
-
-
-def _bucket_expr(key: Column, schema: T.StructType, bounds: list[tuple]) -> Column:
-    """Number of split points <= the key struct (a column named ``_o`` with
-    the fields of ``schema``); about log2(#bounds) comparisons per row.
-
-    A balanced CASE tree (compiled with the rest of the stage) over at
-    most ``CASE_TREE_MAX_BOUNDS`` split points narrows the answer to a
-    range; when there are more split points, ``aggregate`` runs a fixed
-    number of binary-search steps over them as one constant array. The
-    generated code stays small for any bucket count.
+    levels = o.levels()
+    keys = {f"_{name}": F.struct(F.lit(0).alias("_"), *[c.alias(f"c{i}") for i, c in enumerate(cols)])
+            for name, cols in levels.items()}
+    keyed = rows.select("_range", "_place", *([F.col(value).alias("_v")] if value else []),
+                        *[k.alias(name) for name, k in keys.items()])
+    ends = [F.count(F.lit(1)).alias("_count")]
+    for name in keys:
+        ends += [F.min_by(name, "_place").alias(f"{name}_first"), F.max_by(name, "_place").alias(f"{name}_last")]
+    if value:
+        ends += [F.min_by("_v", "_place").alias("_v_first"), F.max_by("_v", "_place").alias("_v_last")]
+    table = keyed.groupBy("_range").agg(*ends)
+    # where the last group of a range starts in it, the first one ends, and
+    # what the last partition group adds up to there
+    marks = keyed.join(table.withColumnRenamed("_range", "_r"), F.col("_range") == F.col("_r"))
+    found = []
+    for name in keys:
+        found += [F.min(F.when(F.col(name).eqNullSafe(F.col(f"{name}_last")), F.col("_place"))).alias(f"{name}_tail"),
+                  F.max(F.when(F.col(name).eqNullSafe(F.col(f"{name}_first")), F.col("_place"))).alias(f"{name}_head")]
+    if value:
+        in_tail = F.col("_part").eqNullSafe(F.col("_part_last"))
+        found += [F.sum(F.when(in_tail, exact("_v"))).alias("_tail_sum"),
+                  F.min_by(F.struct("_v"), F.when(in_tail, F.col("_place"))).alias("_tail_first")]
+    table = table.join(marks.groupBy(F.col("_range").alias("_r")).agg(*found), F.col("_range") == F.col("_r")).drop("_r")
+
+    in_order = Window.orderBy("_range")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    table = table.withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    for name in keys:
+        goes_on = F.col(f"{name}_first").eqNullSafe(F.lag(f"{name}_last").over(in_order)) & F.lag("_count").over(in_order).isNotNull()
+        comes_on = F.col(f"{name}_last").eqNullSafe(F.lead(f"{name}_first").over(in_order)) & F.lead("_count").over(in_order).isNotNull()
+        table = table.withColumns({f"{name}_on": goes_on, f"{name}_next": comes_on,
+                                   f"{name}_one": F.col(f"{name}_first").eqNullSafe(F.col(f"{name}_last"))})
+        # a range that is all one group, begun earlier, leaves the start as it was
+        start = F.last(F.when(~(F.col(f"{name}_on") & F.col(f"{name}_one")), F.col("_offset") + _number(F.col(f"{name}_tail"))),
+                       ignorenulls=True).over(up_to)
+        end = F.last(F.when(~(F.col(f"{name}_next") & F.col(f"{name}_one")), F.col("_offset") + _number(F.col(f"{name}_head"))),
+                     ignorenulls=True).over(onward)
+        table = table.withColumns({f"{name}_start": start, f"{name}_end": end})
+    out = [F.col("_range").alias("_r"), "_offset", F.col("_count").alias("_size")]
+    if value:
+        breaks = ~(F.col("_part_on") & F.col("_part_one"))
+        table = table.withColumns({
+            "_run": F.sum(breaks.cast("int")).over(up_to),
+            "_start_value": F.last(F.when(breaks, F.col("_tail_first")), ignorenulls=True).over(up_to)})
+        table = table.withColumn("_carry", F.sum("_tail_sum").over(Window.partitionBy("_run").orderBy("_range")
+                                                                   .rowsBetween(Window.unboundedPreceding, 0)))
+        out += [F.lag("_v_last").over(in_order).alias("_v_before"), F.lead("_v_first").over(in_order).alias("_v_behind"),
+                F.when(F.col("_part_on"), F.lag("_start_value").over(in_order)).alias("_group_first"),
+                F.when(F.col("_part_on"), F.lag("_carry").over(in_order)).alias("_group_carry")]
+    for name in keys:
+        out += [F.when(F.col(f"{name}_on"), F.lag(f"{name}_start").over(in_order))
+                .otherwise(F.col("_offset")).alias(f"_start{name}"),
+                F.when(F.col(f"{name}_next"), F.lead(f"{name}_end").over(in_order))
+                .otherwise(F.col("_offset") + F.col("_count") - 1).alias(f"_end{name}")]
+    return table.select(*out)
+
+
+def with_positions(df: DataFrame, o: Ordering, prefix: str, *, value: str | None = None, running: bool = False,
+                   neighbours: bool = False, first_value: bool = False, reverse_rank: bool = False,
+                   ranges: int | None = None) -> DataFrame:
+    """``df`` with window values of the ordering, each name with ``prefix``:
+
+    ``pos`` (ROW_NUMBER), ``n`` (rows of the partition), ``rank`` (RANK),
+    ``rank_last`` (rows up to the last peer); with ``reverse_rank``
+    ``rank_rev`` (RANK in the opposite direction, NULLs still last); for
+    ``value``: ``running`` (exact running SUM), ``lag`` and ``lead`` (with
+    ``neighbours``), ``first`` (FIRST_VALUE, with ``first_value``).
     """
-    m = len(bounds)
-    if not m:
-        return F.lit(0)
-    key_sql = "`_o`"
-    lits = [
-        "named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(v, f.dataType)}"
-                                    for v, f in zip(b, schema.fields)) + ")"
-        for b in bounds
-    ]
-    if m <= CASE_TREE_MAX_BOUNDS:
-        coarse = list(range(1, m + 1))
-    else:
-        k = CASE_TREE_MAX_BOUNDS
-        coarse = sorted({max(1, (j * m) // (k + 1)) for j in range(1, k + 1)})
-
-    def tree(lo: int, hi: int, cand: list[int]) -> str:
-        # the answer is in [lo, hi]; cand are split positions p in (lo, hi]
-        if not cand:
-            return f"{lo * _PACK + hi}L"
-        i = len(cand) // 2
-        p = cand[i]
-        return (f"CASE WHEN {key_sql} >= {lits[p - 1]} THEN {tree(p, hi, cand[i + 1:])} "
-                f"ELSE {tree(lo, p - 1, cand[:i])} END")
-
-    packed = tree(0, m, coarse)
-    if m <= CASE_TREE_MAX_BOUNDS:
-        return F.expr(f"CAST(({packed}) div {_PACK} AS INT)")
-    widest = max(b - a for a, b in zip([0] + coarse, coarse + [m + 1]))
-    steps = max(1, math.ceil(math.log2(widest + 1)))
-    lo, hi = f"(acc div {_PACK})", f"(acc % {_PACK})"
-    mid = f"(({lo} + {hi} + 1) div 2)"
-    search = (
-        f"aggregate(sequence(1, {steps}), {packed}, (acc, i) -> "
-        f"CASE WHEN {lo} >= {hi} THEN acc "
-        f"WHEN {key_sql} >= element_at(array({', '.join(lits)}), CAST({mid} AS INT)) "
-        f"THEN {mid} * {_PACK} + {hi} "
-        f"ELSE {lo} * {_PACK} + ({mid} - 1) END, acc -> CAST(acc div {_PACK} AS INT))"
-    )
-    return F.expr(search)
-
-
-# ----------------------------------------------------------------- positions
-
-
-def with_positions(df: DataFrame, o: Ordering, bounds: list[tuple], prefix: str, *,
-                   value: str | None = None, running: bool = False, neighbours: bool = False,
-                   first_value: bool = False, reverse_rank: bool = False,
-                   stats_source: DataFrame | None = None, summary_rows: list | None = None) -> DataFrame:
-    """Add window values of ordering ``o`` as columns named ``prefix + ...``.
-
-    Always: ``pos`` (ROW_NUMBER with ties broken by ``tie_by``), ``n``
-    (partition size), ``rank`` (RANK), ``rank_last`` (position of the last
-    peer). Optional, over column ``value``: ``running`` (SUM ROWS UNBOUNDED
-    PRECEDING, exact decimal, global orderings only), ``lag``/``lead``
-    (neighbours), ``first`` (FIRST_VALUE). ``reverse_rank`` adds ``rank_rev``:
-    RANK under the opposite direction of the first order column, NULLs
-    still last.
-
-    ``bounds`` come from ``plan_buckets``. No bounds means the counted
-    input fits one bucket, and native windows partitioned by the partition
-    columns are used directly.
-
-    ``stats_source`` is the frame the per-bucket summary is computed from
-    (default ``df``): any frame with the same rows and the ordering and
-    value columns. When several orderings are chained, passing the common
-    base keeps each summary off the previous orderings' shuffles.
-    ``summary_rows`` are the collected rows of ``bucket_summary`` when the
-    caller has already run it (``global_windows`` runs them concurrently).
-    """
-    if running and o.partition_by:
-        raise NotImplementedError("running sums are provided for global orderings only")
     if (running or neighbours or first_value) and value is None:
-        raise ValueError("value column required")
-    opts = dict(value=value, running=running, neighbours=neighbours,
-                first_value=first_value, reverse_rank=reverse_rank)
-    if not bounds:
-        return _native_positions(df, o, prefix, **opts)
-    return _bucketed_positions(df, o, bounds, prefix, stats_source=stats_source, summary_rows=summary_rows, **opts)
-
-
-def bucket_summary(df: DataFrame, o: Ordering, bounds: list[tuple], **opts) -> DataFrame:
-    """The lazy per-bucket summary aggregate ``with_positions`` collects
-    (one row per bucket, at most ``max_buckets``)."""
-    full = dict(value=None, running=False, neighbours=False, first_value=False, reverse_rank=False)
-    full.update(opts)
-    return _bucketed_positions(df, o, bounds, "", summary_only=True, **full)
-
-
-def _native_positions(df, o, prefix, *, value, running, neighbours, first_value, reverse_rank):
-    """Single-bucket case: ordinary windows, PARTITION BY the partition columns."""
-    fields, levels = _key_fields(df, o)
-    names = [f for f, _ in fields]
-    k_part, k_nulls, k_peer = levels["part"], levels["nulls"], levels["peer"]
-    part = [F.col(f) for f in names[:k_part]]
-    rest = [F.col(f) for f in names[k_part:]]
-    keyed = df.withColumns(dict(fields))
-    w_row = Window.partitionBy(*part).orderBy(*rest)
-    w_all = Window.partitionBy(*part)
-    w_peer = Window.partitionBy(*part).orderBy(*[F.col(f) for f in names[k_part:k_peer]])
-    upto = w_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = {
-        f"{prefix}pos": F.row_number().over(w_row).cast("long"),
-        f"{prefix}n": F.count(F.lit(1)).over(w_all).cast("long"),
-        f"{prefix}rank": F.rank().over(w_peer).cast("long"),
-        f"{prefix}rank_last": F.count(F.lit(1)).over(w_peer).cast("long"),
-    }
-    if reverse_rank:
-        flag = F.col(names[k_part])
-        nonnull = F.count(F.when(~flag, F.lit(1))).over(w_all)
-        out[f"{prefix}rank_rev"] = F.when(flag, nonnull + 1).otherwise(
-            nonnull - F.count(F.lit(1)).over(w_peer) + 1).cast("long")
-    if running:
-        out[f"{prefix}running"] = F.sum(F.col(value).cast(MONEY_DECIMAL)).over(upto)
-    if neighbours:
-        out[f"{prefix}lag"] = F.lag(value).over(w_row)
-        out[f"{prefix}lead"] = F.lead(value).over(w_row)
-    if first_value:
-        out[f"{prefix}first"] = F.first(value).over(upto)
-    return keyed.withColumns(out).select(*df.columns, *out.keys())
-
-
-def _sql_array(values, dtype: T.DataType) -> Column:
-    """A constant array column (one SQL expression, any length)."""
-    null = f"CAST(NULL AS {dtype.simpleString()})"
-    items = [null if v is None else _sql_literal(v, dtype) for v in values]
-    return F.expr(f"array({', '.join(items)})")
-
-
-def _at(arr: Column) -> Column:
-    """The entry of a per-bucket constant array for this row's bucket."""
-    return F.element_at(arr, F.col("_b") + 1)
-
-
-def _bucketed_positions(df, o, bounds, prefix, *, value, running, neighbours, first_value, reverse_rank,
-                        stats_source=None, summary_only=False, summary_rows=None):
-    fields, levels = _key_fields(df, o)
-    names = [f for f, _ in fields]
-    key_schema = T.StructType([df.withColumns(dict(fields)).schema[f] for f in names])
-    m = len(bounds)
-
-    def keyed_of(frame: DataFrame) -> DataFrame:
-        k = frame.withColumns(dict(fields))
-        k = k.withColumn("_o", F.struct(*[F.col(f) for f in names]))
-        # never NULL: keeps Catalyst from adding an isnotnull(_b) filter
-        # that would evaluate the bucket expression a second time
-        return k.withColumn("_b", F.coalesce(_bucket_expr(F.col("_o"), key_schema, bounds), F.lit(0)))
-
-    k_part, k_nulls, k_peer = levels["part"], levels["nulls"], levels["peer"]
-    has_part = k_part > 0
-    lv = {"peer": k_peer}
-    if has_part:
-        lv["part"] = k_part
-    if reverse_rank:
-        lv["nulls"] = k_nulls
-    vtype = df.schema[value].dataType if value is not None else None
-
-    def prefix_of(k: int) -> Column:
-        return F.struct(*[F.col("_o").getField(f).alias(f) for f in names[:k]])
-
-    def prefix_lits(k: int) -> Column:
-        """Prefixes of the split points; split point j is the first row of bucket j + 1."""
-        sub = T.StructType(key_schema.fields[:k])
-        return F.expr("array(" + ", ".join(
-            "named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(v, f.dataType)}"
-                                        for v, f in zip(b[:k], sub.fields)) + ")"
-            for b in bounds) + ")")
-
-    # ---- one row per bucket (at most max_buckets), in one pass over the
-    # unshuffled input. The split points are rows of the input, so a
-    # bucket's first row is known: bucket b > 0 starts at split point b - 1.
-    # What crosses the edge between buckets b and b + 1 is the peer group
-    # of split point b; counting its rows on both sides is enough to chain
-    # groups over any number of buckets.
-    src = keyed_of(df if stats_source is None else stats_source)
-    aggs = [F.count(F.lit(1)).alias("cnt")]
-    for lname, k in lv.items():
-        p = prefix_lits(k)
-        aggs.append(F.count(F.when((F.col("_b") > 0) & (prefix_of(k) == F.element_at(p, F.col("_b"))),
-                                   F.lit(1))).alias(f"head_{lname}"))
-        aggs.append(F.count(F.when((F.col("_b") < m) & (prefix_of(k) == F.element_at(p, F.col("_b") + 1)),
-                                   F.lit(1))).alias(f"tail_{lname}"))
-    if running:
-        aggs.append(F.sum(F.col(value).cast(MONEY_DECIMAL)).alias("sv"))
-    if neighbours or first_value:
-        aggs += [F.min_by(value, "_o").alias("fv"), F.max_by(value, "_o").alias("lv")]
-    if first_value and has_part:
-        in_tail = (F.col("_b") < m) & (prefix_of(k_part) == F.element_at(prefix_lits(k_part), F.col("_b") + 1))
-        aggs.append(F.min_by(value, F.when(in_tail, F.col("_o"))).alias("tfv"))
-    summary = src.groupBy("_b").agg(*aggs)
-    if summary_only:
-        return summary
-    if summary_rows is None:
-        summary_rows = summary.collect()
-    rows = {r["_b"]: r for r in summary_rows}
-    nb = m + 1
-    empty = {"cnt": 0, "sv": None, "fv": None, "lv": None, "tfv": None}
-    summ = [rows[b].asDict() if b in rows else dict(empty, **{f"{x}_{lname}": 0 for x in ("head", "tail")
-                                                               for lname in lv}) for b in range(nb)]
-    for b in range(1, nb):
-        if summ[b]["cnt"] == 0 or any(summ[b][f"head_{x}"] == 0 for x in lv):
-            raise RuntimeError("bucketed window: a split point is missing from the input; "
-                               "the input must be deterministic (checkpoint it)")
-    off, acc = [], 0
-    for b in range(nb):
-        off.append(acc)
-        acc += summ[b]["cnt"]
-    total = acc
-    starts, ends = {}, {}
-    for lname in lv:
-        head = [summ[b][f"head_{lname}"] for b in range(nb)]
-        tail = [summ[b][f"tail_{lname}"] for b in range(nb)]
-        cnt = [summ[b]["cnt"] for b in range(nb)]
-        linked = [b > 0 and tail[b - 1] > 0 for b in range(nb)]
-        fs, last_start = [0] * nb, [0] * nb
-        for b in range(nb):
-            fs[b] = last_start[b - 1] if linked[b] else off[b] + 1
-            # start of the group that continues into the next bucket
-            last_start[b] = fs[b] if (linked[b] and head[b] == cnt[b]) else off[b] + cnt[b] - tail[b] + 1
-        le, first_end = [0] * nb, [0] * nb
-        for b in reversed(range(nb)):
-            nxt = b + 1 < nb and tail[b] > 0
-            le[b] = first_end[b + 1] if nxt else off[b] + cnt[b]
-            # end of the group that came from the previous bucket
-            first_end[b] = le[b] if (nxt and tail[b] == cnt[b]) else off[b] + head[b]
-        starts[lname], ends[lname] = fs, le
-        if lname == "part":
-            part_tail = tail
-            part_linked = linked
-            part_head = head
-
-    # ---- inside each bucket: ordinary windows, one shuffle on _b
-    keyed = keyed_of(df)
-    full = [F.col(f) for f in names]
-    w_row = Window.partitionBy("_b").orderBy(*full)
-    cols: dict[str, Column] = {"_rib": F.row_number().over(w_row)}
-    if running:
-        cols["_run"] = F.sum(F.col(value).cast(MONEY_DECIMAL)).over(
-            w_row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pkey = F.struct(*[F.col(f) for f in names[:k_part]]) if has_part else None
-    if neighbours:
-        cols["_lagv"] = F.lag(value).over(w_row)
-        cols["_leadv"] = F.lead(value).over(w_row)
-        if has_part:
-            cols["_lagp"] = F.lag(pkey).over(w_row)
-            cols["_leadp"] = F.lead(pkey).over(w_row)
-    if first_value:
-        w_grp = (Window.partitionBy("_b", *names[:k_part]).orderBy(*full[k_part:])
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        cols["_gfv"] = F.first(value).over(w_grp)
-    for lname, k in lv.items():
-        w_l = Window.partitionBy("_b").orderBy(*full[:k])
-        cols[f"_rk_{lname}"] = F.rank().over(w_l)
-        cols[f"_cle_{lname}"] = F.count(F.lit(1)).over(w_l)
-    ws = keyed.withColumns(cols)
-
-    longs = T.LongType()
-    b_off = _at(_sql_array(off, longs))
-    b_cnt = _at(_sql_array([s["cnt"] for s in summ], longs))
-
-    def start(lname: str) -> Column:
-        return F.when(F.col(f"_rk_{lname}") == 1, _at(_sql_array(starts[lname], longs))).otherwise(
-            b_off + F.col(f"_rk_{lname}"))
-
-    def end(lname: str) -> Column:
-        return F.when(F.col(f"_cle_{lname}") == b_cnt, _at(_sql_array(ends[lname], longs))).otherwise(
-            b_off + F.col(f"_cle_{lname}"))
-
-    s_part = start("part") if has_part else F.lit(1).cast("long")
-    e_part = end("part") if has_part else F.lit(total).cast("long")
-    out = {
-        f"{prefix}pos": (b_off + F.col("_rib") - s_part + 1).cast("long"),
-        f"{prefix}n": (e_part - s_part + 1).cast("long"),
-        f"{prefix}rank": (start("peer") - s_part + 1).cast("long"),
-        f"{prefix}rank_last": (end("peer") - s_part + 1).cast("long"),
-    }
+        raise ValueError("running, neighbours and first_value need a value column")
+    names = df.columns
+    rows = sorted_ranges(df, o, ranges)
+    levels = o.levels()
+    table = range_rows(rows, o, value)
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the table has a row per range: n at most
+    x = rows.repartitionById(n, "_range").join(F.broadcast(table), F.col("_range") == F.col("_r"))
+    for name in ("part", "nulls", "peer") if reverse_rank else ("part", "peer"):
+        w = Window.partitionBy("_range", *levels[name])
+        first, last = _number(F.min("_place").over(w)), _number(F.max("_place").over(w))
+        x = x.withColumns({
+            f"_s_{name}": F.when(first == 0, F.col(f"_start_{name}")).otherwise(F.col("_offset") + first),
+            f"_e_{name}": F.when(last == F.col("_size") - 1, F.col(f"_end_{name}")).otherwise(F.col("_offset") + last)})
+    at = F.col("_offset") + _number(F.col("_place"))
+    x = x.withColumn("_at", at)
+    out = {"pos": F.col("_at") - F.col("_s_part") + 1, "n": F.col("_e_part") - F.col("_s_part") + 1,
+           "rank": F.col("_s_peer") - F.col("_s_part") + 1, "rank_last": F.col("_e_peer") - F.col("_s_part") + 1}
     if reverse_rank:
-        null_flag = F.col(names[k_part])
-        nonnull = F.when(null_flag, start("nulls") - s_part).otherwise(end("nulls") - s_part + 1)
-        out[f"{prefix}rank_rev"] = F.when(null_flag, nonnull + 1).otherwise(
-            nonnull - (end("peer") - s_part + 1) + 1).cast("long")
-    if running:
-        dec = T.DecimalType(38, 2)
-        soff, accd = [], None
-        for s in summ:
-            soff.append(accd)
-            if s["sv"] is not None:
-                accd = s["sv"] if accd is None else accd + s["sv"]
-        b_soff = _at(_sql_array(soff, dec))
-        zero = F.lit(0).cast(MONEY_DECIMAL)
-        out[f"{prefix}running"] = F.when(b_soff.isNull() & F.col("_run").isNull(), F.lit(None)).otherwise(
-            F.coalesce(b_soff, zero) + F.coalesce(F.col("_run"), zero))
-    if neighbours:
-        prev_last = _at(_sql_array([None] + [s["lv"] for s in summ[:-1]], vtype))
-        next_first = _at(_sql_array([s["fv"] for s in summ[1:]] + [None], vtype))
-        first_in_b = F.col("_rib") == 1
-        last_in_b = F.col("_rib") == b_cnt
-        if has_part:
-            # the rows on both sides of an edge share a partition exactly when
-            # the partition of split point b has rows in bucket b
-            prev_same = _at(_sql_array([False] + [t > 0 for t in part_tail[:-1]], T.BooleanType()))
-            next_same = _at(_sql_array([t > 0 for t in part_tail[:-1]] + [False], T.BooleanType()))
-            out[f"{prefix}lag"] = F.when(first_in_b, F.when(prev_same, prev_last)).otherwise(
-                F.when(F.col("_lagp") == pkey, F.col("_lagv")))
-            out[f"{prefix}lead"] = F.when(last_in_b, F.when(next_same, next_first)).otherwise(
-                F.when(F.col("_leadp") == pkey, F.col("_leadv")))
-        else:
-            out[f"{prefix}lag"] = F.when(first_in_b, prev_last).otherwise(F.col("_lagv"))
-            out[f"{prefix}lead"] = F.when(last_in_b, next_first).otherwise(F.col("_leadv"))
-    if first_value:
-        if has_part:
-            # first value of each bucket's first partition group, carried
-            # from the bucket where that group starts
-            fvp, tail_fv = [None] * nb, [None] * nb
-            for b in range(nb):
-                fvp[b] = tail_fv[b - 1] if part_linked[b] else summ[b]["fv"]
-                whole = part_linked[b] and part_head[b] == summ[b]["cnt"]
-                tail_fv[b] = fvp[b] if whole else summ[b]["tfv"]
-            out[f"{prefix}first"] = F.when(F.col("_rk_part") == 1, _at(_sql_array(fvp, vtype))).otherwise(
-                F.col("_gfv"))
-        else:
-            # the first row of the first non-empty bucket (bucket 0 is empty
-            # when the first split point is the smallest key)
-            g = next((s["fv"] for s in summ if s["cnt"] > 0), None)
-            out[f"{prefix}first"] = _at(_sql_array([g] * nb, vtype))
-    return ws.select(*df.columns, *[e.alias(k) for k, e in out.items()])
-
-
-# ------------------------------------------------------ derived rank values
-
-
-def _idiv(a: Column, b: Column) -> Column:
-    """Exact integer floor division of non-negative longs."""
-    return ((a - F.pmod(a, b)) / b).cast("long")
+        is_null = F.col(o.order_by[0][0]).isNull()
+        out["rank_rev"] = F.when(is_null, out["rank"]).otherwise(F.col("_e_nulls") - F.col("_e_peer") + 1)
+    if value is not None:
+        here = Window.partitionBy("_range").orderBy("_place")
+        mine = Window.partitionBy("_range", *levels["part"]).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+        opening = F.col("_s_part") < F.col("_offset")  # the partition began in an earlier range
+        if neighbours:
+            ends = _number(F.col("_place"))
+            lag = F.when(ends == 0, F.col("_v_before")).otherwise(F.lag(value).over(here))
+            lead = F.when(ends == F.col("_size") - 1, F.col("_v_behind")).otherwise(F.lead(value).over(here))
+            out["lag"] = F.when(F.col("_at") > F.col("_s_part"), lag)
+            out["lead"] = F.when(F.col("_at") < F.col("_e_part"), lead)
+        if first_value:
+            out["first"] = F.when(opening, F.col("_group_first")["_v"]).otherwise(F.first(value).over(mine))
+        if running:
+            own = F.sum(exact(value)).over(mine)
+            carry = F.when(opening, F.col("_group_carry"))
+            out["running"] = F.when(own.isNull() & carry.isNull(), F.lit(None)).otherwise(
+                F.coalesce(own, exact(F.lit(0))) + F.coalesce(carry, exact(F.lit(0))))
+    return x.select(*names, *[c.alias(f"{prefix}{name}") for name, c in out.items()])
 
 
 def ntile(pos: str | Column, n: str | Column, k: int) -> Column:
-    """NTILE(k) from a 1-based position and the partition size.
-
-    The first ``n mod k`` tiles hold one extra row; n < k gives tiles 1..n.
-    """
-    pos = F.col(pos) if isinstance(pos, str) else pos
-    n = F.col(n) if isinstance(n, str) else n
-    kk = F.lit(k).cast("long")
-    base = _idiv(n, kk)
-    rem = F.pmod(n, kk)
-    big = rem * (base + 1)
-    return F.when(pos <= big, _idiv(pos - 1, base + 1) + 1).otherwise(
-        _idiv(pos - 1 - big, F.greatest(base, F.lit(1).cast("long"))) + rem + 1).cast("long")
+    """NTILE(k) from the position and the row count: the first n mod k tiles
+    hold one row more."""
+    p = (F.col(pos) if isinstance(pos, str) else pos).cast("long")
+    rows = (F.col(n) if isinstance(n, str) else n).cast("long")
+    size, extra = F.floor(rows / k), rows % k
+    head = extra * (size + 1)
+    in_head = F.floor((p - 1) / (size + 1)) + 1
+    behind = F.floor(F.try_divide(p - 1 - head, size)) + extra + 1
+    return F.when(p <= head, in_head).otherwise(behind).cast("int")
 
 
 def percent_rank(rank: str | Column, n: str | Column) -> Column:
-    """PERCENT_RANK = (rank - 1) / (n - 1), 0.0 for a one-row partition."""
-    rank = F.col(rank) if isinstance(rank, str) else rank
-    n = F.col(n) if isinstance(n, str) else n
-    return F.when(n > 1, (rank - 1).cast("double") / (n - 1).cast("double")).otherwise(F.lit(0.0))
+    """(rank - 1) / (n - 1), and 0 for a partition of one row."""
+    r = (F.col(rank) if isinstance(rank, str) else rank).cast("double")
+    rows = (F.col(n) if isinstance(n, str) else n).cast("double")
+    return F.when(rows <= 1, F.lit(0.0)).otherwise((r - 1) / (rows - 1))
 
 
 def global_windows(df: DataFrame, specs: dict[str, tuple[Ordering, dict]], *,
-                   buckets: int | None = None, rows_per_bucket: int | None = None,
-                   max_buckets: int | None = None) -> DataFrame:
-    """Apply several orderings to one (already materialised) DataFrame.
-
-    ``specs`` maps a column prefix to ``(ordering, options)`` where options
-    are keyword arguments of ``with_positions``. Split points of all
-    orderings come from a single sample, their per-bucket summaries run
-    as concurrent jobs, then each ordering costs one shuffle.
+                   ranges: int | None = None) -> DataFrame:
+    """``df`` with the window values of several orderings, one after the other.
+
+    The input is computed once: it is stored, and so is what one ordering
+    hands to the next, because the range partitioner reads its input twice
+    (to find the ranges, and to deal the rows).
     """
-    bounds = plan_buckets(df, {p: o for p, (o, _) in specs.items()}, buckets=buckets,
-                          rows_per_bucket=rows_per_bucket, max_buckets=max_buckets)
-    # the per-bucket summaries only read the base, so they run as
-    # concurrent jobs; each returns at most max_buckets rows
-    pending = {p: bucket_summary(df, o, bounds[p], **opts) for p, (o, opts) in specs.items() if bounds[p]}
-    collected = {}
-    if pending:
-        with ThreadPoolExecutor(max_workers=len(pending)) as pool:
-            futures = {p: pool.submit(s.collect) for p, s in pending.items()}
-            collected = {p: f.result() for p, f in futures.items()}
     out = df
-    for p, (o, opts) in specs.items():
-        out = with_positions(out, o, bounds[p], p, stats_source=df, summary_rows=collected.get(p), **opts)
+    for prefix, (o, options) in specs.items():
+        out = with_positions(stored(out, "window-rows"), o, prefix, ranges=ranges, **options)
     return out

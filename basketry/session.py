@@ -5,10 +5,12 @@ The library never creates a session itself; operators use the caller's.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "basketry",
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -32,59 +34,41 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "basket
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The reliable checkpoint folder of this session, or None.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``,
+    or the folder set with ``SparkContext.setCheckpointDir``.
 
-    Order: a folder already set on the context, then ``spark.checkpoint.dir``
-    from the session conf. Only a local-mode session without either gets a
-    fresh private folder under the system temp dir; a cluster session
-    without a configured shared folder gets None (callers then recompute
-    instead of cutting lineage).
+    Raises if there is none. The library never falls back to a folder of
+    one machine: on a cluster the other executors could not read it.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: no context; nothing we can set
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="basketry-ckpt-"))
-        return sc.getCheckpointDir()
-    return None
-
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = configured or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError(
+            "no folder for intermediate tables: set spark.checkpoint.dir (or call "
+            "sparkContext.setCheckpointDir) to a folder that the driver and all executors share")
+    return folder
 
-#: inputs whose optimizer size estimate is below this are recomputed
-#: rather than checkpointed (writing them costs more than re-reading).
-#: Join estimates run high, so this errs toward checkpointing.
-MATERIALIZE_MIN_BYTES = 1 << 30
 
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan, if available."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, min_bytes: int | None = None) -> DataFrame:
-    """Cut lineage with a reliable checkpoint when a checkpoint folder exists.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once as a Parquet table in the shared folder.
 
-    Used before an operator reads the same intermediate more than once
-    (a count, a split-point sample and the main pass), so the upstream
-    aggregation runs once and a lost executor does not replay it. Inputs
-    the optimizer estimates below ``min_bytes`` are left as they are:
-    recomputing them is cheaper than the write.
+    Cuts the lineage: what reads the table several times does not compute
+    it again, and a lost executor costs only the tasks that ran on it. The
+    shuffle files of the write go with it. The table stays until the folder
+    is cleared.
     """
-    min_bytes = MATERIALIZE_MIN_BYTES if min_bytes is None else min_bytes
-    size = estimated_bytes(df)
-    if size is not None and size < min_bytes:
-        return df
-    if checkpoint_dir(df.sparkSession) is None:
-        return df
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)

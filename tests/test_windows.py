@@ -1,4 +1,4 @@
-"""The bucketed windows must equal Spark's native windows row for row."""
+"""Windows over sorted ranges must equal Spark's native windows row for row."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators.windows import Ordering, ntile, percent_rank, plan_buckets, with_positions
+from basketry.operators.windows import Ordering, global_windows, ntile, percent_rank, with_positions
 
 
 @pytest.fixture(scope="module")
@@ -44,13 +44,10 @@ def _native(df, part, desc):
     return df.select(*cols)
 
 
-def _mine(df, part, desc, buckets):
+def _mine(df, part, desc, ranges):
     o = Ordering(order_by=(("v", desc),), tie_by=("uid",), partition_by=part)
-    b = plan_buckets(df, {"x": o}, buckets=buckets)["x"]
-    if buckets > 1:
-        assert b, "expected split points"
-    out = with_positions(df, o, b, "x_", value="v", running=not part, neighbours=True,
-                         first_value=True, reverse_rank=True)
+    out = with_positions(df, o, "x_", value="v", running=not part, neighbours=True,
+                         first_value=True, reverse_rank=True, ranges=ranges)
     cols = ["uid", F.col("x_pos").alias("pos"), F.col("x_n").alias("n"), F.col("x_rank").alias("rank"),
             F.col("x_rank_rev").alias("rank_rev"), F.col("x_lag").alias("lag"), F.col("x_lead").alias("lead"),
             F.col("x_first").alias("first"), ntile("x_pos", "x_n", 5).alias("nt5"),
@@ -62,10 +59,10 @@ def _mine(df, part, desc, buckets):
 
 @pytest.mark.parametrize("part", [(), ("country",)])
 @pytest.mark.parametrize("desc", [True, False])
-@pytest.mark.parametrize("buckets", [1, 11, 90, 1000])
-def test_matches_native(spark, skewed, part, desc, buckets):
+@pytest.mark.parametrize("ranges", [1, 11, 90])
+def test_matches_native(spark, skewed, part, desc, ranges):
     nat = {r.uid: tuple(r) for r in _native(skewed, part, desc).collect()}
-    mine = {r.uid: tuple(r) for r in _mine(skewed, part, desc, buckets).collect()}
+    mine = {r.uid: tuple(r) for r in _mine(skewed, part, desc, ranges).collect()}
     assert len(mine) == len(nat)
     bad = [(u, nat[u], mine[u]) for u in nat if nat[u] != mine[u]]
     assert not bad, bad[:3]
@@ -80,46 +77,14 @@ def test_ntile_formula(spark):
     assert one.first().p == 0.0
 
 
-def test_no_single_partition_window_over_rows(spark, skewed):
-    o = Ordering(order_by=(("v", True),), tie_by=("uid",))
-    b = plan_buckets(skewed, {"x": o}, buckets=8)["x"]
-    out = with_positions(skewed, o, b, "x_", value="v", running=True)
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    # the only windows without partition keys run on the bucket summary
-    assert "hashpartitioning(_b" in plan
-
-
-def test_bucket_expr_counts_split_points(spark):
-    """The bucket number is the count of split points <= key, for the pure
-    CASE tree and for the tree + binary-search form."""
-    from pyspark.sql import types as T
-
-    from basketry.operators.windows import _bucket_expr, _key_fields
-
-    df = spark.range(0, 500).select((F.col("id") % 97).cast("double").alias("v"), F.col("id").alias("uid"))
-    o = Ordering((("v", True),), ("uid",))
-    fields, _ = _key_fields(df, o)
-    keyed = df.withColumns(dict(fields))
-    schema = T.StructType([keyed.schema[f] for f, _ in fields])
-    keyed = keyed.withColumn("_o", F.struct(*[F.col(f) for f, _ in fields]))
-    rows = sorted(tuple(r["_o"]) for r in keyed.select("_o").collect())
-    for m in (5, 31, 32, 200):
-        bounds = sorted({rows[(j * len(rows)) // (m + 1)] for j in range(1, m + 1)})
-        got = keyed.select(F.col("_o"), _bucket_expr(F.col("_o"), schema, bounds).alias("b")).collect()
-        for r in got:
-            assert r.b == sum(1 for b in bounds if b <= tuple(r["_o"]))
-
-
-@pytest.mark.parametrize("buckets", [1, 7])
-def test_two_order_columns_and_two_partitions(spark, buckets):
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_two_order_columns_and_two_partitions(spark, ranges):
     rnd = random.Random(11)
     rows = [(uid, rnd.choice(["a", "b"]), rnd.choice([1, 2]), rnd.choice([None, 1, 2, 3]),
              rnd.choice([0.5, 1.5, None])) for uid in range(600)]
     df = spark.createDataFrame(rows, "uid long, p1 string, p2 int, k1 int, k2 double")
     o = Ordering((("k1", True), ("k2", False)), ("uid",), ("p1", "p2"))
-    b = plan_buckets(df, {"x": o}, buckets=buckets)["x"]
-    out = with_positions(df, o, b, "x_", value="k2", neighbours=True, first_value=True)
+    out = with_positions(df, o, "x_", value="k2", neighbours=True, first_value=True, ranges=ranges)
     mine = {r.uid: (r.x_pos, r.x_n, r.x_rank, r.x_rank_last, r.x_lag, r.x_lead, r.x_first)
             for r in out.collect()}
     order = [F.col("k1").desc_nulls_last(), F.col("k2").asc_nulls_last()]
@@ -140,11 +105,51 @@ def test_string_partition_values_with_quotes_and_accents(spark):
     rows = [(uid, rnd.choice(names), rnd.choice([1.0, 2.0, 3.0])) for uid in range(400)]
     df = spark.createDataFrame(rows, "uid long, cat string, v double")
     o = Ordering((("v", True),), ("uid",), ("cat",))
-    b = plan_buckets(df, {"x": o}, buckets=9)["x"]
-    assert b
-    out = with_positions(df, o, b, "x_", value="v", neighbours=True)
+    out = with_positions(df, o, "x_", value="v", neighbours=True, ranges=9)
     mine = {r.uid: (r.x_pos, r.x_rank, r.x_lag, r.x_lead) for r in out.collect()}
     w = Window.partitionBy("cat").orderBy(F.col("v").desc(), "uid")
     nat = df.select("uid", F.row_number().over(w), F.rank().over(Window.partitionBy("cat").orderBy(F.col("v").desc())),
                     F.lag("v").over(w), F.lead("v").over(w))
     assert mine == {r[0]: tuple(r[1:]) for r in nat.collect()}
+
+
+@pytest.mark.parametrize("desc", [True, False])
+def test_nan_infinities_strings_and_zone_free_times(spark, desc):
+    """NaN is above all numbers, strings sort either way, and a time without zone is not shifted by the session's."""
+    rnd = random.Random(8)
+    inf = float("inf")
+    rows = [(uid, rnd.choice([None, float("nan"), inf, -inf, 0.0, -0.0, 1.5, -9e300]),
+             rnd.choice([None, "", "a", "B", "é", "漢"]), rnd.choice([None, -(1 << 63), (1 << 63) - 1, 0]),
+             f"2023-03-12 {rnd.choice(['01:59', '02:15', '02:45', '03:15', '03:45'])}:00") for uid in range(300)]
+    df = spark.createDataFrame(rows, "uid long, v double, s string, l long, t string")
+    df = df.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for c in ("v", "s", "l", "t"):
+            o = Ordering(((c, desc),), ("uid",))
+            got = {r.uid: (r.x_pos, r.x_rank) for r in with_positions(df, o, "x_", ranges=6).collect()}
+            by = F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last()
+            w = Window.orderBy(by, "uid")
+            want = df.select("uid", F.row_number().over(w), F.rank().over(Window.orderBy(by)))
+            assert got == {r[0]: (r[1], r[2]) for r in want.collect()}, c
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_empty_one_row_and_missing_column(spark, skewed):
+    o = Ordering((("v", True),), ("uid",))
+    assert with_positions(skewed.limit(0), o, "x_", value="v", running=True, neighbours=True).isEmpty()
+    r = with_positions(skewed.where("uid = 3"), o, "x_", value="v", running=True, neighbours=True, first_value=True).first()
+    assert (r.x_pos, r.x_n, r.x_rank, r.x_lag, r.x_lead) == (1, 1, 1, None, None)
+    with pytest.raises(ValueError, match="missing column"):
+        with_positions(skewed, Ordering((("nope", True),)), "x_")
+
+
+def test_several_orderings(spark, skewed):
+    specs = {"a_": (Ordering((("v", True),), ("uid",)), {}), "b_": (Ordering((("v", False),), ("uid",), ("country",)), {})}
+    got = {r.uid: (r.a_pos, r.b_pos) for r in global_windows(skewed, specs, ranges=5).collect()}
+    a = Window.orderBy(F.col("v").desc_nulls_last(), "uid")
+    b = Window.partitionBy("country").orderBy(F.col("v").asc_nulls_last(), "uid")
+    want = skewed.select("uid", F.row_number().over(a), F.row_number().over(b)).collect()
+    assert got == {r[0]: (r[1], r[2]) for r in want}

@@ -1,11 +1,10 @@
-"""Helpers shared by the operators: tables in the shared folder, Arrow text
-columns as byte arrays, and the row key of a document."""
+"""Helpers shared by the operators: Arrow text columns as byte arrays, hashes
+of words, and the row key of a document."""
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.session import checkpoint_dir
+from basketry.session import shared_path, stored  # noqa: F401
 
 #: bytes of text that one numpy step works on (its arrays take some 30 times as much)
 SLICE_BYTES = 2 << 20
@@ -23,32 +22,6 @@ SLICE_BYTES = 2 << 20
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the session's shared folder (``spark.checkpoint.dir``)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once as a Parquet table in the shared folder.
-
-    Cuts the lineage: what reads it repeatedly does not compute it again, and
-    a lost executor costs nothing but the tasks that ran on it. The files stay
-    until the folder is cleared.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")  # the shuffle files of this write are of no use after it
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,9 +4,9 @@ Each vector's components are dealt to ``nodes`` equal stretches; a node's
 score of a row is the inner product over its stretch, and a row's score their
 sum. Rows and queries meet block by block.
 
-1. Every node lists its k best rows per query. Sums over these lists, with the
-   least score of a node for what its list lacks, are lower bounds; the k-th
-   best over all blocks is a safe cutoff for the query.
+1. Every node lists its k best rows per query. The scores of listed rows are
+   summed over the nodes, which are together in a block; the k-th best sum over
+   all blocks is a safe cutoff for the query.
 2. With the cutoffs sent back to all blocks, each node gives the rows that
    reach its uniform share, cutoff / nodes. A row that no node gives cannot
    reach the cutoff; one whose upper bound stays below it is left out too.
@@ -63,24 +63,19 @@ class _Scores:
             self.parts.append(np.where(self.own, self.least, p))
 
     def lows(self, k: int) -> list[list[int]]:
-        """Per query the k best lower bounds over the rows that a node lists."""
+        """Per query the k best scores of the rows that a node lists."""
         shape = self.own.shape
         seen = np.zeros(shape, dtype=bool)
-        low = np.zeros(shape, dtype=self.parts[0].dtype)
         for p in self.parts:
             if shape[1] > k:
-                listed = p >= np.partition(p, shape[1] - k, axis=1)[:, shape[1] - k][:, None]
+                seen |= p >= np.partition(p, shape[1] - k, axis=1)[:, shape[1] - k][:, None]
             else:
-                listed = np.ones(shape, dtype=bool)
-            seen |= listed
-            floor = np.where(self.own, np.inf, p).min(axis=1) if p.dtype != object else \
-                np.where(self.own, 1 << 4000, p).min(axis=1)
-            low = low + np.where(listed, p, floor[:, None])
-        usable = seen & ~self.own
-        low = np.where(usable, low, self.least)
-        count = usable.sum(axis=1)
-        best = -np.sort(-low, axis=1)[:, :k]
-        return [[int(v) for v in row[: min(k, n)]] for row, n in zip(best, count)]
+                seen[:] = True
+        seen &= ~self.own
+        q, r = np.nonzero(seen)
+        score = sum(p[q, r] for p in self.parts)
+        bounds = np.searchsorted(q, np.arange(shape[0] + 1))
+        return [[int(v) for v in -np.sort(-score[a:b])[:k]] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def survivors(self, cutoff: list[int | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """(query, row, exact score) of the rows whose score reaches the query's cutoff (None: any)."""

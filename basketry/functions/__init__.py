@@ -1,12 +1,12 @@
 """Scalar column expressions (rounding, percentages, dates, CASE helpers)."""
 
 from basketry.functions.exprs import (  # noqa: F401
-    MONEY_DECIMAL,
+    EXACT_DECIMAL,
     date_lit,
     diff_days,
     diff_months,
     month_label,
-    money,
+    exact,
     money_avg,
     money_sum,
     nullif_div,

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-#: decimal type used for exact money sums (amounts carry at most
-#: ``MONEY_SCALE`` decimals; the buffer precision leaves room for 10^26).
-MONEY_SCALE = 2
-MONEY_DECIMAL = f"decimal(28,{MONEY_SCALE})"
+#: decimals that an exact sum keeps of an amount, and the type they need;
+#: an amount of 10^16 or more, or NaN, does not fit and raises an error
+EXACT_SCALE = 12
+EXACT_DECIMAL = f"decimal(28,{EXACT_SCALE})"
 
 
 def col(c: ColumnOrName) -> Column:
@@ -61,14 +61,19 @@ def pct(num: ColumnOrName, den: ColumnOrName, digits: int = 1) -> Column:
     return round_n(F.try_divide(F.lit(100.0) * col(num).cast("double"), col(den).cast("double")), digits)
 
 
-def money(x: ColumnOrName) -> Column:
-    """Cast an amount to the exact decimal used for sums."""
-    return col(x).cast(MONEY_DECIMAL)
+def exact(x: ColumnOrName) -> Column:
+    """An amount as the decimal that exact sums add up (NaN raises)."""
+    c = col(x)
+    nan = F.raise_error(F.lit("an amount is NaN: exact sums cannot hold it")).cast(EXACT_DECIMAL)
+    return F.when(F.isnan(c), nan).otherwise(c.cast(EXACT_DECIMAL))
 
 
 def money_sum(x: ColumnOrName) -> Column:
-    """Exact SUM of amounts (order- and partitioning-independent), as decimal."""
-    return F.sum(money(x))
+    """Exact SUM of amounts, the same under any partitioning, as decimal.
+
+    Only what callers make of the sum is rounded, never the amounts.
+    """
+    return F.sum(exact(x))
 
 
 def money_avg(sum_col: ColumnOrName, count_col: ColumnOrName) -> Column:

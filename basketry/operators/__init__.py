@@ -1,8 +1,7 @@
-"""The analyses. Each takes lazy DataFrames plus column names and returns a
-lazy DataFrame. The only actions run while building the plan are those of
-the bucketed windows: the checkpoint of a large input, one count, one
-bounded sample of sort keys, and one per-bucket summary (at most
-``windows.MAX_BUCKETS`` rows) per ordering."""
+"""The analyses. Each takes DataFrames plus column names and returns a
+DataFrame. Those with global windows (RFM, ranking) write their sorted rows
+to the shared folder while the plan is built, and so compute their input
+then; pivots without given columns find these first. All others are lazy."""
 
 from basketry.operators.activity import active_counts, dau_wau_mau  # noqa: F401
 from basketry.operators.cohort import cohort_retention  # noqa: F401
@@ -19,7 +18,6 @@ from basketry.operators.revenue import monthly_category, revenue_breakdown  # no
 from basketry.operators.rfm import rfm_raw, rfm_scores, rfm_segment, rfm_segmentation  # noqa: F401
 from basketry.operators.summary import executive_summary, summary_dict  # noqa: F401
 from basketry.operators.whatif import (  # noqa: F401
-    DEFAULT_SCENARIOS,
     Scenario,
     funnel_baseline,
     simulate_kpis,

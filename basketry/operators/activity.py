@@ -12,13 +12,13 @@ def active_counts(orders: DataFrame, *, user_col: str = "user_id", date_col: str
                   status_col: str = "status", completed: str = "completed") -> DataFrame:
     """(grain, period, users) for grains 'day', 'week', 'month' in one pass.
 
-    Each completed order becomes three (grain, period, user) rows; a single
-    distinct-count aggregate dedupes them map-side, so orders are scanned
-    once and a hot day still spreads by user.
+    Orders are scanned once and reduced to distinct (user, day) pairs, map-side
+    before the shuffle. Each pair becomes three (grain, period, user) rows for
+    one distinct count, so a hot day still spreads by user.
     """
     require_columns(orders, [user_col, date_col, status_col], "dau_wau_mau")
     base = (orders.where(F.col(status_col) == F.lit(completed))
-            .select(F.col(user_col).alias("_u"), to_day(date_col).alias("_d")))
+            .select(F.col(user_col).alias("_u"), to_day(date_col).alias("_d")).distinct())
     grains = base.select("_u", F.inline(F.array(
         F.struct(F.lit("day").alias("grain"), F.col("_d").alias("period")),
         F.struct(F.lit("week").alias("grain"), trunc_week("_d").alias("period")),

@@ -20,22 +20,16 @@ def cohort_retention(users: DataFrame, orders: DataFrame, *, user_col: str = "us
     size including users who never bought. Cells with no active user are
     absent; orders before registration or without a date are ignored.
 
-    Plan: the orders side is reduced to each user's set of order months (a
-    map-side partial aggregate, bounded by the calendar) and shuffled once
-    by user before the join; the cohort sizes are a tiny aggregate (one row
-    per month) that AQE broadcasts.
+    Plan: the orders side is reduced to distinct (user, month) pairs, map-side
+    before its one shuffle by user; the cohort sizes are a tiny aggregate
+    (one row per month) that AQE broadcasts.
     """
     require_columns(users, [user_col, registered_col], "cohort_retention(users)")
     require_columns(orders, [user_col, date_col, status_col], "cohort_retention(orders)")
     cohorts = users.select(F.col(user_col).alias("_u"), trunc_month(registered_col).alias("cohort_month"))
-    # each buyer's distinct order months (at most one per calendar month),
-    # aggregated map-side and shuffled once, by user: the join reuses that
-    # partitioning and the distinct count below dedupes without a new shuffle
     months = (orders.where(F.col(status_col) == F.lit(active_status))
-              .groupBy(F.col(user_col).alias("_u"))
-              .agg(F.collect_set(trunc_month(date_col)).alias("_oms")))
+              .select(F.col(user_col).alias("_u"), trunc_month(date_col).alias("_om")).distinct())
     active = (cohorts.join(months, "_u", "inner")
-              .select("_u", "cohort_month", F.explode("_oms").alias("_om"))
               .withColumn("month_number", diff_months("cohort_month", "_om"))
               .where(F.col("month_number").between(0, max_month))
               .groupBy("cohort_month", "month_number")

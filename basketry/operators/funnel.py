@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.exprs import pct, require_columns, step_index
-from basketry.operators.windows import Ordering, global_windows
-from basketry.session import materialize
 
 # The default funnel steps, in order.
 DEFAULT_STEPS = ("page_view", "add_to_cart", "checkout_start", "payment_info", "purchase")
@@ -31,27 +29,25 @@ def step_counts(events: DataFrame, *, steps: Sequence[str] = DEFAULT_STEPS,
 
 def conversion_funnel(events: DataFrame, *, steps: Sequence[str] = DEFAULT_STEPS,
                       user_col: str = "user_id", type_col: str = "event_type",
-                      segment_cols: Sequence[str] = (), buckets: int | None = None,
-                      sort: bool = True) -> DataFrame:
+                      segment_cols: Sequence[str] = (), sort: bool = True) -> DataFrame:
     """segment..., step_order, event_type, users, prev_users, pct_of_top, pct_prev_step.
 
     Ordered by step (unknown types last, then by type name). ``prev_users``
     is the previous row's users (LAG), ``pct_of_top`` compares with the
     first row of the segment (FIRST_VALUE), ``pct_prev_step`` with the
-    previous row; a zero or missing denominator gives NULL. Per segment the
-    rows are the distinct event types, so the windows run on the small
-    aggregated table, through the bucketed windows all the same.
+    previous row; a zero or missing denominator gives NULL. The events are
+    read once; the windows run on the aggregated table, whose rows per
+    segment are its distinct event types.
     """
-    counts = materialize(step_counts(events, steps=steps, user_col=user_col, type_col=type_col,
-                                     segment_cols=segment_cols))
-    o = Ordering((("step_order", False),), (type_col,), tuple(segment_cols))
-    w = global_windows(counts, {"_s_": (o, dict(value="users", neighbours=True, first_value=True))},
-                       buckets=buckets)
-    out = w.select(
-        *segment_cols, "step_order", type_col, "users",
-        F.col("_s_lag").alias("prev_users"),
-        pct("users", "_s_first", 1).alias("pct_of_top"),
-        pct("users", F.nullif(F.col("_s_lag"), F.lit(0)), 1).alias("pct_prev_step"))
+    counts = step_counts(events, steps=steps, user_col=user_col, type_col=type_col, segment_cols=segment_cols)
+    in_order = Window.partitionBy(*segment_cols).orderBy(F.col("step_order").asc_nulls_last(),
+                                                         F.col(type_col).asc_nulls_last())
+    prev = F.lag("users").over(in_order)
+    top = F.first("users").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    out = counts.select(
+        *segment_cols, "step_order", type_col, "users", prev.alias("prev_users"),
+        pct("users", top, 1).alias("pct_of_top"),
+        pct("users", F.nullif(prev, F.lit(0)), 1).alias("pct_prev_step"))
     if sort:
         out = out.orderBy(*[F.col(c).asc_nulls_last() for c in segment_cols],
                           F.col("step_order").asc_nulls_last(), F.col(type_col).asc_nulls_last())

@@ -21,12 +21,33 @@ def pivot_cohort(cohorts: DataFrame, *, max_month: int = 5, value_col: str = "re
     return wide.select("cohort_month", *[F.col(str(m)).alias(f"month_{m}") for m in months])
 
 
-def pivot_revenue(revenue: DataFrame, categories: Sequence[str], *, category_col: str = "category",
-                  fill: float = 0.0) -> DataFrame:
-    """'YYYY-MM' month label x category -> revenue, missing cells = ``fill``."""
-    wide = (revenue.groupBy(month_label("month").alias("month"))
-            .pivot(category_col, list(categories)).agg(F.sum("revenue")))
-    return wide.fillna(fill, subset=list(categories))
+def pivot_revenue(revenue: DataFrame, categories: Sequence[str] | None = None, *, category_col: str = "category",
+                  fill: float = 0.0, max_categories: int = 1000) -> DataFrame:
+    """'YYYY-MM' month label x category -> revenue, missing cells = ``fill``.
+
+    Without ``categories`` the columns are those in the data, in order, the
+    NULL category last as ``null``; more than ``max_categories`` raise. A
+    category in the data that a given list lacks raises too (``None`` in the
+    list stands for NULL), when the result is computed: no revenue is left
+    out silently.
+    """
+    if categories is None:
+        found = revenue.select(category_col).distinct().limit(max_categories + 1).collect()
+        if len(found) > max_categories:
+            raise ValueError(f"pivot_revenue: more than {max_categories} categories; name them")
+        categories = sorted((r[0] for r in found), key=lambda c: (c is None, c))
+    names = ["null" if c is None else c for c in categories]
+    if len(set(names)) < len(names):
+        raise ValueError(f"pivot_revenue: categories {categories} do not give different column names")
+    c = F.col(category_col)
+    known = F.lit(False)
+    for name in categories:
+        known = known | c.eqNullSafe(F.lit(name))
+    checked = F.when(known, F.col("revenue")).otherwise(
+        F.raise_error(F.concat(F.lit("pivot_revenue: unlisted category "), F.coalesce(c.cast("string"), F.lit("NULL")))).cast("double"))
+    cells = [F.coalesce(F.sum(F.when(c.eqNullSafe(F.lit(v)), F.col("_revenue"))), F.lit(fill)).alias(n)
+             for v, n in zip(categories, names)]
+    return (revenue.withColumn("_revenue", checked).groupBy(month_label("month").alias("month")).agg(*cells))
 
 
 def value_counts(df: DataFrame, col: str, *, sort: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.exprs import money_sum, pct, require_columns, round_n, trunc_month
+from basketry.functions.exprs import exact, money_sum, pct, require_columns, round_n, trunc_month
 
 
 def monthly_category(orders: DataFrame, *, date_col: str = "order_date", category_col: str = "category",
@@ -23,9 +23,10 @@ def revenue_breakdown(orders: DataFrame, *, date_col: str = "order_date", catego
                       completed: str = "completed", sort: bool = True) -> DataFrame:
     """month, category, revenue, orders_count, pct_of_month, mom_growth_pct.
 
-    ``pct_of_month`` divides by the month's exact total (a SUM window per
-    month over the aggregated table, whose partitions hold one row per
-    category sold that month, i.e. the month's own result rows);
+    ``pct_of_month`` divides the rounded revenue by the month's sum of
+    rounded revenues (a SUM window per month over the aggregated table, whose
+    partitions hold one row per category sold that month, i.e. the month's
+    own result rows);
     ``mom_growth_pct`` compares with the category's previous month present
     in the data (a gap month is skipped). That LAG runs per category over
     at most one row per calendar month. The orders are scanned once.
@@ -37,7 +38,7 @@ def revenue_breakdown(orders: DataFrame, *, date_col: str = "order_date", catego
     w = Window.partitionBy(category_col).orderBy(F.col("month").asc_nulls_last())
     step = mc.select(
         "month", category_col, revenue.alias("revenue"), "orders_count",
-        pct(revenue, F.sum("_rev").over(by_month).cast("double"), 1).alias("pct_of_month"))
+        pct(revenue, F.sum(exact(revenue)).over(by_month).cast("double"), 1).alias("pct_of_month"))
     step = step.withColumn("_prev", F.lag("revenue").over(w))
     out = step.select(
         "month", category_col, "revenue", "orders_count", "pct_of_month",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.exprs import money, money_avg, pct, require_columns, round_n
+from basketry.functions.exprs import exact, money_avg, pct, require_columns, round_n
 
 
 def executive_summary(orders: DataFrame, *, user_col: str = "user_id", order_id_col: str = "order_id",
@@ -24,7 +24,7 @@ def executive_summary(orders: DataFrame, *, user_col: str = "user_id", order_id_
     agg = orders.agg(
         F.count_distinct(user_col).alias("total_users"),
         F.count_distinct(F.when(done, F.col(order_id_col))).alias("completed_orders"),
-        F.sum(F.when(done, money(amount_col))).alias("_rev"),
+        F.sum(F.when(done, exact(amount_col))).alias("_rev"),
         F.count(F.when(done, F.col(amount_col))).alias("_nrev"),
         F.count(F.when(st == F.lit(returned), F.lit(1))).alias("_ret"),
         F.count(F.when(st == F.lit(cancelled), F.lit(1))).alias("_can"),

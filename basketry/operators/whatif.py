@@ -32,24 +32,14 @@ class Scenario:
     rates: dict[int, float] = field(default_factory=dict)
 
 
-# The four comparison scenarios over the default five-step
-# funnel (step 2 add_to_cart, 3 checkout_start, 4 payment_info, 5 purchase).
-DEFAULT_SCENARIOS = (
-    Scenario("no change", {}),
-    Scenario("form only", {4: 0.70}),
-    Scenario("form + wallet", {3: 0.82, 4: 0.72}),
-    Scenario("full optimisation", {2: 0.97, 3: 0.85, 4: 0.75, 5: 0.60}),
-)
-
-
 def funnel_baseline(funnel: DataFrame, n_steps: int, *, segment_cols: Sequence[str] = (),
                     aov: DataFrame | float | None = None) -> DataFrame:
     """segment..., visitors, aov, rate_2..rate_k from a funnel result.
 
     ``visitors`` is the users of step 1; ``rate_i`` = users_i / users_(i-1)
     unrounded (NULL when a step is missing or the previous one is 0).
-    ``aov`` is a number, or a DataFrame (segment..., aov) joined on the
-    segment columns (one row when there are none).
+    ``aov`` is a number, a DataFrame (segment..., aov) joined on the segment
+    columns, or a DataFrame of one row (aov) for all segments.
     """
     values = list(range(1, n_steps + 1))
     wide = (funnel.where(F.col("step_order").isNotNull())
@@ -59,27 +49,35 @@ def funnel_baseline(funnel: DataFrame, n_steps: int, *, segment_cols: Sequence[s
         *[safe_div(str(i), str(i - 1)).alias(f"rate_{i}") for i in range(2, n_steps + 1)])
     if aov is None or isinstance(aov, (int, float)):
         return base.withColumn("aov", F.lit(aov).cast("double"))
-    if segment_cols:
+    if segment_cols and set(segment_cols) <= set(aov.columns):
         return base.join(aov, list(segment_cols), "left")
-    # both sides are single global aggregates: join them on a constant key
+    # one global order value for all segments: its single row has a constant key
     one = F.lit(1).alias("_one")
     return base.select("*", one).join(aov.select("*", one), "_one", "left").drop("_one")
 
 
 def _scenario_rows(scenarios: Sequence[Scenario], n_steps: int):
+    for s in scenarios:
+        if unknown := sorted(set(s.rates) - set(range(2, n_steps + 1))):
+            raise ValueError(f"scenario {s.name!r}: no step {unknown} among steps 2..{n_steps}")
     return F.array(*[
         F.struct(F.lit(s.name).alias("scenario"),
                  *[F.lit(s.rates.get(i)).cast("double").alias(f"_imp{i}") for i in range(2, n_steps + 1)])
         for s in scenarios])
 
 
-def _chain(baseline: DataFrame, scenarios: Sequence[Scenario], n_steps: int) -> DataFrame:
+def scenario_rates(baseline: DataFrame, scenarios: Sequence[Scenario], n_steps: int) -> DataFrame:
+    """``baseline`` once per scenario, with ``scenario`` and its rates ``_imp2.._impk`` (NULL: not changed)."""
+    return baseline.select("*", F.inline(_scenario_rows(scenarios, n_steps)))
+
+
+def head_counts(baseline: DataFrame, scenarios: Sequence[Scenario], n_steps: int) -> DataFrame:
     """Per (segment, scenario): current and improved head-count per stage.
 
     Each stage is round-half-even(previous stage x rate), rounded at every
     stage like the original simulator.
     """
-    x = baseline.select("*", F.inline(_scenario_rows(scenarios, n_steps)))
+    x = scenario_rates(baseline, scenarios, n_steps)
     cols = {"_c1": F.col("visitors").cast("double"), "_i1": F.col("visitors").cast("double")}
     x = x.withColumns(cols)
     for i in range(2, n_steps + 1):
@@ -91,12 +89,12 @@ def _chain(baseline: DataFrame, scenarios: Sequence[Scenario], n_steps: int) ->
     return x
 
 
-def simulate_stages(baseline: DataFrame, scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS, *,
+def simulate_stages(baseline: DataFrame, scenarios: Sequence[Scenario], *,
                     steps: Sequence[str] = DEFAULT_STEPS, segment_cols: Sequence[str] = ()) -> DataFrame:
     """segment..., scenario, stage_order, stage, users_current, pct_current,
     users_improved, pct_improved, users_extra (one row per stage)."""
     k = len(steps)
-    x = _chain(baseline, scenarios, k)
+    x = head_counts(baseline, scenarios, k)
     stages = F.array(*[
         F.struct(F.lit(i).alias("stage_order"), F.lit(steps[i - 1]).alias("stage"),
                  F.col(f"_c{i}").alias("_cu"), F.col(f"_i{i}").alias("_iu"))
@@ -111,11 +109,11 @@ def simulate_stages(baseline: DataFrame, scenarios: Sequence[Scenario] = DEFAULT
         (F.col("_iu") - F.col("_cu")).cast("long").alias("users_extra"))
 
 
-def simulate_kpis(baseline: DataFrame, scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS, *,
+def simulate_kpis(baseline: DataFrame, scenarios: Sequence[Scenario], *,
                   n_steps: int = len(DEFAULT_STEPS), segment_cols: Sequence[str] = ()) -> DataFrame:
     """segment..., scenario, purchases_current, purchases_improved,
     revenue_current, revenue_improved, revenue_extra, uplift_pct."""
-    x = _chain(baseline, scenarios, n_steps)
+    x = head_counts(baseline, scenarios, n_steps)
     cur, imp = F.col(f"_c{n_steps}"), F.col(f"_i{n_steps}")
     rev_cur = round_n(cur * F.col("aov"), 2)
     rev_imp = round_n(imp * F.col("aov"), 2)

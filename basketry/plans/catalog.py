@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.exprs import (
-    diff_days, diff_months, money_avg, money_sum, month_label, nullif_div, pct, round_n, step_index,
-    to_day, trunc_month, trunc_week,
+    date_lit, diff_days, diff_months, money_avg, money_sum, month_label, nullif_div, or_default, pct, round_n,
+    step_index, to_day, trunc_month, trunc_week,
 )
 from basketry.operators import activity, cohort, funnel, ranking, reshape, revenue, rfm, summary, whatif
 from basketry.operators.whatif import Scenario
+from basketry.session import stored
 from basketry.sources.adapters import (
     EVENT_STEPS, ORDER_COLUMNS, STATUS_FILTER, shop_events, shop_orders, shop_users,
 )
@@ -28,12 +29,13 @@ from basketry.sources.tables import read_table
 # (the last order date), the order priorities used as categories, and the
 # what-if scenarios over the four event steps (2 click, 3 signup, 4 purchase).
 AS_OF = "2001-08-01"
+FROM_DAY = "1998-07-01"
 CATEGORIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 SCENARIOS = (
-    Scenario("no change", {}),
-    Scenario("signup only", {3: 0.70}),
-    Scenario("click + signup", {2: 0.82, 3: 0.72}),
-    Scenario("all steps", {2: 0.97, 3: 0.85, 4: 0.75}),
+    Scenario("as observed", {}),
+    Scenario("more signups", {3: 1.05}),
+    Scenario("more signups and purchases", {3: 1.05, 4: 1.1}),
+    Scenario("all steps up", {2: 1.2, 3: 1.15, 4: 1.25}),
 )
 
 
@@ -57,6 +59,12 @@ class Shop:
         return shop_users(read_table(self.spark, self.sf_dir, "customer"),
                           read_table(self.spark, self.sf_dir, "nation"), self._raw_orders)
 
+    @cached_property
+    def registered(self) -> DataFrame:
+        """(user_id, registered_at), stored: a join with orders then has two
+        plain shuffles under it, and AQE can split a hot user's orders."""
+        return stored(self.users.select("user_id", "registered_at"), "registered")
+
     @cached_property
     def events(self) -> DataFrame:
         return shop_events(read_table(self.spark, self.sf_dir, "events"))
@@ -99,13 +107,10 @@ def _a3(s: Shop) -> DataFrame:
 
 
 def _events_by_country(s: Shop) -> DataFrame:
-    """Distinct (user, type) pairs with the user's country. Each user's set
-    of types (bounded by the number of types) is built map-side and
-    shuffled once by user, so a user with a third of all events is a
-    handful of rows on the join."""
-    # wrapped in a struct so a NULL type is kept (collect_set drops NULLs)
-    types = s.events.groupBy("user_id").agg(F.collect_set(F.struct("event_type")).alias("_types"))
-    pairs = types.select("user_id", F.explode("_types").alias("_t")).select("user_id", "_t.event_type")
+    """Distinct (user, type) pairs with the user's country. The pairs are
+    made map-side, so a user with a third of all events is a handful of
+    rows on the join."""
+    pairs = s.events.select("user_id", "event_type").distinct()
     return pairs.join(s.users.select("user_id", "country"), "user_id", "inner")
 
 
@@ -114,6 +119,15 @@ def _a3s(s: Shop) -> DataFrame:
     return funnel.conversion_funnel(_events_by_country(s), steps=EVENT_STEPS, segment_cols=("country",))
 
 
+def _events_by_day(s: Shop) -> DataFrame:
+    return s.events.select("user_id", "event_type", to_day("event_date").alias("day"))
+
+
+@query("conversion_funnel_by_day")
+def _a3d(s: Shop) -> DataFrame:
+    return funnel.conversion_funnel(_events_by_day(s), steps=EVENT_STEPS, segment_cols=("day",))
+
+
 @query("dau_wau_mau")
 def _a4(s: Shop) -> DataFrame:
     return activity.dau_wau_mau(s.orders, **STATUS_FILTER)
@@ -134,24 +148,32 @@ def _a7(s: Shop) -> DataFrame:
     return summary.executive_summary(s.orders, **STATUS_FILTER, returned="P", cancelled="O")
 
 
+def _order_value(s: Shop) -> DataFrame:
+    return (s.completed().agg(money_sum("amount").alias("_s"), F.count("amount").alias("_n"))
+            .select(round_n(money_avg("_s", "_n"), 2).alias("aov")))
+
+
 def _baseline(s: Shop) -> DataFrame:
-    fun = funnel.step_counts(_events_by_country(s), steps=EVENT_STEPS, segment_cols=("country",))
-    per_user = s.completed().groupBy("user_id").agg(money_sum("amount").alias("_s"),
-                                                    F.count("amount").alias("_n"))
-    aov = (per_user.join(s.users.select("user_id", "country"), "user_id", "inner")
-           .groupBy("country").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-           .select("country", round_n(money_avg("_s", "_n"), 2).alias("aov")))
-    return whatif.funnel_baseline(fun, len(EVENT_STEPS), segment_cols=("country",), aov=aov)
+    """One row per event day: its visitors and step rates, and the order value of all completed orders."""
+    counts = funnel.step_counts(_events_by_day(s), steps=EVENT_STEPS, segment_cols=("day",))
+    return whatif.funnel_baseline(counts, len(EVENT_STEPS), segment_cols=("day",), aov=_order_value(s))
 
 
 @query("funnel_what_if")
 def _a8(s: Shop) -> DataFrame:
-    return whatif.simulate_stages(_baseline(s), SCENARIOS, steps=EVENT_STEPS, segment_cols=("country",))
+    return whatif.simulate_stages(_baseline(s), SCENARIOS, steps=EVENT_STEPS, segment_cols=("day",))
 
 
 @query("scenario_comparison")
 def _a9(s: Shop) -> DataFrame:
-    return whatif.simulate_kpis(_baseline(s), SCENARIOS, n_steps=len(EVENT_STEPS), segment_cols=("country",))
+    return whatif.simulate_kpis(_baseline(s), SCENARIOS, n_steps=len(EVENT_STEPS), segment_cols=("day",))
+
+
+@query("scenario_totals")
+def _a9t(s: Shop) -> DataFrame:
+    counts = funnel.step_counts(s.events, steps=EVENT_STEPS)
+    base = whatif.funnel_baseline(counts, len(EVENT_STEPS), aov=_order_value(s))
+    return whatif.simulate_kpis(base, SCENARIOS, n_steps=len(EVENT_STEPS))
 
 
 # ---------------------------------------------------------- scans, projections
@@ -167,6 +189,38 @@ def _p1(s: Shop) -> DataFrame:
     return s.users.select("user_id", "country", "plan", trunc_month("registered_at").alias("cohort_month"))
 
 
+@query("rename_columns")
+def _p10(s: Shop) -> DataFrame:
+    return reshape.value_counts(s.orders, "category", sort=False).withColumnsRenamed(
+        {"category": "priority", "count": "orders"})
+
+
+@query("missing_or_zero")
+def _p12(s: Shop) -> DataFrame:
+    """Completed orders per user; users without any count as one."""
+    per_user = s.completed().groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    return (s.users.select("user_id", "country").join(per_user, "user_id", "left")
+            .select("user_id", or_default(n, F.lit(1)).cast("long").alias("orders_or_one")))
+
+
+@query("kpi_rows")
+def _s3(s: Shop) -> DataFrame:
+    """The one-row KPI result as (kpi, value) rows."""
+    kpis = summary.executive_summary(s.orders, **STATUS_FILTER, returned="P", cancelled="O")
+    return kpis.select([F.col(c).cast("double").alias(c) for c in kpis.columns]).unpivot([], kpis.columns, "kpi", "value")
+
+
+@query("scenario_rows")
+def _s4(s: Shop) -> DataFrame:
+    """The rate of each day, scenario and step, where the scenario changes it."""
+    k = len(EVENT_STEPS)
+    x = whatif.scenario_rates(_baseline(s), SCENARIOS, k)
+    rows = x.select("day", "scenario", *[F.col(f"_imp{i}").alias(str(i)) for i in range(2, k + 1)]).unpivot(
+        ["day", "scenario"], [str(i) for i in range(2, k + 1)], "step", "rate")
+    return rows.where("rate is not null").select("day", "scenario", F.col("step").cast("int").alias("step"), "rate")
+
+
 @query("star_plus")
 def _p2(s: Shop) -> DataFrame:
     return s.orders.select(*ORDER_COLUMNS).withColumns({
@@ -180,7 +234,7 @@ def _p3(s: Shop) -> DataFrame:
 
 @query("filter_between")
 def _p4(s: Shop) -> DataFrame:
-    j = s.completed().join(s.users.select("user_id", "registered_at"), "user_id", "inner")
+    j = s.completed().join(s.registered, "user_id", "inner")
     return (j.select("order_id", "user_id",
                      diff_months(trunc_month("registered_at"), trunc_month("order_date")).alias("month_number"))
             .where(F.col("month_number").between(0, 5)))
@@ -238,7 +292,11 @@ def _j2(s: Shop) -> DataFrame:
 
 @query("join_left_expr")
 def _j3(s: Shop) -> DataFrame:
-    return activity.dau_wau_mau(s.orders, sort=False, **STATUS_FILTER).select("day", "dau", "wau")
+    """Days LEFT JOIN weeks ON the day's week; one row per day and per week of the calendar."""
+    counts = activity.active_counts(s.orders, **STATUS_FILTER)
+    days = counts.where("grain = 'day'").select(F.col("period").alias("day"), F.col("users").alias("dau"))
+    weeks = counts.where("grain = 'week'").select(F.col("period").alias("week"), F.col("users").alias("wau"))
+    return days.join(weeks, trunc_week("day") == F.col("week"), "left").select("day", "dau", "wau")
 
 
 @query("join_left_extra_pred")
@@ -259,14 +317,10 @@ def _j4(s: Shop) -> DataFrame:
 
 @query("cross_scenarios")
 def _j5(s: Shop) -> DataFrame:
-    b = _baseline(s)
-    x = whatif._chain(b, SCENARIOS, len(EVENT_STEPS))
-    eff = {f"improved_rate_{i}": F.when(F.col(f"_imp{i}").isNull() | (F.col(f"_imp{i}") == 0),
-                                        F.col(f"rate_{i}")).otherwise(F.col(f"_imp{i}"))
-           for i in range(2, len(EVENT_STEPS) + 1)}
-    return x.select("country", "scenario", "visitors", "aov",
-                    *[f"rate_{i}" for i in range(2, len(EVENT_STEPS) + 1)],
-                    *[e.alias(k) for k, e in eff.items()])
+    k = len(EVENT_STEPS)
+    x = whatif.scenario_rates(_baseline(s), SCENARIOS, k)
+    return x.select("day", "scenario", "visitors", "aov", *[f"rate_{i}" for i in range(2, k + 1)],
+                    *[or_default(f"_imp{i}", f"rate_{i}").alias(f"improved_rate_{i}") for i in range(2, k + 1)])
 
 
 # ---------------------------------------------------------------- aggregations
@@ -354,7 +408,7 @@ def _g12(s: Shop) -> DataFrame:
 
 @query("quartile_profile")
 def _g13(s: Shop) -> DataFrame:
-    return reshape.quartile_profile(ranking.customer_ranking(s.users, s.orders, **STATUS_FILTER))
+    return reshape.quartile_profile(_ranked_all(s))
 
 
 @query("pivot_cohort")
@@ -364,7 +418,7 @@ def _g14(s: Shop) -> DataFrame:
 
 @query("pivot_revenue")
 def _g15(s: Shop) -> DataFrame:
-    return reshape.pivot_revenue(revenue.revenue_breakdown(s.orders, sort=False, **STATUS_FILTER), CATEGORIES)
+    return reshape.pivot_revenue(revenue.revenue_breakdown(s.orders, sort=False, **STATUS_FILTER))
 
 
 # --------------------------------------------------------------------- windows
@@ -429,16 +483,18 @@ def _w10(s: Shop) -> DataFrame:
     return r.select("month", "category", "revenue", "mom_growth_pct")
 
 
+def _funnel_by_day(s: Shop) -> DataFrame:
+    return funnel.conversion_funnel(_events_by_day(s), steps=EVENT_STEPS, segment_cols=("day",), sort=False)
+
+
 @query("win_lag_funnel")
 def _w11(s: Shop) -> DataFrame:
-    return funnel.conversion_funnel(s.events, steps=EVENT_STEPS, sort=False).select(
-        "step_order", "event_type", "users", "prev_users", "pct_prev_step")
+    return _funnel_by_day(s).select("day", "step_order", "event_type", "users", "prev_users", "pct_prev_step")
 
 
 @query("win_first_value")
 def _w12(s: Shop) -> DataFrame:
-    return funnel.conversion_funnel(s.events, steps=EVENT_STEPS, sort=False).select(
-        "step_order", "event_type", "users", "pct_of_top")
+    return _funnel_by_day(s).select("day", "step_order", "event_type", "users", "pct_of_top")
 
 
 @query("win_share")
@@ -454,6 +510,17 @@ def _t1(s: Shop) -> DataFrame:
     return revenue.revenue_breakdown(s.orders, **STATUS_FILTER).select("month", "category", "revenue")
 
 
+@query("sort_single")
+def _t2(s: Shop) -> DataFrame:
+    return s.completed().select("order_id", "amount").orderBy(F.col("amount").desc_nulls_last())
+
+
+@query("head_sorted")
+def _t4(s: Shop) -> DataFrame:
+    return ranking.customer_ranking(s.users, s.orders, limit=10, **STATUS_FILTER).select(
+        "user_id", "global_rank", "total_spent")
+
+
 @query("top_n")
 def _t3(s: Shop) -> DataFrame:
     spend = ranking.customer_spend(s.users, s.orders, **STATUS_FILTER)
@@ -463,7 +530,7 @@ def _t3(s: Shop) -> DataFrame:
 
 @query("top_k_per_group")
 def _t5(s: Shop) -> DataFrame:
-    return reshape.top_k_per_group(ranking.customer_ranking(s.users, s.orders, **STATUS_FILTER)).select(
+    return reshape.top_k_per_group(_ranked_all(s)).select(
         "user_id", "country", "plan", "total_spent", "country_rank")
 
 
@@ -475,6 +542,11 @@ def _f1(s: Shop) -> DataFrame:
     return s.orders.select("order_id", "order_date")
 
 
+@query("date_literal")
+def _f2(s: Shop) -> DataFrame:
+    return s.orders.where(F.col("order_date") >= date_lit(FROM_DAY)).select("order_id", "order_date")
+
+
 @query("trunc_month")
 def _f3(s: Shop) -> DataFrame:
     return s.orders.select("order_id", trunc_month("order_date").alias("month"))
@@ -487,7 +559,7 @@ def _f4(s: Shop) -> DataFrame:
 
 @query("diff_months")
 def _f5(s: Shop) -> DataFrame:
-    return (s.orders.join(s.users.select("user_id", "registered_at"), "user_id", "inner")
+    return (s.orders.join(s.registered, "user_id", "inner")
             .select("order_id", diff_months("registered_at", "order_date").alias("months_since_registration")))
 
 
@@ -503,6 +575,19 @@ def _f7(s: Shop) -> DataFrame:
                            round_n(nullif_div(F.col("amount") * F.lit(100.0), F.lit(7.0)), 1).alias("pct_7"))
 
 
+@query("nullif_zero")
+def _f8(s: Shop) -> DataFrame:
+    """Days between an order and its month's first day; NULL for orders of that day."""
+    return s.orders.select("order_id", F.nullif(diff_days(trunc_month("order_date"), "order_date"), F.lit(0).cast("long"))
+                           .alias("days_into_month"))
+
+
+@query("round_half_even")
+def _f11(s: Shop) -> DataFrame:
+    """Half the order number as a head-count, ties to even."""
+    return s.orders.select("order_id", F.bround(F.col("order_id") / F.lit(2.0), 0).cast("long").alias("half"))
+
+
 @query("month_label")
 def _f10(s: Shop) -> DataFrame:
     return s.orders.select("order_id", month_label("order_date").alias("month_label"))

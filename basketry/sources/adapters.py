@@ -7,9 +7,9 @@ The operators work on three logical tables:
 * events (event_id, user_id, event_type, event_date)
 
 These adapters derive them from ``customer``/``nation``/``orders``/``events``
-with plain projections and one aggregate, so every downstream filter still
-reaches the Parquet scan (the status mapping is a CASE that Catalyst folds
-back into ``o_orderstatus = 'F'``).
+with plain projections and one aggregate, so filters on plain columns still
+reach the Parquet scan. Orders keep the raw status code beside the mapped
+status: a filter on the code is pushed down, one on the mapped CASE is not.
 """
 
 from __future__ import annotations

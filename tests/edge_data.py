@@ -90,6 +90,10 @@ class EdgeShop:
         self.events = spark.createDataFrame(events, EVENTS_SCHEMA)
         self._rows = (users, orders, events)
 
+    @property
+    def registered(self):
+        return self.users.select("user_id", "registered_at")
+
     def completed(self):
         return self.orders.where(F.col("status_code") == "F")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -94,7 +95,7 @@ def main(argv):
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:] or list(QUERIES)
-    spark = local_session(partitions=8)
+    spark = local_session(partitions=8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="basketry-harness-")})
     con = duck_connection(sf_dir)
     bad = 0
     for k in keys:

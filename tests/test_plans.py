@@ -1,6 +1,7 @@
 """Plan properties that matter at scale (checked on executed plans)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.operators import windows
 from basketry.plans.catalog import QUERIES
@@ -15,24 +16,58 @@ def _run(spark, name):
     return df
 
 
-@pytest.fixture
-def small_buckets():
-    old = windows.ROWS_PER_BUCKET
-    windows.ROWS_PER_BUCKET = 50
-    yield
-    windows.ROWS_PER_BUCKET = old
-
-
 @pytest.mark.parametrize("name", ["rfm_segmentation", "customer_ranking", "conversion_funnel_by_country"])
-def test_bucketed_windows_gather_only_summaries(spark, small_buckets, name):
+def test_windows_gather_only_range_rows(spark, name):
     df = _run(spark, name)
-    counts = plan_counts(df)
-    assert counts["python_udfs"] == 0
-    rows = single_partition_rows(df)
-    # nothing of customer size is gathered into one task (the bucket
-    # summaries are collected as at most MAX_BUCKETS rows before the query)
-    assert all(0 <= r <= windows.MAX_BUCKETS for r in rows), rows
-    assert "hashpartitioning(_b" in executed_plan(df)
+    assert plan_counts(df)["python_udfs"] == 0
+    # only a row per range (8 here) meets in one task
+    assert all(0 <= r <= 8 for r in single_partition_rows(df)), single_partition_rows(df)
+
+
+def test_each_range_has_a_partition_of_its_own(spark):
+    rows = windows.sorted_ranges(spark.range(20_000).selectExpr("id", "id % 7 as v"),
+                                 windows.Ordering((("v", True),), ("id",)), 20)
+    dealt = rows.repartitionById(20, "_range").selectExpr("spark_partition_id() as p", "_range").distinct().collect()
+    assert len({r.p for r in dealt}) == len({r._range for r in dealt}) == len(dealt) == 20
+
+
+def test_sources_are_read_once(spark, tmp_path):
+    """The per-buyer table is computed once: later plans scan stored tables only."""
+    df = QUERIES["rfm_segmentation"](spark, SF)
+    assert not any(SF in f for f in df.inputFiles())
+
+
+@pytest.mark.parametrize("name", ["cohort_retention", "conversion_funnel", "conversion_funnel_by_country"])
+def test_no_object_aggregates(spark, name):
+    assert "ObjectHashAggregate" not in executed_plan(_run(spark, name))
+
+
+def test_funnel_scans_events_once(spark):
+    assert plan_counts(_run(spark, "conversion_funnel"))["scans"] == 1
+
+
+@pytest.mark.parametrize("name", ["filter_between", "diff_months"])
+def test_hot_user_is_split(spark, tmp_path, name):
+    """Half of all orders belong to one customer; AQE splits that customer's join partition."""
+    for table in ("customer", "nation"):
+        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(7)).otherwise(F.col("o_custkey")).cast("long"))
+    orders.crossJoin(spark.range(30).drop("id")).repartition(8).write.parquet(f"{tmp_path}/orders.parquet")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = QUERIES[name](spark, str(tmp_path))
+        df.collect()
+        assert "skew=true" in executed_plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_dau_wau_mau_scans_orders_once(spark):
@@ -40,8 +75,8 @@ def test_dau_wau_mau_scans_orders_once(spark):
     assert plan_counts(df)["scans"] == 1
 
 
-@pytest.mark.parametrize("name", ["cohort_retention", "rfm_segmentation", "dau_wau_mau", "revenue_breakdown",
-                                  "executive_summary"])
+@pytest.mark.parametrize("name", ["cohort_retention", "agg_max_date", "dau_wau_mau", "revenue_breakdown", "filter_gt",
+                                  "filter_eq", "agg_sum", "top_n", "executive_summary"])
 def test_no_python_and_pushdown(spark, name):
     df = _run(spark, name)
     assert plan_counts(df)["python_udfs"] == 0
@@ -49,7 +84,7 @@ def test_no_python_and_pushdown(spark, name):
         assert any("o_orderstatus" in f and "F" in f for f in pushed_filters(df)), pushed_filters(df)
 
 
-def test_determinism_across_partitions(spark, small_buckets):
+def test_determinism_across_partitions(spark):
     seen = []
     for parts in ("1", "4", "64"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions.exprs import diff_months, or_default, round_n, step_index, trunc_week
-from basketry.operators.whatif import DEFAULT_SCENARIOS, simulate_kpis, simulate_stages
+from basketry.operators import executive_summary, pivot_revenue, revenue_breakdown
+from basketry.operators.whatif import Scenario, simulate_kpis, simulate_stages
 
 
 def test_round_n_matches_engine(spark):
@@ -48,8 +49,8 @@ GOLDEN = {
 
 
 def test_what_if_golden(baseline):
-    kpis = {r.scenario: r for r in simulate_kpis(baseline, DEFAULT_SCENARIOS).collect()}
-    stages = simulate_stages(baseline, DEFAULT_SCENARIOS).collect()
+    kpis = {r.scenario: r for r in simulate_kpis(baseline, SCENARIOS).collect()}
+    stages = simulate_stages(baseline, SCENARIOS).collect()
     for name, (users, purchases, revenue, extra, uplift) in GOLDEN.items():
         k = kpis[name]
         assert k.purchases_current == 96
@@ -67,7 +68,7 @@ def test_what_if_golden(baseline):
 def test_what_if_zero_visitors(spark):
     b = spark.createDataFrame([(0, 10.0, 0.5, 0.5, 0.5, 0.5)],
                               "visitors long, aov double, rate_2 double, rate_3 double, rate_4 double, rate_5 double")
-    k = simulate_kpis(b, DEFAULT_SCENARIOS[:1]).first()
+    k = simulate_kpis(b, SCENARIOS[:1]).first()
     assert k.purchases_current == 0 and k.uplift_pct is None
 
 
@@ -93,3 +94,70 @@ def test_rfm_tiny(spark, n):
     assert sorted(r.f_score for r in out) == list(range(1, n + 1))
     if n == 1:
         assert (out[0].r_score, out[0].f_score, out[0].m_score) == (1, 1, 1)
+
+
+# The four scenarios of the golden table (FIXTURES.md 5).
+SCENARIOS = (
+    Scenario("no change", {}),
+    Scenario("form only", {4: 0.70}),
+    Scenario("form + wallet", {3: 0.82, 4: 0.72}),
+    Scenario("full optimisation", {2: 0.97, 3: 0.85, 4: 0.75, 5: 0.60}),
+)
+
+
+def test_scenario_for_a_step_that_does_not_exist(spark):
+    base = spark.createDataFrame([(10, 2.0, 0.5, 0.5)], "visitors long, aov double, rate_2 double, rate_3 double")
+    with pytest.raises(ValueError, match="no step"):
+        simulate_kpis(base, [Scenario("typo", {4: 0.1})], n_steps=3)
+
+
+def _tiny_orders(spark, amounts):
+    import datetime as dt
+
+    rows = [(i, i, dt.date(2023, 1, 5), a, c, "completed") for i, (a, c) in enumerate(amounts)]
+    return spark.createDataFrame(rows, "order_id long, user_id long, order_date date, amount double, category string, status string")
+
+
+def test_amounts_are_summed_before_rounding(spark):
+    import duckdb
+
+    orders = _tiny_orders(spark, [(0.004, "a")] * 3)
+    r = revenue_breakdown(orders).first()
+    assert (r.revenue, r.pct_of_month) == (0.01, 100.0)
+    want = duckdb.sql("SELECT ROUND(SUM(x), 2) FROM (VALUES (0.004::DOUBLE), (0.004), (0.004)) t(x)").fetchall()[0][0]
+    assert executive_summary(orders).first().total_revenue == want == 0.01
+
+
+@pytest.mark.parametrize("amount", [float("nan"), 1e17])
+def test_amounts_that_exact_sums_cannot_hold_raise(spark, amount):
+    with pytest.raises(Exception, match="NaN|CAST|OVERFLOW|NUMERIC|precision|represent"):
+        executive_summary(_tiny_orders(spark, [(amount, "a"), (1.0, "a")])).collect()
+
+
+def test_pivot_revenue_keeps_every_category(spark):
+    rev = revenue_breakdown(_tiny_orders(spark, [(1.0, "x"), (2.0, "a"), (4.0, None)]))
+    r = pivot_revenue(rev).first()
+    assert (r.a, r.x, r["null"]) == (2.0, 1.0, 4.0)
+    assert pivot_revenue(rev, ["a", "x", None, "empty"]).first().empty == 0.0
+    with pytest.raises(Exception, match="unlisted category"):
+        pivot_revenue(rev, ["a", "x"]).collect()
+    with pytest.raises(ValueError, match="more than 2"):
+        pivot_revenue(rev, max_categories=2)
+
+
+def test_no_shared_folder_is_an_error():
+    from basketry.session import checkpoint_dir
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session)

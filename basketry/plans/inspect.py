@@ -29,7 +29,7 @@ def formatted_plan(df: DataFrame) -> str:
 def single_partition_rows(df: DataFrame) -> list[int]:
     """Runtime row counts of the shuffles that gather into one partition.
 
-    Used to check that only bounded tables (bucket summaries, one-row
+    Used to check that only bounded tables (a row per range, one-row
     aggregates) ever meet in a single task. -1 marks a stage whose count
     is unknown.
     """

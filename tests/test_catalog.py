@@ -1,8 +1,7 @@
 """Every catalog key: Spark operators vs. the oracle SQL in DuckDB.
 
 * on the hand-made edge tables (nulls, duplicates, gaps, ties, zero revenue);
-* at sf0.01 for the windowed keys, so the
-  multi-bucket path is checked end to end on every window key.
+* at sf0.01 for the windowed keys, end to end.
 """
 
 import math

@@ -1,18 +1,17 @@
 """Write PLANS.md: executed-plan shape of the headline queries.
 
-``python tools/plan_report.py [sf_dir]``; runs each query once natively
-and once with small buckets forced (the multi-bucket path used at scale).
+``python tools/plan_report.py [sf_dir]`` runs each query once.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from basketry.operators import windows  # noqa: E402
 from basketry.plans.catalog import QUERIES  # noqa: E402
 from basketry.plans.inspect import plan_counts, pushed_filters, single_partition_rows  # noqa: E402
 from basketry.session import local_session  # noqa: E402
@@ -20,33 +19,29 @@ from bench import HEADLINE  # noqa: E402
 
 
 def main(sf_dir: str) -> None:
-    spark = local_session(partitions=8)
+    spark = local_session(partitions=8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="basketry-plans-")})
     lines = [
         "# Executed plans of the headline queries",
         "",
         f"Generated by `tools/plan_report.py` on `{sf_dir}` (local[8], 8 shuffle partitions, AQE on).",
-        "Counts come from the final adaptive plan. *gathered* lists the runtime row counts of",
-        "every shuffle into a single partition: window inputs counted to fit one bucket (native",
-        "mode, at most rows_per_bucket rows) and the partial results of global aggregates. In the",
-        "bucketed runs (rows per bucket forced to 200) the windows shuffle once per ordering by",
-        "bucket, and the per-bucket summaries are collected (at most 1,024 rows) before the query.",
+        "Counts come from the final adaptive plan; what RFM and ranking store on the way (their input and",
+        "the sorted ranges) is scanned by it and was computed before. *gathered* lists the runtime row",
+        "counts of every shuffle into a single partition: a row per range, and the partial results of",
+        "global aggregates.",
         "",
-        "| query | mode | scans | shuffles | reused | broadcasts | python | gathered rows | pushed status filter |",
-        "|---|---|---|---|---|---|---|---|---|",
+        "| query | scans | shuffles | reused | broadcasts | python | gathered rows | pushed status filter |",
+        "|---|---|---|---|---|---|---|---|",
     ]
-    for mode in ("native", "bucketed"):
-        windows.ROWS_PER_BUCKET = (1 << 20) if mode == "native" else 200
-        for name in HEADLINE:
-            df = QUERIES[name](spark, sf_dir)
-            df.collect()
-            c = plan_counts(df)
-            pushed = any("EqualTo(o_orderstatus,F)" in f for f in pushed_filters(df))
-            gathered = single_partition_rows(df)
-            lines.append(f"| {name} | {mode} | {c['scans']} | {c['exchanges']} | {c['reused']} | {c['broadcasts']} "
-                         f"| {c['python_udfs']} | {gathered or '-'} | {'yes' if pushed else 'no'} |")
-    lines += ["", "A checkpointed input (large estimates only) shows up as a scan of the checkpoint, and its",
-              "status filter runs in the checkpoint job. `executive_summary` reads every status, so it has",
-              "no status filter by design.", ""]
+    for name in HEADLINE:
+        df = QUERIES[name](spark, sf_dir)
+        df.collect()
+        c = plan_counts(df)
+        pushed = any("EqualTo(o_orderstatus,F)" in f for f in pushed_filters(df))
+        gathered = single_partition_rows(df)
+        lines.append(f"| {name} | {c['scans']} | {c['exchanges']} | {c['reused']} | {c['broadcasts']} "
+                     f"| {c['python_udfs']} | {gathered or '-'} | {'yes' if pushed else 'no'} |")
+    lines += ["", "RFM and ranking push their status filter in the job that stores their input. `executive_summary`",
+              "reads every status, so it has no status filter by design.", ""]
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
         f.write("\n".join(lines))
 

@@ -40,7 +40,9 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(data, bounds) of a string column: row i is data[bounds[i]:bounds[i + 1]], a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    column = column.cast(pa.large_string())
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]

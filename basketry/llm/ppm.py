@@ -28,7 +28,9 @@ from basketry.llm.common import partitions, row_key, slices, span_hashes, stored
 #: symbols that a text can have, where no context is left
 ALPHABET = 256
 #: bytes of text in a batch, on average
-BATCH_BYTES = 48 << 20
+BATCH_BYTES = 32 << 20
+#: bytes of text that grams are numbered for at once; the tables for that take some hundred times as much
+STEP_BYTES = 1 << 20
 #: key of the end of a text among the words
 END_KEY = -(1 << 63)
 
@@ -128,6 +130,7 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _batch_counts(table: pa.Table, order: int) -> pa.Table:
     """(key, batch, n): the distinct grams and words of a batch with their training counts."""
+    pa.default_memory_pool().release_unused()  # what the worker's last group has left
     data, bounds = utf8(table.column("text"))
     train = table.column("train").to_numpy()
     keys, counts = [np.array([END_KEY])], [np.array([train.sum()])]
@@ -135,8 +138,22 @@ def _batch_counts(table: pa.Table, order: int) -> pa.Table:
     def add(key: np.ndarray, n: np.ndarray) -> None:
         keys.append(key.astype(np.int64, copy=False))
         counts.append(n.astype(np.int64))
-
-    for i, j in slices(bounds):
+        if len(keys) > 8:
+            fold()
+
+    def fold() -> None:
+        """Adds up what slices have in common, so that only distinct keys stay."""
+        key = np.concatenate(keys)
+        n = np.concatenate(counts)
+        keys.clear()
+        counts.clear()
+        by = np.argsort(key)
+        key, n = key[by], n[by]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        keys.append(key[first])
+        counts.append(np.add.reduceat(n, first))
+
+    for i, j in slices(bounds, STEP_BYTES):
         own, at = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
         symbols, ends = padded(own, at, order)
         number, key = gram_numbers(symbols, order)
@@ -150,8 +167,8 @@ def _batch_counts(table: pa.Table, order: int) -> pa.Table:
         words, first = _words(own, at)
         code, distinct = pd.factorize(words)
         add(distinct, np.bincount(code, weights=np.repeat(train[i:j], np.diff(first)), minlength=len(distinct)))
-    key, code = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
+    fold()
+    key, n = keys[0], counts[0]
     batch = table.column("batch")[0].as_py() if table.num_rows else 0
     return pa.table({"key": pa.array(key), "batch": pa.array(np.full(len(key), batch, np.int32)), "n": pa.array(n)})
 
@@ -169,6 +186,7 @@ SCORES = ("doc_id bigint, row_key bigint, train boolean, n_tokens bigint, n_know
 
 
 def _batch_scores(docs: pa.Table, values: pa.Table, order: int, total: int, distinct: int) -> pa.Table:
+    pa.default_memory_pool().release_unused()  # what the worker's last group has left
     data, bounds = utf8(docs.column("text"))
     key, value = values.column("key").to_numpy(), values.column("value").to_numpy()
     by = np.argsort(key)
@@ -179,7 +197,7 @@ def _batch_scores(docs: pa.Table, values: pa.Table, order: int, total: int, dist
     def log(count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
 
-    for i, j in slices(bounds):
+    for i, j in slices(bounds, STEP_BYTES):
         own, at = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
         symbols, rows = padded(own, at, order)
         number, grams = gram_numbers(symbols, order)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.llm import forest, line_dedup, mixing, packing, ppm, quality, substring
+from basketry.llm.queries import trusted as trusted_ids
 from basketry.llm.queries import word_bpe
 from tests.llm.conftest import edge_documents
 
@@ -127,6 +128,27 @@ def test_quality_edges(docs, no_docs):
     assert quality.classify(docs, trusted.limit(0)).where("not kept").isEmpty()
 
 
+def test_quality_threshold_is_of_unseen_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = trusted_ids(spark, sf)
+    got = quality.classify(docs, good).collect()
+    seen = {(r.lang, r.row_key) for r in quality.picked(spark.createDataFrame(got), good, quality.SAMPLE, 0.5).collect()}
+    good = {r.doc_id for r in good.collect()}
+    by_lang = collections.defaultdict(list)
+    for r in got:
+        if r.doc_id in good and (r.lang, r.row_key) not in seen:
+            by_lang[r.lang].append(r.evened)
+    for r in got:
+        own = sorted(by_lang[r.lang])
+        assert r.threshold == pytest.approx(own[math.ceil(0.99 * len(own)) - 1]) and r.kept == (r.evened <= r.threshold)
+    # one text, whatever its copies, is on one side
+    copies = docs.unionAll(docs.withColumn("doc_id", F.col("doc_id") + 10_000_000))
+    more = quality.classify(copies, trusted_ids(spark, sf).unionAll(
+        trusted_ids(spark, sf).select(F.col("doc_id") + 10_000_000)))
+    assert {(r.lang, round(r.threshold, 9)) for r in more.collect()} == {(r.lang, round(r.threshold, 9)) for r in got}
+
+
 # ------------------------------------------------------------------ op4
 
 

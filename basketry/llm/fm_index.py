@@ -129,20 +129,3 @@ class FMIndex:
             if step + 1 >= threshold:
                 out[first[own] + at] = self.least[self.group[low]]
         return out
-
-    def find(self, words: np.ndarray, start: np.ndarray, threshold: int, none: int) -> np.ndarray:
-        """The least label of places that begin with words[start:start + threshold], or ``none``.
-
-        For windows that the index may lack; a word below 0 is not in it.
-        """
-        out = np.full(len(start), none, dtype=self.least.dtype)
-        live = np.arange(len(start))
-        low, high = np.zeros(len(start), dtype=np.int64), np.full(len(start), self.total, dtype=np.int64)
-        for step in range(threshold):
-            word = words[start[live] + threshold - 1 - step]
-            live, low, high, word = (x[word >= 0] for x in (live, low, high, word))
-            low, high = self.extend(word, low, high)
-            found = low < high
-            live, low, high = live[found], low[found], high[found]
-        out[live] = self.least[self.group[low]]
-        return out

@@ -12,8 +12,9 @@
 4. Windows whose first document is smaller than their own are reported; what
    they cover is removed.
 
-An anchor with very many different passages is spread over several indexes,
-each of which searches all windows of that anchor's passages.
+Passages of an anchor that has very many different ones are cut into single
+windows. A window is its own anchor there, so equal windows meet in one shard,
+and neither the indexed nor the streamed side of a hot anchor stays together.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from basketry.llm.fm_index import FMIndex
 
 #: words of an index, on average
 SHARD_WORDS = 1_500_000
-#: different passages of one anchor that a single index takes
+#: different passages of one anchor that an index takes; beyond, it takes their windows one by one
 HOT_PASSAGES = 20_000
 #: document number of rows without one: after all others
 LAST = (1 << 63) - 1
@@ -84,6 +85,28 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Each window of the wanted passages as a passage of its own; its anchor is a hash of all its words."""
+    names = [x.split()[0] for x in PASSAGES.split(", ")]
+    for batch in batches:
+        data, bounds = utf8(batch.column("text"))
+        docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row_key"))
+        wanted = batch.column("wanted").to_pylist()
+        for i, j in slices(bounds):
+            own = data[bounds[i]: bounds[j]]
+            start, end, first = word_spans(own, bounds[i: j + 1] - bounds[i])
+            words = span_hashes(own, start, end)
+            spans = np.array([(k - i, w["start"], w["n"]) for k in range(i, j) for w in wanted[k]], dtype=np.int64)
+            row, begin, n = spans.reshape(-1, 3).T
+            begin = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(row, n)
+            at = first[row] + begin
+            columns = [run_hashes(words, at, window).view(np.int64),
+                       run_hashes(mix64(words + np.uint64(1)), at, window).view(np.int64), docs[i:j][row],
+                       keys[i:j][row], begin.astype(np.int32), np.ones(len(at), np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
 TEXTS = "anchor bigint, passage bigint, doc bigint, n int, text string"
 
 
@@ -118,28 +141,14 @@ def _text_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _search(table: pa.Table, window: int) -> pa.Table:
-    """(anchor, passage, firsts): for each streamed passage the first document of each of its windows."""
+    """(anchor, passage, firsts): for each passage the first document of each of its windows."""
     data, bounds = utf8(table.column("text"))
     start, end, first = word_spans(data, bounds)
-    words = pd.factorize(span_hashes(data, start, end))[0]
-    lengths, begin = np.diff(first), first[:-1]
-    indexed = table.column("indexed").to_numpy(zero_copy_only=False)
-    doc, n = table.column("doc").to_numpy(), table.column("n").to_numpy()
-    mine = np.repeat(indexed, lengths)
-    numbers, distinct = pd.factorize(words[mine])
-    if indexed.any():
-        index = FMIndex(numbers, lengths[indexed], doc[indexed], max(1, len(distinct)), window)
-    if indexed.all():
-        firsts = index.owners(numbers, begin, lengths, window)
-    elif not indexed.any():  # no passage came to this index
-        firsts = np.full(int(n.sum()), LAST)
-    else:  # passages of other indexes too: window by window
-        known = np.full(int(words.max()) + 1, -1)
-        known[distinct] = np.arange(len(distinct))
-        at = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        firsts = np.empty(len(at), dtype=np.int64)
-        for k in range(0, len(at), 1 << 20):
-            firsts[k: k + (1 << 20)] = index.find(known[words], at[k: k + (1 << 20)], window, LAST)
+    numbers, distinct = pd.factorize(span_hashes(data, start, end))
+    lengths = np.diff(first)
+    n = table.column("n").to_numpy()
+    index = FMIndex(numbers, lengths, table.column("doc").to_numpy(), max(1, len(distinct)), window)
+    firsts = index.owners(numbers, first[:-1], lengths, window)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(firsts))
     return pa.table({"anchor": table.column("anchor"), "passage": table.column("passage"), "firsts": lists})
 
@@ -156,6 +165,20 @@ def repeated_windows(docs: DataFrame, *, window: int = 50, hot: int = HOT_PASSAG
     shared = stored(passages.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
                     .where("a < b").select("anchor"), "shared-anchors")
     found = stored(passages.join(shared, "anchor", "left_semi"), "shared-passages")
+    many = found.select("anchor", "passage", "n").distinct().groupBy("anchor").count().where(F.col("count") > hot)
+    many = stored(many.select("anchor"), "hot-anchors")
+    if not many.isEmpty():
+        hot_rows = (found.join(many, "anchor", "left_semi")
+                    .groupBy(F.col("doc").alias("_doc"), F.col("row_key").alias("_key"))
+                    .agg(F.collect_set(F.struct("start", "n")).alias("wanted")))
+        windows = (read.join(hot_rows, (F.col("doc") == F.col("_doc")) & (F.col("row_key") == F.col("_key")))
+                   .select("doc", "row_key", "wanted", "text").mapInArrow(lambda b: _windows(b, window), PASSAGES))
+        windows = stored(windows, "hot-windows")
+        again = stored(windows.groupBy("anchor", "passage").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+                       .where("a < b").select("anchor", "passage"), "shared-windows")
+        found = found.join(many, "anchor", "left_anti").unionByName(
+            windows.join(again, ["anchor", "passage"], "left_semi"))
+        found = stored(found, "shared-passages")
     distinct = found.groupBy("anchor", "passage", "n").agg(F.min(F.struct("doc", "row_key", "start")).alias("at"))
     wanted = (distinct.groupBy(F.col("at.doc").alias("_doc"), F.col("at.row_key").alias("_key"))
               .agg(F.collect_list(F.struct("anchor", "passage", "n", F.col("at.start").alias("start"))).alias("wanted")))
@@ -165,22 +188,10 @@ def repeated_windows(docs: DataFrame, *, window: int = 50, hot: int = HOT_PASSAG
     texts = stored(texts.dropDuplicates(["anchor", "passage", "n"]), "passage-texts")
 
     total = texts.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
-    many = texts.groupBy(F.col("anchor").alias("_anchor")).count().where(F.col("count") > hot)
-    many = stored(many.select("_anchor", F.ceil(F.col("count") / hot).cast("int").alias("_blocks")), "hot-anchors")
     shards = max(1, -(-total // SHARD_WORDS))
-    placed = texts.join(many, F.col("anchor") == F.col("_anchor"), "left")
-    usual = (placed.where("_blocks is null").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-             .withColumn("block", F.lit(-1)).withColumn("indexed", F.lit(True)))
-    spread = (placed.where("_blocks is not null").withColumn("shard", F.col("anchor"))
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-              .withColumn("indexed", F.pmod(F.xxhash64("passage", "n"), F.col("_blocks")) == F.col("block")))
-    columns = ["shard", "block", "anchor", "passage", "doc", "n", "text", "indexed"]
-    results = (usual.select(*columns).unionAll(spread.select(*columns)).groupBy("shard", "block")
+    results = (texts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
                .applyInArrow(lambda t: _search(t, window), "anchor bigint, passage bigint, firsts array<bigint>"))
-    # a passage of several indexes has a list from each
-    least = F.transform(F.col("lists")[0], lambda _, i: F.array_min(F.transform("lists", lambda x: x[i])))
-    results = stored(results.groupBy("anchor", "passage").agg(F.collect_list("firsts").alias("lists"))
-                     .select(F.col("anchor").alias("_anchor"), F.col("passage").alias("_passage"), least.alias("firsts")),
+    results = stored(results.select(F.col("anchor").alias("_anchor"), F.col("passage").alias("_passage"), "firsts"),
                      "window-firsts")
     earlier = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc"), F.col("start") + i)),
                        lambda x: x.isNotNull())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from basketry.llm import forest, line_dedup, mixing, packing, ppm, quality, substring
 from basketry.llm.queries import trusted as trusted_ids
 from basketry.llm.queries import word_bpe
-from tests.llm.conftest import edge_documents
+from tests.llm.conftest import edge_documents, prose
 
 
 def split(text):
@@ -66,6 +66,21 @@ def test_substring_dedup_random(spark):
         assert rows_of(got, "doc_id", "n_words", "n_removed", "sha") == brute_repeats(rows, 6)
 
 
+def test_substring_dedup_splits_a_hot_anchor(spark, monkeypatch):
+    shared, search, hot = prose("hot", 48), substring._search, 20
+
+    def spied(table, window):
+        assert max(collections.Counter(table.column("anchor").to_pylist()).values()) <= hot
+        return search(table, window)
+
+    monkeypatch.setattr(substring, "_search", spied)
+    monkeypatch.setattr(substring, "SHARD_WORDS", 20_000)
+    rows = [(k, " ".join((prose(f"a{k}", 5), prose(f"b{k // 2}", 30), shared, prose(f"c{k // 2}", 30)))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = substring.remove_repeats(df, hot=hot).withColumn("sha", F.sha2("text", 256))
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "sha") == brute_repeats(rows, 50)
+
+
 # ------------------------------------------------------------------ op2
 
 

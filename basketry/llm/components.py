@@ -58,3 +58,9 @@ def in_blocks(members: DataFrame, group: str, members_col: str, id_col: str, mos
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
             .withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other"))
             .withColumn("left", F.col("_own") <= F.col("_other")).drop("_blocks", "_own", "_other"))
+
+
+def block_rows(sizes: DataFrame, members_col: str, most: int) -> int:
+    """Rows that ``in_blocks`` makes of groups of these sizes: each member once per block of its group."""
+    n = F.col(members_col)
+    return int(sizes.agg(F.sum(n * F.greatest(F.ceil(n / most), F.lit(1)))).first()[0] or 0)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import mix64, stored
-from basketry.llm.components import components, in_blocks
+from basketry.llm.components import block_rows, components, in_blocks
 from basketry.llm.e8 import nearest, neighbours
 from basketry.llm.topk import matrix, usable
 
@@ -27,7 +27,7 @@ from basketry.llm.topk import matrix, usable
 TABLES, WIDTH, PROBES = 10, 1.7, 2
 #: vectors of a block
 BLOCK = 2048
-#: rows of a task
+#: rows of a task, on average, copies for other blocks included
 TASK_ROWS = 100_000
 #: cells up to this size are verified pair by pair
 SMALL = 8
@@ -189,16 +189,17 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, tables: int = TABLE
         "busy-cells")
     met = spots.join(busy, F.col("cell") == F.col("_cell")).select("cell", "id", "members")
     met = stored(met, "met")
-    tasks = max(1, -(-met.count() // TASK_ROWS))
+    tasks = max(1, -(-block_rows(busy, "members", block) // TASK_ROWS))
     met = in_blocks(met.join(single.select("id", "v", "dim"), "id"), "cell", "members", "id", block)
     met = met.withColumn("task", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(tasks)))
     edges = met.groupBy("task").applyInArrow(lambda t: _edges(t, least), "a bigint, b bigint")
     groups = stored(components(edges), "vector-components")
 
     sizes = stored(groups.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("members")), "sizes")
+    count_tasks = max(1, -(-block_rows(sizes, "members", block) // TASK_ROWS))
     within = groups.join(sizes, F.col("component") == F.col("_c")).select("id", "component", "members")
     within = in_blocks(within.join(single, "id"), "component", "members", "id", block)
-    within = within.withColumn("task", F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(tasks)))
+    within = within.withColumn("task", F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(count_tasks)))
     counts = (within.groupBy("dim", "task").applyInArrow(lambda t: _counts(t, least), "id bigint, n bigint")
               .groupBy("id").agg(F.sum("n").alias("n")))
     reps = (copies.select("x", "y", "rep", "copies")

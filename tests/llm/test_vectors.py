@@ -122,6 +122,27 @@ def test_near_vectors_recall(spark):
     assert lattice.near_vectors(df.limit(0)).isEmpty()
 
 
+def test_near_vectors_tasks_hold_replicated_rows(spark, monkeypatch):
+    most = 3000
+    edges, counts = lattice._edges, lattice._counts
+
+    def spied(step):
+        def run(table, least):
+            assert table.num_rows <= most
+            return step(table, least)
+        return run
+
+    monkeypatch.setattr(lattice, "_edges", spied(edges))
+    monkeypatch.setattr(lattice, "_counts", spied(counts))
+    monkeypatch.setattr(lattice, "TASK_ROWS", 1000)
+    r = np.random.default_rng(2)
+    base = r.normal(size=16)
+    rows = [(k, (base + r.normal(size=16) * 0.01).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = sorted(tuple(x) for x in lattice.near_vectors(df, block=10, tables=2).collect())
+    assert got == [(k, 299, 0, k == 0) for k in range(300)]
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(0, 60)]
     star = [(100, 100 + k) for k in range(1, 40)]

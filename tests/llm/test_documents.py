@@ -383,6 +383,16 @@ def test_near_documents(docs, block):
     assert rows_of(got, "doc_id", "n_links", "component_id", "kept") == brute_near(rows, 0.8, 5)
 
 
+def test_near_documents_texts_of_one_id(spark):
+    rows = edge_documents()
+    a, b = prose("one", 100), prose("two", 100)
+    rows += [(50, a), (50, b), (50, prose("three", 100)), (51, a + " end"), (52, b + " end"), (52, b + " end")]
+    rows = [r[:2] for r in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = forest.near_documents(df)
+    assert rows_of(got, "doc_id", "n_links", "component_id", "kept") == brute_near(rows, 0.8, 5)
+
+
 def test_near_documents_recall_in_a_large_group(spark):
     r = random.Random(11)
     base = [f"w{r.randrange(500)}" for _ in range(150)]

@@ -58,24 +58,66 @@ def slices(bounds: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         i = min(j, n)
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): byte ranges of all words, and for each row the number of words before it (one more at the end)."""
-    word = ~IS_SPACE[data]
-    before = np.empty_like(word)
+def spans(member: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): byte ranges of the maximal runs of ``member`` inside rows, and for each row
+    the number of runs before it (one more at the end)."""
+    before = np.empty_like(member)
     before[:1] = False
-    before[1:] = word[:-1]
-    inner = bounds[1:-1][bounds[1:-1] < len(data)]
+    before[1:] = member[:-1]
+    inner = bounds[1:-1][bounds[1:-1] < len(member)]
     before[inner] = False
-    start = np.flatnonzero(word & ~before)
-    after = np.empty_like(word)
+    start = np.flatnonzero(member & ~before)
+    after = np.empty_like(member)
     after[-1:] = False
-    after[:-1] = word[1:]
+    after[:-1] = member[1:]
     inner = inner[inner > 0]
     after[inner - 1] = False
-    end = np.flatnonzero(word & ~after) + 1
+    end = np.flatnonzero(member & ~after) + 1
     return start, end, np.searchsorted(start, bounds)
 
 
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``spans`` of the words, which ASCII white space parts."""
+    return spans(~IS_SPACE[data], bounds)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)
+
+
+def pieces(data: np.ndarray, bounds: np.ndarray, member: np.ndarray,
+           most: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bounds): rows of more than ``most`` bytes cut into several, behind a byte that is no ``member``.
+
+    A run of members is never cut, so a piece of one run can be longer. ``member``: by byte value.
+    """
+    long = np.flatnonzero(np.diff(bounds) > most)
+    if not len(long):
+        return np.arange(len(bounds) - 1), bounds
+    owner, cuts, done = [], [], 0
+    for k in long.tolist():
+        owner.append(np.arange(done, k))
+        cuts.append(bounds[done: k])
+        at, end, own = int(bounds[k]), int(bounds[k + 1]), []
+        while at < end:
+            own.append(at)
+            stop = at + most
+            while stop < end:  # the first byte from there on that parts runs
+                free = np.flatnonzero(~member[data[stop: min(end, stop + most)]])
+                if len(free):
+                    stop += int(free[0]) + 1
+                    break
+                stop += most
+            at = min(stop, end)
+        owner.append(np.full(len(own), k))
+        cuts.append(np.array(own, dtype=bounds.dtype))
+        done = k + 1
+    owner.append(np.arange(done, len(bounds) - 1))
+    cuts.append(bounds[done:])
+    return np.concatenate(owner), np.concatenate(cuts)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of a 64-bit hash (SplitMix64), element by element."""
     x = x ^ (x >> np.uint64(30))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import forest, lattice, line_dedup, mixing, packing, ppm, quality, substring, topk, warc
+from basketry.llm import forest, lattice, line_dedup, mixing, packing, ppm, quality, substring, topk, toxicity, warc
 from basketry.llm.common import shared_path
 from basketry.sources.tables import read_table
 
@@ -160,6 +160,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe)
 
 
+@query("op11_factorization_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = read_table(spark, sf_dir, "documents")
+    # a document with several labels is toxic if one of them says so
+    labels = (read_table(spark, sf_dir, "labels").where(~held_out & F.col("doc_id").isNotNull())
+              .groupBy("doc_id").agg(F.max("toxic").alias("label")))
+    scores = toxicity.toxic_scores(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which takes its inputs from here

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import forest, lattice, line_dedup, mixing, packing, ppm, quality, substring, topk, toxicity, warc
+from basketry.llm import forest, lattice, line_dedup, mixing, packing, ppm, quality, search, substring, topk, toxicity, warc
 from basketry.llm.common import shared_path
 from basketry.sources.tables import read_table
 
@@ -171,6 +171,29 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op12_max_sketch_search")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLE["op12_max_sketch_search"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rn, {_TERMS} AS t FROM documents),
+g AS (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM d WHERE len(t) > 0),
+tf AS (SELECT rn, doc_id, term, len(t) AS n, count(*) AS tf
+       FROM (SELECT rn, doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times
+      FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(tf.rn) + 1))) AS BIGINT) AS w
+      FROM (SELECT DISTINCT term FROM q) LEFT JOIN tf USING (term), g GROUP BY term, n_docs),
+s AS (SELECT item_id, rn, doc_id,
+             CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term), g GROUP BY item_id, rn, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM r WHERE n <= 10"""
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which takes its inputs from here

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import forest, lattice, line_dedup, mixing, packing, ppm, quality, search, substring, topk, toxicity, warc
+from basketry.llm import (
+    forest, lattice, line_dedup, mixing, packing, ppm, quality, search, spelling, substring, topk, toxicity, warc,
+)
 from basketry.llm.common import shared_path
 from basketry.sources.tables import read_table
 
@@ -194,6 +196,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM r WHERE n <= 10"""
 
 
+@query("op13_kd_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"), least=7, min_count=2, ratio=10, every=31)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which takes its inputs from here

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import lowered, mix64, pieces, row_key, slices, span_hashes, spans, stored, utf8
 
-#: coordinates of a sketch
+#: coordinates of a sketch: a power of two, at most this
 WIDTH = 1 << 16
 #: bytes of query text, and queries, of a batch at most (a longer query is a batch of its own)
 BATCH_BYTES, BATCH_QUERIES = 1 << 20, 512
@@ -82,15 +82,15 @@ def weight(documents: int, holding: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * holding + 1)))
 
 
-def coordinate(term: np.ndarray) -> np.ndarray:
-    return (mix64(term.view(np.uint64) if term.dtype == np.int64 else term) & np.uint64(WIDTH - 1)).astype(np.int64)
+def coordinate(term: np.ndarray, width: int) -> np.ndarray:
+    return (mix64(term.view(np.uint64)) & np.uint64(width - 1)).astype(np.int64)
 
 
 class Queries:
     """A batch of queries: numbers from 0, their distinct terms, and how often a query has a term."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = ids
+    def __init__(self, ids: list[int], texts: list[str], width: int = WIDTH):
+        self.ids, self.width = ids, width
         row, term, times = term_counts(*utf8(pa.array(texts, pa.string())))
         self.terms, self.term = np.unique(term, return_inverse=True)
         self.query, self.times = row, times
@@ -102,8 +102,8 @@ class Queries:
         kind = np.float64 if most < 2.0 ** 53 else np.int64
         self.weight = np.zeros((len(self.terms), len(self.ids)), dtype=kind)
         self.weight[self.term, self.query] = own
-        cells, cell = np.unique(coordinate(self.terms), return_inverse=True)
-        self.at = np.full(WIDTH, -1, dtype=np.int64)
+        cells, cell = np.unique(coordinate(self.terms, self.width), return_inverse=True)
+        self.at = np.full(self.width, -1, dtype=np.int64)
         self.at[cells] = np.arange(len(cells))
         # query terms of one coordinate: each may be the one that the document has
         self.lookup = np.zeros((len(cells), len(self.ids)), dtype=kind)
@@ -146,21 +146,21 @@ def _statistics(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterat
 SKETCHES = "doc_id bigint, row_key bigint, coordinates binary, impacts binary"
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], documents: int, total: int) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], documents: int, total: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = utf8(batch.column("text"))
         for i, j in slices(bounds):
             row, term, count = term_counts(data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i])
             size = np.bincount(row, count, j - i).astype(np.int64)
             value = impacts(count, size[row], documents, total)
-            cell = row * WIDTH + coordinate(term)
+            cell = row * width + coordinate(term, width)
             by = np.lexsort((-value, cell))
             cell, value = cell[by], value[by]
             new = np.ones(len(cell), dtype=bool)
             new[1:] = cell[1:] != cell[:-1]
             cell, value = cell[new], value[new]
-            at = np.searchsorted(cell // WIDTH, np.arange(j - i + 1)).tolist()
-            places, values = (cell % WIDTH).astype("<u2"), value.astype("<u4")
+            at = np.searchsorted(cell // width, np.arange(j - i + 1)).tolist()
+            places, values = (cell % width).astype("<u2"), value.astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(i, j - i), batch.column("row_key").slice(i, j - i),
                  pa.array([places[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
@@ -266,7 +266,7 @@ def _scored(batches: Iterator[pa.RecordBatch], queries: Queries, documents: int,
                 names=["query", "doc_id", "row_key", "score"])
 
 
-def search(docs: DataFrame, items: DataFrame, *, k: int = 10, id_col: str = "doc_id", text_col: str = "text",
+def search(docs: DataFrame, items: DataFrame, *, k: int = 10, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text",
            item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``item_id, rank, doc_id, score``: for each item the ``k`` documents of highest score above 0 (all, if fewer).
 
@@ -294,14 +294,15 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = 10, id_col: str = "doc
     sketches, found = None, []
     for part in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id").collect()
-        queries = Queries([r["item_id"] for r in rows], [r["text"] for r in rows])
+        queries = Queries([r["item_id"] for r in rows], [r["text"] for r in rows], width)
         counts = (read.select("text").mapInArrow(functools.partial(_statistics, wanted=queries.terms), COUNTS)
                   .groupBy("term").agg(F.sum("documents").alias("documents"), F.sum("total").alias("total")).collect())
         all_of = next(((r["documents"], r["total"]) for r in counts if r["term"] is None), (0, 0))
         holding = {r["term"]: r["documents"] for r in counts if r["term"] is not None}
         queries.weigh(np.array([weight(all_of[0], holding.get(t, 0)) for t in queries.terms.tolist()], dtype=np.int64))
         if sketches is None:
-            sketches = stored(read.mapInArrow(functools.partial(_sketches, documents=all_of[0], total=all_of[1]),
+            sketches = stored(read.mapInArrow(functools.partial(_sketches, documents=all_of[0], total=all_of[1],
+                                                                width=width),
                                               SKETCHES), "sketches")
         found.append(_batch_search(read, sketches, queries, all_of, k))
     out = found[0]

@@ -210,7 +210,7 @@ def one_more(short: np.ndarray, long: np.ndarray, length: np.ndarray) -> np.ndar
 NEAR = "word string, n_near bigint, best struct<n:bigint,word:string>"
 
 
-def cell_neighbours(table: pa.Table) -> pa.Table:
+def cell_neighbours(table: pa.Table, leaf: int) -> pa.Table:
     """Of a cell's words and its visitors: for each, the number of near words and the best of them."""
     word = table.column("word").combine_chunks()
     n = table.column("n").to_numpy()
@@ -261,7 +261,7 @@ def cell_neighbours(table: pa.Table) -> pa.Table:
         rows, row, away = todo.pop()
         if not len(rows) or not len(row):
             continue
-        bit = best_bit(vector[rows]) if len(rows) > LEAF else None
+        bit = best_bit(vector[rows]) if len(rows) > leaf else None
         if bit is None:
             compare(rows, row)
             continue
@@ -300,20 +300,20 @@ def _visits(batches: Iterator[pa.RecordBatch], trees: dict[int, Cells]) -> Itera
 
 
 def near_words(words: DataFrame, *, cell_letters: int = CELL_LETTERS, visitor_letters: int = VISITOR_LETTERS,
-               sample: int = SAMPLE) -> DataFrame:
+               sample: int = SAMPLE, least: int = LEAST, leaf: int = LEAF) -> DataFrame:
     """``word, n_near, most, form`` of each word of ``words`` (distinct ``word`` of Latin-1 letters, ``n``) that has
     words one edit apart: their number, and of those of largest n (``most``) the first in code-point order."""
     spark = words.sparkSession
     sized = words.withColumn("length", F.length("word"))
     trees: dict[int, Cells] = {}
     for length, count in sized.groupBy("length").count().collect():  # a row for each word length
-        most = max(LEAF, cell_letters // length)
+        most = max(leaf, cell_letters // length)
         vector = np.zeros((0, 2), np.uint64)
         if count > most:
             lowest = sized.where(F.col("length") == length).select("word").orderBy(F.xxhash64("word"), "word")
-            taken = lowest.limit(max(LEAST, min(sample, 4_000_000 // length))).toArrow().column("word")
+            taken = lowest.limit(max(least, min(sample, 4_000_000 // length))).toArrow().column("word")
             vector = vectors(letters(taken.combine_chunks())[0])
-        trees[length] = Cells(vector, count, most, LEAST)
+        trees[length] = Cells(vector, count, most, least)
     shared = spark.sparkContext.broadcast(trees)  # per length 2 * SAMPLE / LEAST nodes, about
     placed = words.select("word", "n").mapInArrow(lambda b: _visits(b, shared.value),
                                                   "length int, cell int, kind int, word string, n bigint")
@@ -324,7 +324,7 @@ def near_words(words: DataFrame, *, cell_letters: int = CELL_LETTERS, visitor_le
     chunk = F.when(F.col("kind") > 0, F.array(F.pmod(F.xxhash64("word"), F.col("chunks")).cast("int"))).otherwise(
         F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))
     dealt = dealt.select("length", "cell", "kind", "word", "n", F.explode(chunk).alias("chunk"))
-    found = dealt.groupBy("length", "cell", "chunk").applyInArrow(cell_neighbours, NEAR)
+    found = dealt.groupBy("length", "cell", "chunk").applyInArrow(lambda t: cell_neighbours(t, leaf), NEAR)
     first = F.min(F.struct((-F.col("best.n")).alias("n"), F.col("best.word").alias("word"))).alias("first")
     return (found.groupBy("word").agg(F.sum("n_near").alias("n_near"), first)
             .select("word", "n_near", (-F.col("first.n")).alias("most"), F.col("first.word").alias("form")))

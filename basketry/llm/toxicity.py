@@ -127,12 +127,13 @@ class Machine:
 
     def scores(self, row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
         """Of each row the log-odds, from its (row, term) entries, sorted by row."""
-        at = np.searchsorted(row, np.arange(rows + 1))
+        own, at = np.unique(row, return_index=True)
 
         def sums(x: np.ndarray) -> np.ndarray:
-            total = np.zeros((len(x) + 1, *x.shape[1:]))
-            np.cumsum(x, axis=0, out=total[1:])
-            return total[at[1:]] - total[at[:-1]]
+            total = np.zeros((rows, *x.shape[1:]))
+            if len(at):
+                total[own] = np.add.reduceat(x, at, axis=0)
+            return total
 
         v = self.factor[term]
         pairs = (sums(v) ** 2).sum(axis=1) - sums((v ** 2).sum(axis=1))
@@ -185,22 +186,22 @@ def _fitted(table: pa.Table, terms: int, factors: int) -> pa.Table:
                      "factor": pa.array([machine.factor.ravel().tolist()])})
 
 
-def train(labelled: DataFrame, *, most: int = SAMPLE, terms: int = TERMS, factors: int = FACTORS,
-          id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> tuple[np.ndarray, Machine] | None:
-    """(number of each bucket that is a term or -1, machine) from labelled texts; None unless both kinds are there.
+def train(docs: DataFrame, labels: DataFrame, *, most: int = SAMPLE, terms: int = TERMS,
+          factors: int = FACTORS) -> tuple[np.ndarray, Machine] | None:
+    """(number of each bucket that is a term or -1, machine); None unless texts of both labels are there.
 
-    At most ``most`` texts of each label (1 and 0), those whose ids hash lowest; a null label is none.
+    ``docs``: ``doc_id, row_key, text``. ``labels``: ``doc_id, label``; at most ``most`` ids of each
+    label, those that hash lowest.
     """
-    known = labelled.select(F.xxhash64(id_col, text_col).alias("id"), F.col(label_col).cast("int").alias("label"),
-                            F.col(text_col).alias("text"))
-    ids = known.select("id", "label").dropDuplicates(["id"])  # equal rows are learned from once
     chosen = None
     for label in (0, 1):
-        part = ids.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    # 2 * most ids
-    rows = known.dropDuplicates(["id"]).join(F.broadcast(chosen.select("id")), "id", "left_semi")
-    rows = stored(rows.select("label", "text", "id").mapInArrow(
+        ids = labels.where(F.col("label") == label).select(F.col("doc_id").alias("_doc"), "label")
+        ids = ids.orderBy(F.xxhash64("_doc"), "_doc").limit(most)
+        chosen = ids if chosen is None else chosen.unionAll(ids)
+    # 2 * most ids; of rows with one id one is learned from
+    rows = (docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc")).groupBy("doc_id", "label")
+            .agg(F.min_by("text", "row_key").alias("text")))
+    rows = stored(rows.select("label", "text", F.col("doc_id").alias("id")).mapInArrow(
         _sample_rows, "label int, terms array<int>, id bigint"), "labelled-terms")
     sizes = rows.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).first()
     if not sizes["toxic"] or not sizes["clean"]:
@@ -242,13 +243,15 @@ def train(labelled: DataFrame, *, most: int = SAMPLE, terms: int = TERMS, factor
 SCORES = "doc_id bigint, row_key bigint, score double, predicted int"
 
 
-def toxic_scores(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+def toxic_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "label", **options) -> DataFrame:
-    """``doc_id, row_key, score, predicted``: one row per row of ``docs``, scored by a machine that learns from ``labelled``.
+    """``doc_id, row_key, score, predicted``: one row per row of ``docs``, scored by a machine that learns from ``labels``.
 
-    ``labelled`` has texts with a label of 1 (toxic) or 0; a null label is
-    none. ``score`` is from 0 to 1, higher where 1 is likelier; ``predicted``
-    is 1 from 0.5 on. Only the text is an input of a score.
+    ``labels`` (``id_col``, ``label_col``): ids of documents with 1 (toxic) or
+    0. Null labels and ids are none, ids that are not in ``docs`` do nothing,
+    an id with both labels is toxic. ``score`` is from 0 to 1, higher where 1
+    is likelier; ``predicted`` is 1 from 0.5 on. Only the text is an input of a
+    score.
 
     A null or empty text has no terms: its score is the machine's bias. Equal
     texts are scored alike. Texts of any length are whole, worked on in pieces
@@ -257,7 +260,11 @@ def toxic_scores(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id"
     Other columns are not read. Words are told apart by 64 bits of hash, terms
     by their bucket.
     """
-    trained = train(labelled, id_col=id_col, text_col=text_col, label_col=label_col, **options)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(text_col)).alias("row_key"),
+                       F.col(text_col).alias("text"))
+    known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+             .groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label")))
+    trained = train(rows, known, **options)
     if trained is None:
         trained = np.full(BUCKETS, -1, dtype=np.int64), Machine(1, 1)
         trained[1].bias = -1e-9
@@ -274,6 +281,4 @@ def toxic_scores(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id"
                 [batch.column("doc_id"), batch.column("row_key"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                 names=["doc_id", "row_key", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(F.col(text_col)).alias("row_key"),
-                       F.col(text_col).alias("text"))
     return rows.mapInArrow(score, SCORES)

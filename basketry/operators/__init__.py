@@ -23,4 +23,4 @@ from basketry.operators.whatif import (  # noqa: F401
     simulate_kpis,
     simulate_stages,
 )
-from basketry.operators.windows import Ordering, global_windows, ntile, percent_rank  # noqa: F401
+from basketry.operators.windows import Ordering, ntile, percent_rank, tile_columns, with_windows  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from basketry.functions.exprs import (
     date_lit, diff_days, money_sum, require_columns, round_n, to_day,
 )
-from basketry.operators.windows import Ordering, global_windows, ntile
+from basketry.operators.windows import Ordering, tile_columns
+from basketry.session import stored
 
 # Segment names, tested in this order (first match wins).
 CHAMPIONS = "Champions"
@@ -49,24 +51,22 @@ def rfm_raw(orders: DataFrame, *, as_of: str | _dt.date, user_col: str = "user_i
         round_n(F.col("_m").cast("double"), 2).alias("monetary"))
 
 
-def rfm_scores(raw: DataFrame, *, user_col: str = "user_id", n_tiles: int = 5,
-               ranges: int | None = None) -> DataFrame:
-    """Add r/f/m_score: NTILE over recency DESC (recent = high), frequency
+#: score -> (measure, descending): recent buyers score high
+SCORES = {"r_score": ("recency", True), "f_score": ("frequency", False), "m_score": ("monetary", False)}
+
+
+def rfm_scores(raw: DataFrame, *, user_col: str = "user_id", n_tiles: int = 5, ranges: int | None = None,
+               scores: Sequence[str] = tuple(SCORES)) -> DataFrame:
+    """Add r/f/m_score, or those of ``scores``: NTILE over recency DESC (recent = high), frequency
     and monetary ASC; ties broken by user id so scores are deterministic.
 
-    The three global orderings go through sorted ranges, one after the other.
+    The orderings asked for are sorted in one pass, for the rows at the tile
+    borders; a row's scores are then an expression over its own columns.
     """
-    specs = {
-        "_r_": (Ordering((("recency", True),), (user_col,)), {}),
-        "_f_": (Ordering((("frequency", False),), (user_col,)), {}),
-        "_m_": (Ordering((("monetary", False),), (user_col,)), {}),
-    }
-    w = global_windows(raw, specs, ranges=ranges)
-    return w.select(
-        *raw.columns,
-        ntile("_r_pos", "_r_n", n_tiles).alias("r_score"),
-        ntile("_f_pos", "_f_n", n_tiles).alias("f_score"),
-        ntile("_m_pos", "_m_n", n_tiles).alias("m_score"))
+    raw = stored(raw, "rfm-rows")
+    tiles = {name: (Ordering((SCORES[name],), (user_col,)), n_tiles) for name in scores}
+    columns = tile_columns(raw, tiles, ranges=ranges)
+    return raw.select(*raw.columns, *[c.alias(name) for name, c in columns.items()])
 
 
 def rfm_segmentation(orders: DataFrame, *, as_of: str | _dt.date = "2023-12-31",

@@ -3,18 +3,23 @@ LAG/LEAD, FIRST_VALUE) without funnelling a whole ordering into one task.
 
 A window with no PARTITION BY, or one whose partition holds a third of the
 rows, makes Spark sort everything in a single task. Here Spark's range
-partitioner deals the rows to ranges of the full sort key (partition
-columns, order columns, tie columns), so one hot value or one huge
-partition spreads over many ranges. The sorted ranges are stored once in
-the shared folder with each row's place in them. Then
-
-1. one row per range says how many rows it holds, and which groups of
-   equal partition or order columns it begins and ends with. Windows over
-   these few rows (as many as there are ranges, whatever the data) give each
-   range its offset and the extent of the groups that span several ranges;
-2. the stored rows go back to one task per range (``repartitionById``),
-   where ordinary windows find each row's place in the groups of its range;
-   groups at the range's ends take their extent from the range's row.
+partitioner deals the rows to ranges of the full sort key (order columns,
+then tie columns), so one hot value spreads over many ranges. Two ways
+lead on from there:
+
+``with_windows``: ordinary windows number the rows inside each range, for
+all window specifications over one ORDER BY at once, whatever their
+PARTITION BY. The rows are stored with these numbers. What a range has of a
+partition is one row of a summary table; windows over that table (the
+neighbouring ranges' halo: counts before, the peers and values at the ends)
+turn numbers inside the range into places over all rows, by a join and a
+projection. The rows are sorted once and never sorted back.
+
+``tile_columns``: NTILE needs only the last row of each tile. The rows of
+several orderings are sorted together, as narrow (ordering, key, tie) rows;
+the number of rows in each range says in which range a border lies, and
+there the border row is looked up. A row's tile is the number of borders in
+front of it, an expression over its own columns: no row is shuffled back.
 
 The same plan runs at every size. Order is the range partitioner's, that is
 Spark's own for ``ORDER BY ... NULLS LAST``: strings, dates and timestamps
@@ -25,6 +30,8 @@ sums and LAG/LEAD are the same under any partitioning.
 
 from __future__ import annotations
 
+import datetime as _dt
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from basketry.functions.exprs import exact
 from basketry.session import stored
 
-#: a row's place: its range in the upper bits, its number in the range below
+#: a row's place in ``tile_columns``: its range in the upper bits, its number in the range below
 RANGE_BITS = 33
 
 
@@ -50,158 +57,164 @@ class Ordering:
     tie_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
 
+    def order_columns(self) -> list[Column]:
+        return [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in self.order_by]
+
     def sort_columns(self) -> list[Column]:
-        return [*[F.col(c).asc_nulls_last() for c in self.partition_by],
-                *[F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in self.order_by],
-                *[F.col(c).asc_nulls_last() for c in self.tie_by]]
-
-    def levels(self) -> dict[str, list[Column]]:
-        """Columns whose equal values make a group: the partition, its rows
-        with or without a NULL in the first order column, and the peers."""
-        part = [F.col(c) for c in self.partition_by]
-        nulls = [*part, F.col(self.order_by[0][0]).isNull()] if self.order_by else part
-        return {"part": part, "nulls": nulls, "peer": [*part, *[F.col(c) for c, _ in self.order_by]]}
-
-
-def sorted_ranges(df: DataFrame, o: Ordering, ranges: int | None = None) -> DataFrame:
-    """``df`` in sorted ranges, stored, with ``_place`` (ascending in the
-    total order) and ``_range``."""
-    for c in [*o.partition_by, *[c for c, _ in o.order_by], *o.tie_by]:
-        if c not in df.columns:
-            raise ValueError(f"window ordering: missing column {c!r}; have {df.columns}")
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = o.sort_columns()
-    if not keys:
-        raise ValueError("window ordering: no columns to order by")
-    placed = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_place", F.monotonically_increasing_id()))
-    return stored(placed.withColumn("_range", F.shiftright("_place", RANGE_BITS).cast("int")), "sorted-ranges")
-
-
-def _number(place: Column) -> Column:
-    """A row's number in its range, from 0."""
-    return place.bitwiseAND((1 << RANGE_BITS) - 1)
-
-
-def range_rows(rows: DataFrame, o: Ordering, value: str | None = None) -> DataFrame:
-    """One row per range: its offset in the total order, and for each level
-    where the group that it begins with starts and the one that it ends with
-    ends, both in numbers over all rows.
-
-    With ``value``: the value before and behind the range, the first value
-    of the partition it begins in, and the exact sum of that partition's
-    values in earlier ranges.
-    """
-    levels = o.levels()
-    keys = {f"_{name}": F.struct(F.lit(0).alias("_"), *[c.alias(f"c{i}") for i, c in enumerate(cols)])
-            for name, cols in levels.items()}
-    keyed = rows.select("_range", "_place", *([F.col(value).alias("_v")] if value else []),
-                        *[k.alias(name) for name, k in keys.items()])
-    ends = [F.count(F.lit(1)).alias("_count")]
-    for name in keys:
-        ends += [F.min_by(name, "_place").alias(f"{name}_first"), F.max_by(name, "_place").alias(f"{name}_last")]
-    if value:
-        ends += [F.min_by("_v", "_place").alias("_v_first"), F.max_by("_v", "_place").alias("_v_last")]
-    table = keyed.groupBy("_range").agg(*ends)
-    # where the last group of a range starts in it, the first one ends, and
-    # what the last partition group adds up to there
-    marks = keyed.join(table.withColumnRenamed("_range", "_r"), F.col("_range") == F.col("_r"))
-    found = []
-    for name in keys:
-        found += [F.min(F.when(F.col(name).eqNullSafe(F.col(f"{name}_last")), F.col("_place"))).alias(f"{name}_tail"),
-                  F.max(F.when(F.col(name).eqNullSafe(F.col(f"{name}_first")), F.col("_place"))).alias(f"{name}_head")]
-    if value:
-        in_tail = F.col("_part").eqNullSafe(F.col("_part_last"))
-        found += [F.sum(F.when(in_tail, exact("_v"))).alias("_tail_sum"),
-                  F.min_by(F.struct("_v"), F.when(in_tail, F.col("_place"))).alias("_tail_first")]
-    table = table.join(marks.groupBy(F.col("_range").alias("_r")).agg(*found), F.col("_range") == F.col("_r")).drop("_r")
-
-    in_order = Window.orderBy("_range")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    up_to = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    onward = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    table = table.withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0)))
-    for name in keys:
-        goes_on = F.col(f"{name}_first").eqNullSafe(F.lag(f"{name}_last").over(in_order)) & F.lag("_count").over(in_order).isNotNull()
-        comes_on = F.col(f"{name}_last").eqNullSafe(F.lead(f"{name}_first").over(in_order)) & F.lead("_count").over(in_order).isNotNull()
-        table = table.withColumns({f"{name}_on": goes_on, f"{name}_next": comes_on,
-                                   f"{name}_one": F.col(f"{name}_first").eqNullSafe(F.col(f"{name}_last"))})
-        # a range that is all one group, begun earlier, leaves the start as it was
-        start = F.last(F.when(~(F.col(f"{name}_on") & F.col(f"{name}_one")), F.col("_offset") + _number(F.col(f"{name}_tail"))),
-                       ignorenulls=True).over(up_to)
-        end = F.last(F.when(~(F.col(f"{name}_next") & F.col(f"{name}_one")), F.col("_offset") + _number(F.col(f"{name}_head"))),
-                     ignorenulls=True).over(onward)
-        table = table.withColumns({f"{name}_start": start, f"{name}_end": end})
-    out = [F.col("_range").alias("_r"), "_offset", F.col("_count").alias("_size")]
-    if value:
-        breaks = ~(F.col("_part_on") & F.col("_part_one"))
-        table = table.withColumns({
-            "_run": F.sum(breaks.cast("int")).over(up_to),
-            "_start_value": F.last(F.when(breaks, F.col("_tail_first")), ignorenulls=True).over(up_to)})
-        table = table.withColumn("_carry", F.sum("_tail_sum").over(Window.partitionBy("_run").orderBy("_range")
-                                                                   .rowsBetween(Window.unboundedPreceding, 0)))
-        out += [F.lag("_v_last").over(in_order).alias("_v_before"), F.lead("_v_first").over(in_order).alias("_v_behind"),
-                F.when(F.col("_part_on"), F.lag("_start_value").over(in_order)).alias("_group_first"),
-                F.when(F.col("_part_on"), F.lag("_carry").over(in_order)).alias("_group_carry")]
-    for name in keys:
-        out += [F.when(F.col(f"{name}_on"), F.lag(f"{name}_start").over(in_order))
-                .otherwise(F.col("_offset")).alias(f"_start{name}"),
-                F.when(F.col(f"{name}_next"), F.lead(f"{name}_end").over(in_order))
-                .otherwise(F.col("_offset") + F.col("_count") - 1).alias(f"_end{name}")]
-    return table.select(*out)
-
-
-def with_positions(df: DataFrame, o: Ordering, prefix: str, *, value: str | None = None, running: bool = False,
-                   neighbours: bool = False, first_value: bool = False, reverse_rank: bool = False,
-                   ranges: int | None = None) -> DataFrame:
-    """``df`` with window values of the ordering, each name with ``prefix``:
-
-    ``pos`` (ROW_NUMBER), ``n`` (rows of the partition), ``rank`` (RANK),
+        """The order that all specifications over one ORDER BY share: no partition columns."""
+        return [*self.order_columns(), *[F.col(c).asc_nulls_last() for c in self.tie_by]]
+
+    def check(self, df: DataFrame) -> None:
+        for c in [*self.partition_by, *[c for c, _ in self.order_by], *self.tie_by]:
+            if c not in df.columns:
+                raise ValueError(f"window ordering: missing column {c!r}; have {df.columns}")
+        if not self.sort_columns():
+            raise ValueError("window ordering: no columns to order by")
+
+
+def _partitions(df: DataFrame, ranges: int | None) -> int:
+    return ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+# ------------------------------------------------------- windows over one order
+
+
+@dataclass(frozen=True)
+class _Spec:
+    prefix: str
+    o: Ordering
+    value: str | None = None
+    running: bool = False
+    neighbours: bool = False
+    first_value: bool = False
+    reverse_rank: bool = False
+
+    def name(self, what: str) -> str:
+        return f"_{what}_{self.prefix}"
+
+    def in_range(self) -> dict[str, Column]:
+        """What a row is told inside its range, before anything is known of other ranges."""
+        part = [F.col("_range"), *[F.col(c) for c in self.o.partition_by]]
+        rows = Window.partitionBy(*part).orderBy(*self.o.sort_columns())
+        peers = Window.partitionBy(*part).orderBy(*self.o.order_columns()) if self.o.order_by else None
+        same = Window.partitionBy(*part, *[F.col(c) for c, _ in self.o.order_by])
+        out = {"rn": F.row_number().over(rows),
+               "rank": F.rank().over(peers) if peers is not None else F.lit(1),
+               "peers": F.count(F.lit(1)).over(same)}
+        if self.neighbours:
+            out |= {"lag": F.lag(self.value).over(rows), "lead": F.lead(self.value).over(rows)}
+        if self.running:
+            out["sum"] = F.sum(exact(self.value)).over(rows.rowsBetween(Window.unboundedPreceding, 0))
+        return {self.name(k): c.cast("long") if k in ("rn", "rank", "peers") else c for k, c in out.items()}
+
+    def summary(self, rows: DataFrame) -> DataFrame:
+        """A row per range and partition: what rows of the range need to know of the other ranges."""
+        o = self.o
+        key = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, (c, _) in enumerate(o.order_by)])
+        rn, rank, peers = (F.col(self.name(x)) for x in ("rn", "rank", "peers"))
+        found = [F.count(F.lit(1)).alias("n"),
+                 F.min_by(F.struct(key.alias("key"), peers.alias("head")), rn).alias("first"),
+                 F.max_by(F.struct(key.alias("key"), rank.alias("tail")), rn).alias("last")]
+        if o.order_by:
+            found.append(F.count(o.order_by[0][0]).alias("known"))
+        if self.value is not None:
+            v = F.struct(F.col(self.value).alias("v"))
+            found += [F.min_by(v, rn).alias("v_first"), F.max_by(v, rn).alias("v_last")]
+        if self.running:
+            found.append(F.sum(exact(self.value)).alias("s"))
+        names = [f"_p{i}" for i in range(len(o.partition_by))]
+        table = rows.groupBy(F.col("_range").alias("_r"), *[F.col(c).alias(p) for c, p in zip(o.partition_by, names)]).agg(*found)
+
+        in_order = Window.partitionBy(*names).orderBy("_r")
+        before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+        up_to = in_order.rowsBetween(Window.unboundedPreceding, 0)
+        onward = Window.partitionBy(*names).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*names)
+        one = F.col("first.key").eqNullSafe(F.col("last.key"))
+        goes_on = F.coalesce(F.lag("last").over(in_order)["key"].eqNullSafe(F.col("first.key")), F.lit(False))
+        comes_on = F.coalesce(F.lead("first").over(in_order)["key"].eqNullSafe(F.col("last.key")), F.lit(False))
+        table = table.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(whole),
+                                   "on": goes_on, "next": comes_on, "one": one})
+        # of the peers that a range ends with, the first place; of those that it begins with, the last:
+        # a range that is all peers of its neighbour leaves it as it was
+        starts = F.last(F.when(~(F.col("on") & F.col("one")), F.col("before") + F.col("last.tail")), ignorenulls=True).over(up_to)
+        ends = F.last(F.when(~(F.col("next") & F.col("one")), F.col("before") + F.col("first.head")), ignorenulls=True).over(onward)
+        table = table.withColumns({"start": starts, "end": ends})
+        out = {"before": F.col("before"), "total": F.col("total"), "size": F.col("n"),
+               "first_start": F.when(F.col("on"), F.lag("start").over(in_order)).otherwise(F.col("before") + 1),
+               "last_end": F.when(F.col("next"), F.lead("end").over(in_order)).otherwise(F.col("before") + F.col("n")),
+               "tail": F.col("last.tail")}
+        if self.reverse_rank and o.order_by:
+            out["known"] = F.sum("known").over(whole)
+        if self.neighbours:
+            out |= {"v_before": F.lag("v_last").over(in_order)["v"], "v_behind": F.lead("v_first").over(in_order)["v"]}
+        if self.first_value:
+            out["v_first"] = F.first("v_first").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["v"]
+        if self.running:
+            out["carry"] = F.sum("s").over(before)
+        return table.select("_r", *names, *[c.alias(self.name(f"t_{k}")) for k, c in out.items()])
+
+    def joined(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        on = F.col("_range") == F.col("_r")
+        for i, c in enumerate(self.o.partition_by):
+            on = on & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+        return rows.join(table, on).drop("_r", *[f"_p{i}" for i in range(len(self.o.partition_by))])
+
+    def values(self) -> dict[str, Column]:
+        rn, rank, peers = (F.col(self.name(x)) for x in ("rn", "rank", "peers"))
+        t = {k: F.col(self.name(f"t_{k}")) for k in ("before", "total", "size", "first_start", "last_end", "tail")}
+        start = F.when(rank == 1, t["first_start"]).otherwise(t["before"] + rank)
+        end = F.when(rank == t["tail"], t["last_end"]).otherwise(t["before"] + rank + peers - 1)
+        out = {"pos": t["before"] + rn, "n": t["total"], "rank": start, "rank_last": end}
+        if self.reverse_rank:
+            is_null = F.col(self.o.order_by[0][0]).isNull()
+            out["rank_rev"] = F.when(is_null, start).otherwise(F.col(self.name("t_known")) - end + 1)
+        if self.neighbours:
+            out["lag"] = F.when(rn == 1, F.col(self.name("t_v_before"))).otherwise(F.col(self.name("lag")))
+            out["lead"] = F.when(rn == t["size"], F.col(self.name("t_v_behind"))).otherwise(F.col(self.name("lead")))
+        if self.first_value:
+            out["first"] = F.col(self.name("t_v_first"))
+        if self.running:
+            own, carry = F.col(self.name("sum")), F.col(self.name("t_carry"))
+            out["running"] = F.when(own.isNull() & carry.isNull(), F.lit(None)).otherwise(
+                F.coalesce(own, exact(F.lit(0))) + F.coalesce(carry, exact(F.lit(0))))
+        return {f"{self.prefix}{k}": c for k, c in out.items()}
+
+
+def with_windows(df: DataFrame, specs: Mapping[str, tuple[Ordering, Mapping]], *, ranges: int | None = None) -> DataFrame:
+    """``df`` with the window values of several specifications over one ORDER BY, each name with its prefix.
+
+    The orderings differ in ``partition_by`` alone. Of each: ``pos``
+    (ROW_NUMBER), ``n`` (rows of the partition), ``rank`` (RANK),
     ``rank_last`` (rows up to the last peer); with ``reverse_rank``
     ``rank_rev`` (RANK in the opposite direction, NULLs still last); for
     ``value``: ``running`` (exact running SUM), ``lag`` and ``lead`` (with
     ``neighbours``), ``first`` (FIRST_VALUE, with ``first_value``).
     """
-    if (running or neighbours or first_value) and value is None:
-        raise ValueError("running, neighbours and first_value need a value column")
-    names = df.columns
-    rows = sorted_ranges(df, o, ranges)
-    levels = o.levels()
-    table = range_rows(rows, o, value)
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the table has a row per range: n at most
-    x = rows.repartitionById(n, "_range").join(F.broadcast(table), F.col("_range") == F.col("_r"))
-    for name in ("part", "nulls", "peer") if reverse_rank else ("part", "peer"):
-        w = Window.partitionBy("_range", *levels[name])
-        first, last = _number(F.min("_place").over(w)), _number(F.max("_place").over(w))
-        x = x.withColumns({
-            f"_s_{name}": F.when(first == 0, F.col(f"_start_{name}")).otherwise(F.col("_offset") + first),
-            f"_e_{name}": F.when(last == F.col("_size") - 1, F.col(f"_end_{name}")).otherwise(F.col("_offset") + last)})
-    at = F.col("_offset") + _number(F.col("_place"))
-    x = x.withColumn("_at", at)
-    out = {"pos": F.col("_at") - F.col("_s_part") + 1, "n": F.col("_e_part") - F.col("_s_part") + 1,
-           "rank": F.col("_s_peer") - F.col("_s_part") + 1, "rank_last": F.col("_e_peer") - F.col("_s_part") + 1}
-    if reverse_rank:
-        is_null = F.col(o.order_by[0][0]).isNull()
-        out["rank_rev"] = F.when(is_null, out["rank"]).otherwise(F.col("_e_nulls") - F.col("_e_peer") + 1)
-    if value is not None:
-        here = Window.partitionBy("_range").orderBy("_place")
-        mine = Window.partitionBy("_range", *levels["part"]).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-        opening = F.col("_s_part") < F.col("_offset")  # the partition began in an earlier range
-        if neighbours:
-            ends = _number(F.col("_place"))
-            lag = F.when(ends == 0, F.col("_v_before")).otherwise(F.lag(value).over(here))
-            lead = F.when(ends == F.col("_size") - 1, F.col("_v_behind")).otherwise(F.lead(value).over(here))
-            out["lag"] = F.when(F.col("_at") > F.col("_s_part"), lag)
-            out["lead"] = F.when(F.col("_at") < F.col("_e_part"), lead)
-        if first_value:
-            out["first"] = F.when(opening, F.col("_group_first")["_v"]).otherwise(F.first(value).over(mine))
-        if running:
-            own = F.sum(exact(value)).over(mine)
-            carry = F.when(opening, F.col("_group_carry"))
-            out["running"] = F.when(own.isNull() & carry.isNull(), F.lit(None)).otherwise(
-                F.coalesce(own, exact(F.lit(0))) + F.coalesce(carry, exact(F.lit(0))))
-    return x.select(*names, *[c.alias(f"{prefix}{name}") for name, c in out.items()])
+    made = [_Spec(prefix, o, **options) for prefix, (o, options) in specs.items()]
+    for s in made:
+        s.o.check(df)
+        if (s.running or s.neighbours or s.first_value) and s.value is None:
+            raise ValueError("running, neighbours and first_value need a value column")
+        if (s.o.order_by, s.o.tie_by) != (made[0].o.order_by, made[0].o.tie_by):
+            raise ValueError("with_windows: the orderings must agree in order_by and tie_by")
+    n = _partitions(df, ranges)
+    # stored: the range partitioner reads its input twice, to find the ranges and to deal the rows
+    dealt = stored(df, "window-rows").repartitionByRange(n, *made[0].o.sort_columns())
+    dealt = dealt.withColumn("_range", F.spark_partition_id()).repartitionById(n, "_range")
+    rows = dealt.select("*", *[c.alias(k) for s in made for k, c in s.in_range().items()])
+    rows = stored(rows, "range-windows")
+    out = rows
+    for s in made:
+        # a row per range and partition: as many as ranges, or partitions in ranges, but never more than rows.
+        # Stored, so that Spark knows its size when it chooses how to join it
+        out = s.joined(out, stored(s.summary(rows), "range-summary"))
+    return out.select(*df.columns, *[c.alias(k) for s in made for k, c in s.values().items()])
+
+
+def with_positions(df: DataFrame, o: Ordering, prefix: str, *, ranges: int | None = None, **options) -> DataFrame:
+    """``with_windows`` for one ordering."""
+    return with_windows(df, {prefix: (o, options)}, ranges=ranges)
 
 
 def ntile(pos: str | Column, n: str | Column, k: int) -> Column:
@@ -223,15 +236,84 @@ def percent_rank(rank: str | Column, n: str | Column) -> Column:
     return F.when(rows <= 1, F.lit(0.0)).otherwise((r - 1) / (rows - 1))
 
 
-def global_windows(df: DataFrame, specs: dict[str, tuple[Ordering, dict]], *,
-                   ranges: int | None = None) -> DataFrame:
-    """``df`` with the window values of several orderings, one after the other.
+# ------------------------------------------------------------------ tile borders
+
+
+def tile_ends(n: int, k: int) -> list[int]:
+    """Positions of the last rows of the tiles of NTILE(k) over n rows, but for the last tile."""
+    size, extra = divmod(n, k)
+    ends = [t * size + min(t, extra) for t in range(1, k)]
+    return [e for t, e in enumerate(ends, start=1) if t < n]
+
+
+def _literal(value, dtype: str) -> Column:
+    if isinstance(value, _dt.datetime) and dtype == "timestamp_ntz":
+        return F.lit(value.isoformat(sep=" ")).cast(dtype)
+    return F.lit(value).cast(dtype)
+
+
+def _behind(columns: Iterable[tuple[Column, bool, Column, bool]]) -> Column:
+    """Whether a row comes after a border row: (column, descending, border's value, whether that is null) by importance."""
+    out = F.lit(False)
+    for c, descending, border, is_null in reversed(list(columns)):
+        after = F.lit(False) if is_null else c.isNull() | F.coalesce(c < border if descending else c > border, F.lit(False))
+        out = after | (c.eqNullSafe(border) & out)
+    return out
+
+
+def tile_columns(df: DataFrame, tiles: Mapping[str, tuple[Ordering, int]], *, ranges: int | None = None) -> dict[str, Column]:
+    """NTILE values over all rows of ``df``, a column expression over its rows for each name.
 
-    The input is computed once: it is stored, and so is what one ordering
-    hands to the next, because the range partitioner reads its input twice
-    (to find the ranges, and to deal the rows).
+    ``tiles``: name -> (ordering without partition columns, number of tiles).
+    The orderings are sorted in one pass over narrow rows. ``df`` should be
+    a stored table, as it is read twice here and again where the columns are used.
     """
-    out = df
-    for prefix, (o, options) in specs.items():
-        out = with_positions(stored(out, "window-rows"), o, prefix, ranges=ranges, **options)
+    dtypes = dict(df.dtypes)
+    keys: list[list[tuple[str, bool]]] = []
+    for o, _ in tiles.values():
+        o.check(df)
+        if o.partition_by:
+            raise ValueError("tile_columns: orderings over all rows only")
+        keys.append([*o.order_by, *[(c, False) for c in o.tie_by]])
+    # one sort column for each column and direction that an ordering has at its place; null for the others
+    places: dict[tuple[int, str, bool], str] = {}
+    for columns in keys:
+        for place, (c, d) in enumerate(columns):
+            places.setdefault((place, dtypes[c], d), f"k{len(places)}")
+    by = [F.col("o"), *[F.col(k).desc_nulls_last() if d else F.col(k).asc_nulls_last()
+                        for (_, _, d), k in sorted(places.items(), key=lambda x: x[0][0])]]
+    rows = []
+    for number, columns in enumerate(keys):
+        at = {places[place, dtypes[c], d]: F.col(c) for place, (c, d) in enumerate(columns)}
+        rows.append(F.struct(F.lit(number).alias("o"), *[at.get(k, F.lit(None)).cast(t).alias(k)
+                                                        for (_, t, _), k in places.items()]))
+    narrow = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    placed = (narrow.repartitionByRange(_partitions(df, ranges), *by).sortWithinPartitions(*by)
+              .withColumn("p", F.monotonically_increasing_id()))
+    placed = stored(placed.withColumn("r", F.shiftright("p", RANGE_BITS)), "tile-orders")
+    # a row per ordering and range
+    counted = placed.groupBy("o", "r").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first")).collect()
+    counted.sort(key=lambda c: (c["o"], c["r"]))
+    wanted: dict[int, tuple[int, int]] = {}  # place of a border -> (ordering, its number)
+    for number, (_, k) in enumerate(tiles.values()):
+        own = [c for c in counted if c["o"] == number]
+        seen, ends = 0, tile_ends(sum(c["n"] for c in own), k)
+        for c in own:
+            for t, end in enumerate(ends):
+                if seen < end <= seen + c["n"]:
+                    wanted[c["first"] + end - seen - 1] = (number, t)
+            seen += c["n"]
+    borders = {}
+    if wanted:
+        for b in placed.where(F.col("p").isin(list(wanted))).collect():  # a row per border
+            borders[wanted[b["p"]]] = b
+    out = {}
+    for number, (name, columns) in enumerate(zip(tiles, keys)):
+        tile = F.lit(1)
+        for (of, _), b in sorted(borders.items()):
+            if of == number:
+                values = [b[places[place, dtypes[c], d]] for place, (c, d) in enumerate(columns)]
+                after = _behind([(F.col(c), d, _literal(v, dtypes[c]), v is None) for (c, d), v in zip(columns, values)])
+                tile = tile + after.cast("int")
+        out[name] = tile
     return out

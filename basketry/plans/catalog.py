@@ -408,7 +408,7 @@ def _g12(s: Shop) -> DataFrame:
 
 @query("quartile_profile")
 def _g13(s: Shop) -> DataFrame:
-    return reshape.quartile_profile(_ranked_all(s))
+    return reshape.quartile_profile(_ranked(s, "quartile"))
 
 
 @query("pivot_cohort")
@@ -424,57 +424,61 @@ def _g15(s: Shop) -> DataFrame:
 # --------------------------------------------------------------------- windows
 
 
-def _rfm_scored(s: Shop) -> DataFrame:
-    return rfm.rfm_scores(rfm.rfm_raw(s.orders, as_of=AS_OF, **STATUS_FILTER))
+def _rfm_scored(s: Shop, *scores: str) -> DataFrame:
+    return rfm.rfm_scores(rfm.rfm_raw(s.orders, as_of=AS_OF, **STATUS_FILTER), scores=scores)
 
 
-def _ranked_all(s: Shop) -> DataFrame:
-    return ranking.rank_customers(ranking.customer_spend(s.users, s.orders, **STATUS_FILTER))
+def _spend(s: Shop) -> DataFrame:
+    return ranking.customer_spend(s.users, s.orders, **STATUS_FILTER)
+
+
+def _ranked(s: Shop, *columns: str) -> DataFrame:
+    return ranking.rank_customers(_spend(s), columns=columns)
 
 
 @query("win_ntile5_desc")
 def _w1(s: Shop) -> DataFrame:
-    return _rfm_scored(s).select("user_id", "recency", "r_score")
+    return _rfm_scored(s, "r_score").select("user_id", "recency", "r_score")
 
 
 @query("win_ntile5_asc")
 def _w2(s: Shop) -> DataFrame:
-    return _rfm_scored(s).select("user_id", "frequency", "monetary", "f_score", "m_score")
+    return _rfm_scored(s, "f_score", "m_score").select("user_id", "frequency", "monetary", "f_score", "m_score")
 
 
 @query("win_ntile4")
 def _w3(s: Shop) -> DataFrame:
-    return _ranked_all(s).select("user_id", "total_spent", "quartile")
+    return _ranked(s, "quartile").select("user_id", "total_spent", "quartile")
 
 
 @query("win_rank_global")
 def _w4(s: Shop) -> DataFrame:
-    return _ranked_all(s).select("user_id", "total_spent", "global_rank")
+    return _ranked(s, "global_rank").select("user_id", "total_spent", "global_rank")
 
 
 @query("win_rank_part")
 def _w5(s: Shop) -> DataFrame:
-    return _ranked_all(s).select("user_id", "country", "total_spent", "country_rank")
+    return _ranked(s, "country_rank").select("user_id", "country", "total_spent", "country_rank")
 
 
 @query("win_percent_rank")
 def _w6(s: Shop) -> DataFrame:
-    return _ranked_all(s).select("user_id", "total_spent", "percentile")
+    return _ranked(s, "percentile").select("user_id", "total_spent", "percentile")
 
 
 @query("win_running_sum")
 def _w7(s: Shop) -> DataFrame:
-    return _ranked_all(s).select("user_id", "total_spent", "running_revenue")
+    return _ranked(s, "running_revenue").select("user_id", "total_spent", "running_revenue")
 
 
 @query("win_lag_part")
 def _w8(s: Shop) -> DataFrame:
-    return _ranked_all(s).select("user_id", "country", "total_spent", "prev_user_spent")
+    return _ranked(s, "prev_user_spent").select("user_id", "country", "total_spent", "prev_user_spent")
 
 
 @query("win_lead_part")
 def _w9(s: Shop) -> DataFrame:
-    return _ranked_all(s).select("user_id", "country", "total_spent", "next_user_spent")
+    return _ranked(s, "next_user_spent").select("user_id", "country", "total_spent", "next_user_spent")
 
 
 @query("win_lag_mom")
@@ -517,8 +521,7 @@ def _t2(s: Shop) -> DataFrame:
 
 @query("head_sorted")
 def _t4(s: Shop) -> DataFrame:
-    return ranking.customer_ranking(s.users, s.orders, limit=10, **STATUS_FILTER).select(
-        "user_id", "global_rank", "total_spent")
+    return ranking.top_ranked(_spend(s), 10).select("user_id", "global_rank", "total_spent")
 
 
 @query("top_n")
@@ -530,8 +533,7 @@ def _t3(s: Shop) -> DataFrame:
 
 @query("top_k_per_group")
 def _t5(s: Shop) -> DataFrame:
-    return reshape.top_k_per_group(_ranked_all(s)).select(
-        "user_id", "country", "plan", "total_spent", "country_rank")
+    return ranking.top_of_country(_spend(s), 3).select("user_id", "country", "plan", "total_spent", "country_rank")
 
 
 # ------------------------------------------------------------ scalar functions

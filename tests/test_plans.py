@@ -1,9 +1,11 @@
 """Plan properties that matter at scale (checked on executed plans)."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators import windows
+from basketry.operators import rfm
 from basketry.plans.catalog import QUERIES
 from basketry.plans.inspect import executed_plan, plan_counts, pushed_filters, single_partition_rows
 
@@ -25,12 +27,34 @@ def test_windows_gather_only_range_rows(spark, name):
 
 
 def test_each_range_has_a_partition_of_its_own(spark):
-    rows = windows.sorted_ranges(spark.range(20_000).selectExpr("id", "id % 7 as v"),
-                                 windows.Ordering((("v", True),), ("id",)), 20)
-    dealt = rows.repartitionById(20, "_range").selectExpr("spark_partition_id() as p", "_range").distinct().collect()
+    ranged = spark.range(20_000).selectExpr("id", "id % 7 as v").repartitionByRange(20, F.desc("v"), "id")
+    dealt = ranged.withColumn("_range", F.spark_partition_id()).repartitionById(20, "_range")
+    dealt = dealt.selectExpr("spark_partition_id() as p", "_range").distinct().collect()
     assert len({r.p for r in dealt}) == len({r._range for r in dealt}) == len(dealt) == 20
 
 
+def jobs_of(spark, run):
+    """Number of Spark jobs that ``run`` starts."""
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_three_tile_orderings_in_eight_jobs(spark):
+    raw = spark.range(5000).selectExpr("id as user_id", "id % 7 as recency", "1 as frequency", "id * 0.5D as monetary")
+    assert jobs_of(spark, lambda: rfm.rfm_scores(raw).collect()) <= 8
+
+
+def test_windows_asked_for_are_built_alone(spark):
+    few = jobs_of(spark, lambda: QUERIES["win_ntile5_desc"](spark, SF).collect())
+    assert few <= 10
+    assert jobs_of(spark, lambda: QUERIES["head_sorted"](spark, SF).collect()) < few
+
+
 def test_sources_are_read_once(spark, tmp_path):
     """The per-buyer table is computed once: later plans scan stored tables only."""
     df = QUERIES["rfm_segmentation"](spark, SF)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators.windows import Ordering, global_windows, ntile, percent_rank, with_positions
+from basketry.operators.windows import Ordering, ntile, percent_rank, tile_columns, tile_ends, with_positions, with_windows
 
 
 @pytest.fixture(scope="module")
@@ -146,10 +146,67 @@ def test_empty_one_row_and_missing_column(spark, skewed):
         with_positions(skewed, Ordering((("nope", True),)), "x_")
 
 
-def test_several_orderings(spark, skewed):
-    specs = {"a_": (Ordering((("v", True),), ("uid",)), {}), "b_": (Ordering((("v", False),), ("uid",), ("country",)), {})}
-    got = {r.uid: (r.a_pos, r.b_pos) for r in global_windows(skewed, specs, ranges=5).collect()}
-    a = Window.orderBy(F.col("v").desc_nulls_last(), "uid")
-    b = Window.partitionBy("country").orderBy(F.col("v").asc_nulls_last(), "uid")
-    want = skewed.select("uid", F.row_number().over(a), F.row_number().over(b)).collect()
-    assert got == {r[0]: (r[1], r[2]) for r in want}
+def test_several_specifications_over_one_order(spark, skewed):
+    order = ((("v", True),), ("uid",))
+    specs = {"a_": (Ordering(*order), dict(value="v", running=True, reverse_rank=True)),
+             "b_": (Ordering(*order, ("country",)), dict(value="v", neighbours=True))}
+    out = with_windows(skewed, specs, ranges=7)
+    assert out.columns == [*skewed.columns, "a_pos", "a_n", "a_rank", "a_rank_last", "a_rank_rev", "a_running",
+                           "b_pos", "b_n", "b_rank", "b_rank_last", "b_lag", "b_lead"]
+    got = {r.uid: (r.a_pos, r.a_rank, r.a_rank_rev, r.b_pos, r.b_rank, r.b_lag, r.b_lead) for r in out.collect()}
+    v = F.col("v").desc_nulls_last()
+    a, b = Window.orderBy(v, "uid"), Window.partitionBy("country").orderBy(v, "uid")
+    want = skewed.select("uid", F.row_number().over(a), F.rank().over(Window.orderBy(v)),
+                         F.rank().over(Window.orderBy(F.col("v").asc_nulls_last())), F.row_number().over(b),
+                         F.rank().over(Window.partitionBy("country").orderBy(v)), F.lag("v").over(b), F.lead("v").over(b))
+    assert got == {r[0]: tuple(r[1:]) for r in want.collect()}
+    with pytest.raises(ValueError, match="agree"):
+        with_windows(skewed, {"a_": specs["a_"], "c_": (Ordering((("v", False),), ("uid",)), {})})
+
+
+@pytest.mark.parametrize("k, ranges", [(5, 1), (4, 6), (1, 3), (1200, 5)])
+def test_tile_columns_match_native(spark, skewed, k, ranges):
+    """Several orderings in one pass; tiles cut equal values, hold nulls, or are more than rows."""
+    tiles = {"a": (Ordering((("v", True),), ("uid",)), k), "b": (Ordering((("v", False),), ("uid",)), k),
+             "c": (Ordering((("country", False), ("v", True)), ("uid",)), k), "d": (Ordering((), ("uid",)), 3)}
+    got = skewed.select("uid", *[c.alias(n) for n, c in tile_columns(skewed, tiles, ranges=ranges).items()])
+    v, country = F.col("v"), F.col("country").asc_nulls_last()
+    want = skewed.select("uid", F.ntile(k).over(Window.orderBy(v.desc_nulls_last(), "uid")),
+                         F.ntile(k).over(Window.orderBy(v.asc_nulls_last(), "uid")),
+                         F.ntile(k).over(Window.orderBy(country, v.desc_nulls_last(), "uid")),
+                         F.ntile(3).over(Window.orderBy("uid")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("desc", [True, False])
+def test_tile_columns_of_any_type(spark, desc):
+    rnd = random.Random(8)
+    inf = float("inf")
+    rows = [(uid, rnd.choice([None, float("nan"), inf, -inf, 0.0, -0.0, 1.5, -9e300]),
+             rnd.choice([None, "", "a'b", "B\\", "é", "漢"]), rnd.choice([None, -(1 << 63), (1 << 63) - 1, 0]),
+             f"2023-03-12 {rnd.choice(['01:59', '02:15', '02:45', '03:15', '03:45'])}:00") for uid in range(100)]
+    df = spark.createDataFrame(rows, "uid long, v double, s string, l long, t string")
+    df = df.withColumns({"n": F.col("t").cast("timestamp_ntz"), "z": F.col("t").cast("timestamp"), "d": F.col("l").cast("decimal(20,0)"),
+                         "day": F.date_add(F.lit("2023-01-01").cast("date"), F.pmod("l", F.lit(5)).cast("int")), "b": F.col("uid") % 3 == 0})
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        names = ("v", "s", "l", "n", "z", "d", "day", "b")
+        tiles = {f"{c}_tile": (Ordering(((c, desc),), ("uid",)), 7) for c in names}
+        got = df.select("uid", *[c.alias(n) for n, c in tile_columns(df, tiles, ranges=5).items()]).collect()
+        by = {c: F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c in names}
+        want = df.select("uid", *[F.ntile(7).over(Window.orderBy(by[c], "uid")) for c in names]).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_tile_ends():
+    assert tile_ends(7, 5) == [2, 4, 5, 6] and tile_ends(3, 5) == [1, 2] and tile_ends(0, 5) == [] and tile_ends(8, 4) == [2, 4, 6]
+
+
+def test_tiles_of_no_rows(spark, skewed):
+    columns = tile_columns(skewed.limit(0), {"t": (Ordering((("v", True),), ("uid",)), 5)})
+    assert skewed.limit(0).select(columns["t"]).isEmpty()
+    with pytest.raises(ValueError, match="all rows"):
+        tile_columns(skewed, {"t": (Ordering((("v", True),), ("uid",), ("country",)), 5)})

@@ -8,8 +8,11 @@ integer, its last symbol in the lowest byte.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 BEGIN, END = 0xFE, 0xFF
+#: cells of a level's table, at most; beyond, the cells in use are numbered by hashing
+CELLS = 4 << 20
 
 
 def padded(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,12 +43,15 @@ def gram_numbers(symbols: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarra
     number, keys = narrow[:count], alphabet.astype(np.uint64)
     for level in range(1, order + 1):
         cell = number.astype(np.int64) * width + narrow[level: level + count]
-        taken = np.zeros(len(keys) * width, dtype=bool)
-        taken[cell] = True
-        nodes = np.flatnonzero(taken)
-        renumber = np.empty(len(taken), dtype=np.int32)
-        renumber[nodes] = np.arange(len(nodes), dtype=np.int32)
-        number = renumber[cell]
+        if len(keys) * width <= CELLS:
+            taken = np.zeros(len(keys) * width, dtype=bool)
+            taken[cell] = True
+            nodes = np.flatnonzero(taken)
+            renumber = np.empty(len(taken), dtype=np.int32)
+            renumber[nodes] = np.arange(len(nodes), dtype=np.int32)
+            number = renumber[cell]
+        else:
+            number, nodes = pd.factorize(cell)
         keys = keys[nodes // width] << np.uint64(8) | alphabet[nodes % width].astype(np.uint64)
     return number, keys
 

@@ -16,6 +16,8 @@ and symbols seen in a longer context are excluded from the shorter ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +31,10 @@ from basketry.llm.common import partitions, row_key, slices, span_hashes, stored
 ALPHABET = 256
 #: bytes of text in a batch, on average
 BATCH_BYTES = 48 << 20
+#: bytes of text that one step works on
+SLICE = 1 << 20
+#: keys that are counted before they are folded together, and rows that are handed on at once
+FOLD, ROWS = 1_000_000, 200_000
 #: key of the end of a text among the words
 END_KEY = -(1 << 63)
 
@@ -126,34 +132,64 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.maximum(hashes.view(np.int64), END_KEY + 1), first
 
 
-def _batch_counts(table: pa.Table, order: int) -> pa.Table:
+class Counts:
+    """Counts by key, added up as they come: a sorted table, and what was added since it was last folded in."""
+
+    def __init__(self):
+        self.keys, self.counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        self.size = self.folded = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys.astype(np.int64, copy=False))
+        self.counts.append(counts.astype(np.int64))
+        self.size += len(keys)
+        if self.size > max(FOLD, 2 * self.folded):
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts = [], []
+        by = np.argsort(key, kind="stable")
+        key, n = key[by], n[by]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        at = np.flatnonzero(new)
+        self.keys, self.counts = [key[at]], [np.add.reduceat(n, at) if len(at) else n]
+        self.size = self.folded = len(at)
+        return self.keys[0], self.counts[0]
+
+
+COUNTS = "key bigint, batch int, n bigint"
+
+
+def _batch_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """(key, batch, n): the distinct grams and words of a batch with their training counts."""
-    data, bounds = utf8(table.column("text"))
-    train = table.column("train").to_numpy()
-    keys, counts = [np.array([END_KEY])], [np.array([train.sum()])]
-
-    def add(key: np.ndarray, n: np.ndarray) -> None:
-        keys.append(key.astype(np.int64, copy=False))
-        counts.append(n.astype(np.int64))
-
-    for i, j in slices(bounds):
-        own, at = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
-        symbols, ends = padded(own, at, order)
-        number, key = gram_numbers(symbols, order)
-        weight = np.repeat(train[i:j].astype(np.int8), np.diff(ends))[: len(number)]
-        inside = np.ones(len(number), bool)  # not over the end of a row
-        for k in range(1, order + 1):
-            inside[ends[1:-1] - k] = False
-        there = np.zeros(len(key), bool)
-        there[number[inside]] = True
-        add(key[there].view(np.int64), np.bincount(number[inside], weights=weight[inside], minlength=len(key))[there])
-        words, first = _words(own, at)
-        code, distinct = pd.factorize(words)
-        add(distinct, np.bincount(code, weights=np.repeat(train[i:j], np.diff(first)), minlength=len(distinct)))
-    key, code = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
-    batch = table.column("batch")[0].as_py() if table.num_rows else 0
-    return pa.table({"key": pa.array(key), "batch": pa.array(np.full(len(key), batch, np.int32)), "n": pa.array(n)})
+    found, number = Counts(), 0
+    for batch in batches:
+        data, bounds = utf8(batch.column("text"))
+        train = batch.column("train").to_numpy(zero_copy_only=False)
+        number = batch.column("batch")[0].as_py() if batch.num_rows else number
+        found.add(np.array([END_KEY]), np.array([train.sum()]))
+        for i, j in slices(bounds, SLICE):
+            own, at = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
+            symbols, ends = padded(own, at, order)
+            gram, key = gram_numbers(symbols, order)
+            weight = np.repeat(train[i:j].astype(np.int8), np.diff(ends))[: len(gram)]
+            inside = np.ones(len(gram), bool)  # not over the end of a row
+            for k in range(1, order + 1):
+                inside[ends[1:-1] - k] = False
+            there = np.zeros(len(key), bool)
+            there[gram[inside]] = True
+            found.add(key[there].view(np.int64), np.bincount(gram[inside], weights=weight[inside], minlength=len(key))[there])
+            words, first = _words(own, at)
+            code, distinct = pd.factorize(words)
+            found.add(distinct, np.bincount(code, weights=np.repeat(train[i:j], np.diff(first)), minlength=len(distinct)))
+    key, n = found.fold()
+    for i in range(0, len(key), ROWS):
+        part = key[i: i + ROWS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part), pa.array(np.full(len(part), number, np.int32)), pa.array(n[i: i + ROWS])],
+            names=["key", "batch", "n"])
 
 
 def _shard_values(table: pa.Table, order: int, pairs: np.ndarray) -> pa.Table:
@@ -169,7 +205,6 @@ SCORES = ("doc_id bigint, row_key bigint, train boolean, n_tokens bigint, n_know
 
 
 def _batch_scores(docs: pa.Table, values: pa.Table, order: int, total: int, distinct: int) -> pa.Table:
-    data, bounds = utf8(docs.column("text"))
     key, value = values.column("key").to_numpy(), values.column("value").to_numpy()
     by = np.argsort(key)
     key, value = key[by], value[by]
@@ -179,19 +214,21 @@ def _batch_scores(docs: pa.Table, values: pa.Table, order: int, total: int, dist
     def log(count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
 
-    for i, j in slices(bounds):
-        own, at = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
-        symbols, rows = padded(own, at, order)
-        number, grams = gram_numbers(symbols, order)
-        bits = _at(key, grams.view(np.int64), value)
-        score.append(row_sums(bits[number], rows, order) * np.log10(2.0))
-        words, first = _words(own, at)
-        code, words = pd.factorize(words)
-        count = _at(key, words, value)[code]
-        sums = [np.concatenate(([0.0], np.cumsum(x)))[first] for x in (log(count), count > 0)]
-        tokens.append(np.diff(first) + 1)
-        known.append(np.diff(sums[1]) + (ends > 0))
-        base.append(np.diff(sums[0]) + log(np.float64(ends)))
+    for batch in docs.to_batches():
+        data, bounds = utf8(batch.column("text"))
+        for i, j in slices(bounds, SLICE):
+            own, at = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
+            symbols, rows = padded(own, at, order)
+            number, grams = gram_numbers(symbols, order)
+            bits = _at(key, grams.view(np.int64), value)
+            score.append(row_sums(bits[number], rows, order) * np.log10(2.0))
+            words, first = _words(own, at)
+            code, words = pd.factorize(words)
+            count = _at(key, words, value)[code]
+            sums = [np.concatenate(([0.0], np.cumsum(x)))[first] for x in (log(count), count > 0)]
+            tokens.append(np.diff(first) + 1)
+            known.append(np.diff(sums[1]) + (ends > 0))
+            base.append(np.diff(sums[0]) + log(np.float64(ends)))
 
     def joined(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
         return pa.array(np.concatenate(parts) if parts else np.empty(0)).cast(kind)
@@ -224,8 +261,11 @@ def ppm_scores(docs: DataFrame, train: Column, *, order: int = 5, id_col: str =
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "row_key"),
                                            F.lit(max(1, -(-size // BATCH_BYTES)))).cast("int"))
-    counts = stored(rows.groupBy("batch").applyInArrow(lambda t: _batch_counts(t, order),
-                                                       "key bigint, batch int, n bigint"), "ppm-batches")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batch_counts(batches, order)
+
+    counts = stored(rows.select("text", "train", "batch").groupBy("batch").applyInArrow(counted, COUNTS), "ppm-batches")
     totals = stored(counts.groupBy("key").agg(F.sum("n").alias("n")), "ppm-totals")
     tokens = totals.where("key < 0").agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     total, distinct = int(tokens[0] or 0), int(tokens[1] or 0)

@@ -5,8 +5,11 @@ packing shuffles nothing and holds no more than its open windows. A document
 is tokenised, ended with one token, and its whole windows are sealed at
 once. The rest goes into the fill level that leaves the sum of the squared
 numbers of partly filled windows smallest; a level array holds those numbers.
-At the end of a partition the open windows are emptied end to end into full
-windows, and what is left fills windows whose sizes are powers of two, so
+There are LEVELS levels, so that a few hundred documents fill windows as fast
+as they open them; a window that lacks less than a level's width is topped up
+with the head of the next document. Only what is open at the end of a
+partition, a few windows for each level, is emptied end to end into full
+windows, and the last tokens fill windows whose sizes are powers of two, so
 that nothing is padded.
 """
 
@@ -28,6 +31,8 @@ from basketry.llm.common import slices, span_hashes, utf8, word_spans
 
 #: words that a task remembers the tokens of
 CACHE_WORDS = 800_000
+#: fill levels of windows
+LEVELS = 32
 #: sequences that one partition can number
 SEQUENCES = 1 << 40
 
@@ -143,49 +148,63 @@ class WordTokens:
 
 
 class LevelArray:
-    """Windows of ``size`` tokens; ``count[h]`` of the open ones hold h tokens."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.count = np.zeros(size + 1, dtype=np.int64)
-        self.open: list[list[list]] = [[] for _ in range(size)]
-
-    def place(self, piece: tuple, n: int) -> list | None:
-        """Puts a piece of n < size tokens into a window; the window if that fills it."""
-        c, size = self.count, self.size
-        # change of the sum of squares when a window of level h becomes one of level h + n
-        change = 2 * (c[n: size] - c[: size - n]) + 2
-        change[0] = 2 * c[n] + 1  # level 0: a new window
-        change[1:][c[1: size - n] == 0] = np.iinfo(np.int64).max
-        level = int(np.argmin(change))
-        full = size - n
-        if c[full] and 1 - 2 * c[full] <= change[level]:
-            level = full
-        if level:
-            c[level] -= 1
-            window = self.open[level].pop()
+    """Windows of ``size`` tokens; ``count[k]`` of the open ones hold from k * ``grain`` tokens on, below (k + 1) * ``grain``.
+
+    A window with less than ``grain`` tokens of room counts as filled.
+    """
+
+    def __init__(self, size: int, grain: int = 1):
+        self.size, self.grain = size, grain
+        levels = -(-size // grain)
+        self.count = np.zeros(levels + 1, dtype=np.int64)
+        self.open: list[list[list]] = [[] for _ in range(levels)]  # the pieces of a window, and how much it holds
+        self.fill: list[list[int]] = [[] for _ in range(levels)]
+        self.last = np.full(levels, size, dtype=np.int64)  # what the last window of a level holds; none: no room
+
+    def place(self, piece: tuple, n: int) -> tuple[list, int] | None:
+        """Puts a piece of n < size tokens into a window; that window and what it holds, if it is filled now."""
+        c, size, grain = self.count, self.size, self.grain
+        after = self.last + n
+        level = np.arange(len(after))
+        new = np.minimum(after // grain, len(after))
+        filled = after > size - grain
+        # change of the sum of squares when the last window of each level takes the piece
+        change = np.where((new == level) & ~filled, 0, 1 - 2 * c[:-1] + np.where(filled, 0, 2 * c[new] + 1))
+        change[after > size] = np.iinfo(np.int64).max
+        best = int(np.lexsort((~filled, change))[0])  # of equal ones rather a window that this fills
+        alone = 0 if n > size - grain else 2 * int(c[n // grain]) + 1
+        if change[best] <= alone and after[best] <= size:
+            window, held = self.open[best].pop(), self.fill[best].pop()
+            c[best] -= 1
+            self.last[best] = self.fill[best][-1] if self.fill[best] else size
         else:
-            window = []
+            window, held = [], 0
         window.append(piece)
-        if level + n == size:
-            return window
-        c[level + n] += 1
-        self.open[level + n].append(window)
+        held += n
+        if held > size - grain:
+            return window, held
+        k = held // grain
+        c[k] += 1
+        self.open[k].append(window)
+        self.fill[k].append(held)
+        self.last[k] = held
         return None
 
     def rest(self) -> Iterator[tuple]:
         """The pieces of all open windows, fullest first."""
-        for level in range(self.size - 1, 0, -1):
-            for window in self.open[level]:
+        for windows in reversed(self.open):
+            for window in windows:
                 yield from window
 
 
 class Packer:
     """Packs one partition's documents; rows of PIECES come out as windows fill."""
 
-    def __init__(self, size: int, first_sequence: int):
+    def __init__(self, size: int, first_sequence: int, levels: int = LEVELS):
         self.size, self.sequence = size, first_sequence
-        self.levels = LevelArray(size)
+        self.levels = LevelArray(size, max(1, size // levels))
+        self.short: list[tuple[list, int]] = []  # filled windows that the next piece tops up
+        self.redealt = 0  # tokens that were not placed by the sum of squares
         self.rows: list[tuple] = []
 
     def _seal(self, window: list[tuple]) -> None:
@@ -201,13 +220,23 @@ class Packer:
         whole = n - n % self.size
         for start in range(0, whole, self.size):
             self._seal([(doc, start, ids[start: start + self.size], n)])
+        while self.short and self.size - self.short[-1][1] < n - whole:
+            window, held = self.short.pop()
+            room = self.size - held
+            window.append((doc, whole, ids[whole: whole + room].copy(), n))
+            whole += room
+            self._seal(window)
         if whole < n:
-            if window := self.levels.place((doc, whole, ids[whole:].copy(), n), n - whole):
-                self._seal(window)
+            if found := self.levels.place((doc, whole, ids[whole:].copy(), n), n - whole):
+                if found[1] == self.size:
+                    self._seal(found[0])
+                else:
+                    self.short.append(found)
 
     def finish(self) -> None:
-        pieces = list(self.levels.rest())
+        pieces = [p for window, _ in self.short for p in window] + list(self.levels.rest())
         left = sum(len(p[2]) for p in pieces)
+        self.redealt += left
         sizes = [self.size] * (left // self.size)
         sizes += [1 << b for b in range(self.size.bit_length(), -1, -1) if left % self.size >> b & 1]
         queue = iter(pieces)

@@ -476,5 +476,39 @@ def test_packing_places_by_sum_of_squares():
         assert after == best
 
 
+def test_packing_places_by_sum_of_squares_of_coarse_levels():
+    levels = packing.LevelArray(100, 10)
+    r = random.Random(5)
+    windows = []  # what the open windows hold, by level, last in first out
+
+    def squares(held):
+        return sum(n * n for n in collections.Counter(h // 10 for h in held).values())
+
+    for _ in range(2000):
+        n = r.randrange(1, 100)
+        last = {h // 10: k for k, h in enumerate(windows)}
+        options = [squares([*windows, n] if n <= 90 else windows)]
+        for k in last.values():
+            if windows[k] + n <= 100:
+                left = windows[:k] + windows[k + 1:]
+                options.append(squares([*left, windows[k] + n] if windows[k] + n <= 90 else left))
+        filled = levels.place(n, n)
+        windows = [h for row in levels.fill for h in row]
+        assert squares(windows) == min(options) == int((levels.count ** 2).sum())
+        assert filled is None or 90 < filled[1] <= 100 and sum(filled[0]) == filled[1]
+
+
+def test_packing_leaves_little_for_the_end():
+    r = random.Random(1)
+    packer = packing.Packer(2048, 0)
+    total = 0
+    for k in range(1000):
+        n = int(r.lognormvariate(6.4, 0.8)) + 1
+        packer.add(k, np.arange(n, dtype=np.uint32))
+        total += n
+    packer.finish()
+    assert packer.redealt < 0.1 * total
+
+
 def test_packing_empty(no_docs):
     assert packing.pack_documents(no_docs, word_bpe).isEmpty()

@@ -85,9 +85,10 @@ def test_substring_dedup_splits_a_hot_anchor(spark, monkeypatch):
 
 
 def test_quality_model_is_a_distribution(docs):
-    read = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    read = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), "text",
+                       F.lit(1).alias("n_symbols"))
     trusted = docs.where("lang = 'en'").select("doc_id").where("doc_id is not null").distinct()
-    model = quality.train(read, trusted, 4, 100)["en"]
+    model = quality.models(quality.model_tables(read, trusted, 4, 100), ["en"])["en"]
     for context in (b" sh", b"the", b"a1 ", b"\xfe\xfe\xfe", b"@@@"):
         grams = (int.from_bytes(context, "big") << 8) + np.arange(256)
         assert np.exp2(model.log2(grams)).sum() == pytest.approx(1, abs=1e-9)
@@ -143,6 +144,16 @@ def test_quality_edges(docs, no_docs):
     assert quality.classify(docs, trusted.limit(0)).where("not kept").isEmpty()
 
 
+def test_quality_scores_languages_in_groups(spark, docs):
+    trusted = docs.where("doc_id between 5 and 19").select("doc_id").distinct()
+    rows = docs.withColumn("lang", F.when(F.col("doc_id") < 10, "en").when(F.col("doc_id") < 17, "de").otherwise(F.col("lang")))
+    one, many = (quality.perplexities(rows, trusted, order=3, model_rows=n).withColumn("p", F.round("perplexity", 9))
+                 for n in (quality.MODEL_ROWS, 1))
+    columns = ("doc_id", "row_key", "lang", "n_symbols", "p")
+    assert rows_of(one, *columns) == rows_of(many, *columns)
+    assert quality.language_groups({"a": 3, "b": 3, "c": 9, "d": 1}, 6) == [["a", "b"], ["c"], ["d"]]
+
+
 def test_quality_threshold_is_of_unseen_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

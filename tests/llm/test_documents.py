@@ -420,6 +420,56 @@ def test_near_documents_recall_in_a_large_group(spark):
     assert all(a[1] <= b[1] for a, b in zip(got, want))
 
 
+def test_prefixes_are_shortened_as_far_as_the_data_need():
+    close, far = np.full(500, 0.98), np.linspace(0.8, 0.86, 500)
+    least = forest.matched_depth(16, 8, 0.8, 0.998)
+    assert least == 5
+    assert forest.shortened(close, 16, 8, least, 0.8, 0.998) == 7
+    assert forest.shortened(far, 16, 8, least, 0.8, 0.998) == least
+    assert forest.shortened(np.concatenate((close, far * 0.5)), 16, 8, least, 0.8, 0.998) == 7  # not similar enough to count
+    depths = [forest.shortened(np.full(100, x), 16, 8, least, 0.8, 0.998) for x in (0.81, 0.84, 0.88, 0.95)]
+    assert depths == sorted(depths) and depths[0] < depths[-1]
+
+
+@pytest.mark.parametrize("cuts", [(), (3, 7, 8, 20, 60)])
+def test_links_of_the_forest_connect_the_runs_of_each_depth(cuts):
+    """Over partitions of sorted strings: links of at least d connect the texts that share d values, and no others."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    rows = sorted((t, bytes(np.array([r.randrange(2) if k else t for k in range(4)], ">u4").tobytes()), k)
+                  for k in range(80) for t in [r.randrange(2)])
+    links, ends = [], []
+    for a, b in zip((0, *cuts), (*cuts, len(rows))):
+        part = rows[a:b]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*part[i: i + 9]), (pa.int32(), pa.binary(), pa.int64()))],
+                                              names=["tree", "string", "id"]) for i in range(0, len(part), 9)]
+        for out in forest._matches(iter(batches), 2, 4):
+            for x in out.to_pylist():
+                (links if x["b"] is not None else ends).append(x)
+    for x in ends:
+        links += [{"a": y["a"], "b": x["a"], "depth": x["depth"]} for y in ends
+                  if (x["depth"], x["tree"], x["prefix"]) == (y["depth"], y["tree"], y["prefix"])]
+    for depth in (2, 3, 4):
+        group = {k: k for *_, k in rows}
+
+        def root(k):
+            while group[k] != k:
+                k = group[k]
+            return k
+
+        for x in links:
+            if x["depth"] >= depth:
+                group[root(x["a"])] = root(x["b"])
+        want = collections.defaultdict(set)
+        for t, string, k in rows:
+            want[t, string[: 4 * depth]].add(k)
+        got = collections.defaultdict(set)
+        for k in group:
+            got[root(k)].add(k)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_one_of_each(docs, no_docs):
     got = forest.one_of_each(docs)
     assert got.columns == docs.columns

@@ -50,6 +50,22 @@ def pivot_revenue(revenue: DataFrame, categories: Sequence[str] | None = None, *
     return (revenue.withColumn("_revenue", checked).groupBy(month_label("month").alias("month")).agg(*cells))
 
 
+def pivot_revenue_map(revenue: DataFrame, *, category_col: str = "category") -> DataFrame:
+    """'YYYY-MM' month label with a map category -> revenue, for any number of categories, not known beforehand.
+
+    Categories without revenue in a month are not in its map; NULL revenue
+    counts as 0, and the NULL category is ``null``, which no other may be
+    called. A category's rows are added up before its month's map is made.
+    """
+    key = F.coalesce(F.col(category_col).cast("string"), F.lit("null"))
+    cells = revenue.groupBy(month_label("month").alias("month"), key.alias("_key")).agg(
+        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("_revenue"), F.count_distinct(F.col(category_col).isNull()).alias("_kinds"))
+    clash = F.raise_error(F.lit("pivot_revenue_map: a category is called null")).cast("double")
+    cells = cells.withColumn("_revenue", F.when(F.col("_kinds") > 1, clash).otherwise(F.col("_revenue")))
+    return cells.groupBy("month").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("_key", "_revenue")))).alias("revenue"))
+
+
 def value_counts(df: DataFrame, col: str, *, sort: bool = True) -> DataFrame:
     """Rows per value of ``col`` (``count``), most frequent first."""
     out = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))

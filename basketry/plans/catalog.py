@@ -17,7 +17,7 @@ from basketry.functions.exprs import (
     date_lit, diff_days, diff_months, money_avg, money_sum, month_label, nullif_div, or_default, pct, round_n,
     step_index, to_day, trunc_month, trunc_week,
 )
-from basketry.operators import activity, cohort, funnel, ranking, reshape, revenue, rfm, summary, whatif
+from basketry.operators import activity, cohort, funnel, order, ranking, reshape, revenue, rfm, summary, whatif
 from basketry.operators.whatif import Scenario
 from basketry.session import stored
 from basketry.sources.adapters import (
@@ -292,8 +292,9 @@ def _j2(s: Shop) -> DataFrame:
 
 @query("join_left_expr")
 def _j3(s: Shop) -> DataFrame:
-    """Days LEFT JOIN weeks ON the day's week; one row per day and per week of the calendar."""
-    counts = activity.active_counts(s.orders, **STATUS_FILTER)
+    """Days LEFT JOIN weeks ON the day's week; one row per day and per week of the calendar. The counts
+    are stored (a row for each day, week and month), so orders are read once for both sides."""
+    counts = stored(activity.active_counts(s.orders, **STATUS_FILTER), "active-counts")
     days = counts.where("grain = 'day'").select(F.col("period").alias("day"), F.col("users").alias("dau"))
     weeks = counts.where("grain = 'week'").select(F.col("period").alias("week"), F.col("users").alias("wau"))
     return days.join(weeks, trunc_week("day") == F.col("week"), "left").select("day", "dau", "wau")
@@ -306,9 +307,10 @@ def _j4(s: Shop) -> DataFrame:
     Written as the inner join plus the users without a completed order
     (an anti join against distinct buyer ids): AQE can split a hot user
     on either side of an inner join, but only the preserved side of an
-    outer join, and here the hot side is orders."""
-    done = s.completed().select("user_id", "order_id")
-    users = s.users.select("user_id")
+    outer join, and here the hot side is orders. Both sides are stored as
+    narrow tables first, so each source is read once."""
+    done = stored(s.completed().select("user_id", "order_id"), "completed-orders")
+    users = stored(s.users.select("user_id"), "users")
     matched = users.join(done, "user_id", "inner")
     unmatched = (users.join(done.select("user_id").distinct(), "user_id", "left_anti")
                  .select("user_id", F.lit(None).cast("long").alias("order_id")))
@@ -519,6 +521,19 @@ def _t2(s: Shop) -> DataFrame:
     return s.completed().select("order_id", "amount").orderBy(F.col("amount").desc_nulls_last())
 
 
+@query("sort_multi_order")
+def _t1o(s: Shop) -> DataFrame:
+    """Order of the stored ``sort_multi``: rows, and rows in front of one that belongs before them."""
+    r = revenue.revenue_breakdown(s.orders, **STATUS_FILTER).select("month", "category", "revenue")
+    return order.stored_order(r, (("month", False), ("revenue", True))).select("rows", "breaks")
+
+
+@query("sort_single_order")
+def _t2o(s: Shop) -> DataFrame:
+    """Order of the stored ``sort_single``."""
+    return order.stored_order(_t2(s), (("amount", True),)).select("rows", "breaks")
+
+
 @query("head_sorted")
 def _t4(s: Shop) -> DataFrame:
     return ranking.top_ranked(_spend(s), 10).select("user_id", "global_rank", "total_spent")

@@ -5,7 +5,10 @@ The library never creates a session itself; operators use the caller's.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +53,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_run: contextvars.ContextVar[str | None] = contextvars.ContextVar("basketry_run", default=None)
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """While it is open, this thread's intermediate tables go below one new folder, which is removed when it closes.
+
+    Write or collect results inside: a result that has not been computed
+    still reads the tables::
+
+        with run_folder(spark):
+            rfm_segmentation(orders).write.parquet(out)
+    """
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, or that of the open run."""
+    return f"{(_run.get() or checkpoint_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +87,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: what reads the table several times does not compute
     it again, and a lost executor costs only the tasks that ran on it. The
     shuffle files of the write go with it. The table stays until the folder
-    is cleared.
+    is cleared, or the ``run_folder`` that is open is closed.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)

@@ -12,5 +12,6 @@ from basketry.sources.tables import (  # noqa: F401
     read_table,
     register_views,
     table_path,
+    write_buckets,
     write_parquet,
 )

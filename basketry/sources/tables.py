@@ -38,3 +38,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def write_buckets(df: DataFrame, name: str, by: str | list[str], buckets: int, path: str | None = None,
+                  mode: str = "overwrite") -> None:
+    """Write a result as a table of the session's catalog, in buckets by the hash of ``by``, sorted by it inside.
+
+    Tables with the same number of buckets by the same key join on it, and
+    aggregate by it, without an exchange. The rows are dealt to the buckets
+    before the write, so each bucket is one file. ``path``: the folder, for
+    a table outside the warehouse.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    writer = df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)

@@ -50,7 +50,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Passages of words, searched backwards; each place has a label, and places whose next
+    """Passages of words, searched backwards. Each place has its passage's label; places whose next
     ``threshold`` words are equal form a group with the least label among them.
 
     ``words``: all passages one after the other, numbers below ``size``.
@@ -67,11 +67,10 @@ class FMIndex:
         rank = np.empty(total, dtype=np.int64)
         rank[separator] = np.arange(count)
         rank[~separator] = words + count
-        near = 1 << (threshold.bit_length() - 1)  # equal for 'near' words here and further on: equal for threshold
         rank = np.unique(rank, return_inverse=True)[1]
-        depth, at_near = 1, rank if near == 1 else None
-        order = np.argsort(rank, kind="stable")
-        while rank[order[-1]] < total - 1:
+        depth, order = 1, np.argsort(rank, kind="stable")
+        same = [(1, rank.astype(np.int32))]  # places with equal numbers have so many words in common
+        while total and rank[order[-1]] < total - 1:
             ahead = np.zeros(total, dtype=np.int64)
             ahead[: total - depth] = rank[depth:] + 1
             key = rank * (total + 1) + ahead
@@ -81,24 +80,43 @@ class FMIndex:
             rank = np.empty(total, dtype=np.int64)
             rank[order] = change
             depth *= 2
-            if depth == near:
-                at_near = rank
-        if at_near is None:  # all places differ earlier
-            at_near = rank
-        further = np.concatenate((at_near[threshold - near:], np.full(threshold - near, -1)))
-        a, b = at_near[order], further[order]
-        new = np.ones(total, dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        starts = np.flatnonzero(new)
+            if depth <= threshold:
+                same.append((depth, rank.astype(np.int32)))
+        # words that a row's place has in common with the one in front of it, up to the threshold or more
+        common = np.zeros(total, dtype=np.int64)
+        a, b = order[:-1], order[1:]
+        for depth, number in reversed(same):
+            at, to = a + common[1:], b + common[1:]
+            inside = np.maximum(at, to) < total
+            equal = np.zeros(len(a), dtype=bool)
+            equal[inside] = number[at[inside]] == number[to[inside]]
+            common[1:] += depth * equal
+        self.threshold, self.total = threshold, total
+        self.common = np.minimum(common, threshold).astype(np.uint8 if threshold < 256 else np.int32)
+        new = self.common < threshold
+        new[:1] = True
         self.group = np.cumsum(new) - 1  # by row
-        self.least = np.minimum.reduceat(np.repeat(labels, lengths + 1)[order], starts)
+        starts = np.flatnonzero(new)
+        self.least = np.minimum.reduceat(np.repeat(labels, lengths + 1)[order], starts) if total else labels[:0]
+        # the rows around a row that have all but one word of the threshold in common with it
+        near = self.common < threshold - 1
+        near[:1] = True
+        starts = np.flatnonzero(near)
+        wide = np.cumsum(near) - 1
+        self.wide_low, self.wide_high = starts[wide], np.append(starts[1:], total)[wide]
+        self.mins: list[np.ndarray] = [np.append(self.common, 0)]  # least of 1, 2, 4, ... rows up to a row
+        self.mins[0][:1] = 0
+        while 1 << len(self.mins) <= total:
+            last, span = self.mins[-1], 1 << (len(self.mins) - 1)
+            wider = np.zeros_like(last)
+            wider[span:] = np.minimum(last[span:], last[:-span])
+            self.mins.append(wider)
 
         symbols = np.zeros(total, dtype=np.int64)  # 0: separator
         symbols[~separator] = words + 1
         self.transform = WaveletMatrix(symbols[order - 1], size + 1)
         counts = np.bincount(symbols, minlength=size + 1)
         self.smaller = np.cumsum(counts) - counts
-        self.total = total
 
     def extend(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the rows [low, high) of a pattern, with ``word`` put in front."""
@@ -106,26 +124,62 @@ class FMIndex:
         ranks = self.transform.rank(np.concatenate((word, word)) + 1, np.concatenate((low, high)))
         return first + ranks[: len(word)], first + ranks[len(word):]
 
-    def owners(self, words: np.ndarray, start: np.ndarray, lengths: np.ndarray, threshold: int) -> np.ndarray:
-        """Streams passages that the index holds; the least label of each window of ``threshold`` words.
-
-        Matching goes back from a passage's last word, all passages in step.
-        As they are indexed, a step always finds something: the matching
-        statistic at a place is all that is left of the passage, and its
-        interval lies in the group that the next ``threshold`` words have.
-        Windows come passage by passage, in order.
+    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, depth): the rows of the longest beginning of a pattern that more rows have."""
+        depth = np.maximum(self.mins[0][low], self.mins[0][high]).astype(np.int64)
+        for k in range(len(self.mins) - 1, -1, -1):
+            span = 1 << k
+            down = self.mins[k][low] >= depth  # the rows from low - span to low share so much
+            low = np.where(down & (low >= span), low - span, low)
+            up = np.minimum(high + span - 1, self.total)
+            wide = (high + span <= self.total) & (self.mins[k][up] >= depth)
+            high = np.where(wide, high + span, high)
+        return low, high, depth
+
+    def matches(self, words: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Streams passages that need not be in the index: (length, row) for each of their places in turn.
+
+        ``length``: the matching statistic, how many words from the place on occur somewhere in the index
+        as they are, up to the threshold. ``row``: a row of the index where they do. Matching goes back
+        from a passage's last word, all passages in step; where a word cannot be put in front, the match
+        is cut behind to the next length at which other rows come in.
         """
-        windows = lengths - threshold + 1
-        first = np.cumsum(windows) - windows
-        out = np.empty(int(windows.sum()), dtype=self.least.dtype)
-        by = np.argsort(-lengths, kind="stable")
-        size = lengths[by]
-        low, high = np.zeros(len(by), dtype=np.int64), np.full(len(by), self.total, dtype=np.int64)
-        for step in range(int(size[0]) if len(size) else 0):
-            live = int(np.searchsorted(-size, -step, side="left"))  # passages longer than step
-            own = by[:live]
-            at = lengths[own] - 1 - step
-            low, high = self.extend(words[start[own] + at], low[:live], high[:live])
-            if step + 1 >= threshold:
-                out[first[own] + at] = self.least[self.group[low]]
+        first = np.cumsum(lengths) - lengths
+        statistic = np.zeros(int(lengths.sum()), dtype=np.int64)
+        row = np.zeros(int(lengths.sum()), dtype=np.int64)
+        at = lengths - 1  # place that is to be matched next
+        low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), self.total, dtype=np.int64)
+        depth = np.zeros(len(at), dtype=np.int64)
+        live = np.flatnonzero(at >= 0) if self.total else np.empty(0, np.int64)
+        while len(live):
+            full = live[depth[live] == self.threshold]
+            low[full], high[full] = self.wide_low[low[full]], self.wide_high[low[full]]
+            depth[full] = self.threshold - 1
+            a, b = self.extend(words[start[live] + at[live]], low[live], high[live])
+            found = a < b
+            on = live[found]
+            low[on], high[on], depth[on] = a[found], b[found], depth[on] + 1
+            off = live[~found]
+            none = off[depth[off] == 0]  # the word is not in the index
+            cut = off[depth[off] > 0]
+            low[cut], high[cut], depth[cut] = self.shorten(low[cut], high[cut])
+            whole = cut[depth[cut] == 0]
+            low[whole], high[whole] = 0, self.total
+            done = np.concatenate((on, none))
+            place = first[done] + at[done]
+            statistic[place], row[place] = depth[done], low[done]
+            at[done] -= 1
+            live = live[at[live] >= 0]
+        return statistic, row
+
+    def owners(self, words: np.ndarray, start: np.ndarray, lengths: np.ndarray, none: int) -> np.ndarray:
+        """The least label among the places where each window of ``threshold`` words of streamed passages
+        occurs, ``none`` if it does not. Windows come passage by passage, in order."""
+        statistic, row = self.matches(words, start, lengths)
+        inside = np.arange(len(statistic)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        windows = inside <= np.repeat(lengths, lengths) - self.threshold
+        statistic, row = statistic[windows], row[windows]
+        out = np.full(len(row), none, dtype=np.int64)
+        hit = statistic == self.threshold
+        out[hit] = self.least[self.group[row[hit]]]
         return out

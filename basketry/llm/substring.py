@@ -5,10 +5,11 @@
    anchors. Windows in a row with one anchor form a passage.
 2. Passages whose anchor occurs in more than one document are candidates.
    Equal ones are folded to the first document that has them.
-3. A shard takes all passages of its anchors, builds a compressed FM-index of
-   them (wavelet matrix over the Burrows-Wheeler transform) and streams them
-   back through it: backward search gives the matching statistics, and for
-   each window the first document among all places where it starts.
+3. A shard takes all passages of its anchors. It builds compressed FM-indexes
+   (wavelet matrix over the Burrows-Wheeler transform) of earlier passages and
+   streams later ones, which the index does not have, through them: backward
+   search gives the matching statistics, and where they reach the length of a
+   window, the interval's places name the first document that has it.
 4. Windows whose first document is smaller than their own are reported; what
    they cover is removed.
 
@@ -141,18 +142,48 @@ def _text_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _search(table: pa.Table, window: int) -> pa.Table:
-    """(anchor, passage, firsts): for each passage the first document of each of its windows."""
+    """(anchor, passage, firsts): for each passage the first document of each of its windows.
+
+    The passages of an anchor are in document order. In round k, those whose number has a 0 as its k-th
+    binary digit are indexed, the others are streamed: of any two passages one is indexed when the other
+    is streamed, and never both.
+    """
     data, bounds = utf8(table.column("text"))
     start, end, first = word_spans(data, bounds)
     numbers, distinct = pd.factorize(span_hashes(data, start, end))
     lengths = np.diff(first)
     n = table.column("n").to_numpy()
-    index = FMIndex(numbers, lengths, table.column("doc").to_numpy(), max(1, len(distinct)), window)
-    firsts = index.owners(numbers, first[:-1], lengths, window)
+    doc = table.column("doc").to_numpy()
+    anchor = table.column("anchor").to_numpy()
+    by = np.lexsort((table.column("passage").to_numpy(), doc, anchor))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = anchor[by][1:] != anchor[by][:-1]
+    group = np.cumsum(new) - 1
+    number = np.empty(len(by), dtype=np.int64)  # of a passage among those of its anchor
+    number[by] = np.arange(len(by)) - np.flatnonzero(new)[group]
+    members = np.empty(len(by), dtype=np.int64)
+    members[by] = np.bincount(group)[group]
+    firsts = np.repeat(doc, n)
+    windows = np.cumsum(n) - n  # before each passage
+    for k in range(int(members.max(initial=1) - 1).bit_length()):
+        second = (number >> k & 1).astype(bool)
+        indexed = np.flatnonzero(~second & ((number >> k + 1 << k + 1) + (1 << k) < members))  # later ones are streamed
+        streamed = np.flatnonzero(second)
+        index = FMIndex(numbers[_stretches(first[indexed], lengths[indexed])], lengths[indexed], doc[indexed],
+                        max(1, len(distinct)), window)
+        found = index.owners(numbers, first[streamed], lengths[streamed], LAST)
+        at = _stretches(windows[streamed], n[streamed])
+        firsts[at] = np.minimum(firsts[at], found)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(firsts))
     return pa.table({"anchor": table.column("anchor"), "passage": table.column("passage"), "firsts": lists})
 
 
+def _stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (length[0] numbers), start[1], ..."""
+    before = np.cumsum(length) - length
+    return np.arange(int(length.sum())) + np.repeat(start - before, length)
+
+
 def repeated_windows(docs: DataFrame, *, window: int = 50, hot: int = HOT_PASSAGES, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """``doc_id, row_key, starts``: per document the windows (by first word) that a smaller id has too.

@@ -573,3 +573,59 @@ def test_packing_leaves_little_for_the_end():
 
 def test_packing_empty(no_docs):
     assert packing.pack_documents(no_docs, word_bpe).isEmpty()
+
+
+# ------------------------------------------------------------------ op1: the index
+
+
+@pytest.mark.parametrize("threshold, alphabet, seed", [(5, 2, 1), (4, 3, 2), (7, 2, 3), (50, 3, 4)])
+def test_matching_statistics_of_passages_that_are_not_indexed(threshold, alphabet, seed):
+    from basketry.llm.fm_index import FMIndex
+
+    r = random.Random(seed)
+    base = [r.randrange(alphabet) for _ in range(120)]
+    indexed = [[r.randrange(alphabet) for _ in range(r.randrange(1, 90))] for _ in range(6)] + [base]
+    streamed = [[r.randrange(alphabet + 1) for _ in range(r.randrange(1, 80))] for _ in range(5)]
+    changed = list(base)
+    changed[60] = alphabet  # mismatches inside a passage
+    streamed += [changed, base[10:100], [alphabet] * 3]
+    labels = np.array([r.randrange(100) for _ in indexed])
+    lengths = np.array([len(x) for x in indexed])
+    index = FMIndex(np.concatenate(indexed), lengths, labels, alphabet + 1, threshold)
+    sizes = np.array([len(x) for x in streamed])
+    got, _ = index.matches(np.concatenate(streamed), np.cumsum(sizes) - sizes, sizes)
+    owners = index.owners(np.concatenate(streamed), np.cumsum(sizes) - sizes, sizes, -1).tolist()
+    want, first = [], []
+    for x in streamed:
+        for i in range(len(x)):
+            n = 0
+            while n < min(threshold, len(x) - i) and any(
+                    x[i: i + n + 1] == y[j: j + n + 1] for y in indexed for j in range(len(y) - n)):
+                n += 1
+            want.append(n)
+            if i + threshold <= len(x):
+                own = [k for k, y in zip(labels, indexed) for j in range(len(y) - threshold + 1)
+                       if y[j: j + threshold] == x[i: i + threshold]]
+                first.append(min(own, default=-1))
+    assert got.tolist() == want and owners == first
+    if threshold < 50:
+        assert max(want) == threshold and min(want) < threshold
+
+
+def test_every_two_passages_meet_once_as_index_and_stream():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    base = [f"w{r.randrange(30)}" for _ in range(14)]
+    rows = []
+    for k in range(11):
+        words = list(base)
+        words[r.randrange(14)] = f"x{r.randrange(3)}"
+        anchor = 7 if k < 9 else 8
+        rows.append((anchor, k, 100 - k, 14 - 4 + 1, " ".join(f"{w}-{anchor}" for w in words)))
+    table = pa.table(dict(zip(("anchor", "passage", "doc", "n", "text"), map(list, zip(*rows)))))
+    table = table.set_column(3, "n", table.column("n").cast(pa.int32()))
+    for row, firsts in zip(rows, substring._search(table, 4).column("firsts").to_pylist()):
+        words = row[4].split()
+        assert firsts == [min(x[2] for x in rows if any(x[4].split()[j: j + 4] == words[i: i + 4] for j in range(11)))
+                          for i in range(11)]

@@ -2,19 +2,27 @@
 
 Each vector's components are dealt to ``nodes`` equal stretches; a node's
 score of a row is the inner product over its stretch, and a row's score their
-sum. Rows and queries meet block by block.
-
-1. Every node lists its k best rows per query. The scores of listed rows are
-   summed over the nodes, which are together in a block; the k-th best sum over
-   all blocks is a safe cutoff for the query.
-2. With the cutoffs sent back to all blocks, each node gives the rows that
-   reach its uniform share, cutoff / nodes. A row that no node gives cannot
-   reach the cutoff; one whose upper bound stays below it is left out too.
-3. The scores of the remaining rows are resolved exactly and ranked.
+sum. Nodes work apart: a task has one node's stretches of a block of rows and a
+block of queries, and what it says of the other nodes' scores it has to be told.
+
+1. Every node lists its k best rows per query. The listed rows are scored
+   exactly; the k-th best of these scores is a safe cutoff for the query, as k
+   rows reach it.
+2. The cutoffs are sent to all nodes, and each gives the entries that reach its
+   uniform share, cutoff / nodes. A row that reaches the cutoff has such an
+   entry at some node. Entries of a row are added up; where a node gave none,
+   its score is below the share, and rows whose sum stays below the cutoff even
+   so are left out.
+3. The remaining scores are resolved exactly and ranked.
+
+Rows with equal vectors are one to the nodes. Of such rows the k + 1 with the
+smallest ids are kept, as no other can be among a query's k best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +31,9 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import stored
 
-#: rows and queries of a block
-ROW_BLOCK, QUERY_BLOCK = 1024, 8192
+#: bytes of the vectors of a block, of rows as of queries: each row is sent once for each block of
+#: queries, each query once for each block of rows, and equal blocks make the two the same
+BLOCK_BYTES = 4 << 20
 #: queries scored at once inside a block
 AT_ONCE = 256
 
@@ -42,60 +51,91 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(column), -1) if len(values) else np.zeros((len(column), 0))
 
 
-class _Scores:
-    """Scores by node of a slice of queries against a block's rows; a query's own row has LEAST everywhere."""
-
-    def __init__(self, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, nodes: int):
-        width = queries.shape[1]
-        most = [np.abs(x).max(initial=0.0) for x in (queries, rows)]
-        if most[0] * most[1] * max(width, 1) * nodes < 2.0 ** 52:  # all sums are whole numbers that a double holds
-            self.least = -np.inf
-        else:
-            queries, rows = ([[int(v) for v in r] for r in x] for x in (queries, rows))
-            queries, rows = (np.array(x, dtype=object).reshape(len(x), width) for x in (queries, rows))
-            self.least = -(1 << 4000)
-        cuts = np.linspace(0, width, nodes + 1).astype(int)
-        self.own = ids[:, None] == row_ids[None, :]
-        zero = queries.dtype.type(0) if queries.dtype != object else 0
-        self.parts = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            p = queries[:, a:b] @ rows[:, a:b].T if b > a else np.full(self.own.shape, zero, dtype=queries.dtype)
-            self.parts.append(np.where(self.own, self.least, p))
-
-    def lows(self, k: int) -> list[list[int]]:
-        """Per query the k best scores of the rows that a node lists."""
-        shape = self.own.shape
-        seen = np.zeros(shape, dtype=bool)
-        for p in self.parts:
-            if shape[1] > k:
-                seen |= p >= np.partition(p, shape[1] - k, axis=1)[:, shape[1] - k][:, None]
-            else:
-                seen[:] = True
-        seen &= ~self.own
-        q, r = np.nonzero(seen)
-        score = sum(p[q, r] for p in self.parts)
-        bounds = np.searchsorted(q, np.arange(shape[0] + 1))
-        return [[int(v) for v in -np.sort(-score[a:b])[:k]] for a, b in zip(bounds[:-1], bounds[1:])]
-
-    def survivors(self, cutoff: list[int | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """(query, row, exact score) of the rows whose score reaches the query's cutoff (None: any)."""
-        nodes, kind = len(self.parts), self.parts[0].dtype
-        t = np.array([self.least if c is None else c for c in cutoff], dtype=kind)[:, None]
-        given = [nodes * p >= t for p in self.parts]
-        known = sum(np.where(g, p, 0) for g, p in zip(given, self.parts))
-        lacking = sum((~g).astype(np.int64) for g in given)
-        free = np.array([c is None for c in cutoff])[:, None]
-        tt = np.where(free, 0, t)
-        upper = nodes * known + lacking * tt >= nodes * tt
-        keep = (free | (upper & (lacking < nodes))) & ~self.own
-        q, r = np.nonzero(keep)
-        score = sum(p[q, r] for p in self.parts)
-        enough = np.array([c is None for c in cutoff], dtype=bool)[q] | (score >= t[q, 0])
-        return q[enough], r[enough], [int(s) for s in score[enough]]
-
-
-def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256.0, nodes: int = 4,
-          id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def whole_numbers(*tables: np.ndarray) -> list[np.ndarray]:
+    """Matrices of whole numbers, in doubles where these hold all their inner products exactly, else in Python's integers."""
+    most = 1.0
+    for t in tables:
+        most *= max(float(np.abs(t).max(initial=0.0)), 1.0)
+    if most * max(tables[0].shape[-1], 1) < 2.0 ** 52:
+        return list(tables)
+    return [np.array([[int(v) for v in r] for r in t], dtype=object).reshape(t.shape) for t in tables]
+
+
+def _checked(scores) -> list[int]:
+    out = [int(s) for s in scores]
+    if any(abs(s) >= 1 << 63 for s in out):
+        raise ArithmeticError("a score does not fit 64 bits")
+    return out
+
+
+def _node_scores(rows: pa.Table, queries: pa.Table) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """A node's scores of a block, a slice of its queries at a time: (slice, scores, whether the row may be listed)."""
+    if not rows.num_rows or not queries.num_rows:
+        return
+    q, r = whole_numbers(matrix(queries.column("part")), matrix(rows.column("part")))
+    alone, classes = rows.column("copies").to_numpy() == 1, rows.column("id").to_numpy()
+    ids = queries.column("id").to_numpy()
+    for a in range(0, len(q), AT_ONCE):
+        at = slice(a, a + AT_ONCE)
+        p = q[at] @ r.T if q.shape[1] else np.zeros((len(q[at]), len(r)), dtype=q.dtype)
+        yield at, p, ~((ids[at][:, None] == classes[None, :]) & alone[None, :])
+
+
+ENTRIES = "query_id bigint, class bigint, node int, score bigint"
+
+
+def _entries(found: list[tuple[np.ndarray, np.ndarray, list[int]]], node: int) -> pa.Table:
+    queries, classes = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    scores = [s for f in found for s in f[2]]
+    return pa.table([pa.array(queries, pa.int64()), pa.array(classes, pa.int64()),
+                     pa.array(np.full(len(scores), node, np.int32)), pa.array(scores, pa.int64())],
+                    names=["query_id", "class", "node", "score"])
+
+
+def _lists(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """Phase 1 in a block: a node's k best rows (classes of equal ones) of each query, ties to the smaller id."""
+    found = []
+    ids, classes = queries.column("id").to_numpy(), rows.column("id").to_numpy()
+    by = np.argsort(classes)
+    for at, p, allowed in _node_scores(rows, queries):
+        for q in range(len(p)):
+            can = by[allowed[q, by]]
+            own = p[q, can]
+            best = can[np.argsort(-own, kind="stable")[:k]]
+            found.append((np.full(len(best), ids[at][q]), classes[best], _checked(p[q, best])))
+    return _entries(found, rows.column("node")[0].as_py() if rows.num_rows else 0)
+
+
+def _shares(rows: pa.Table, queries: pa.Table, nodes: int) -> pa.Table:
+    """Phase 2 in a block: the entries that reach the node's share of the query's cutoff (null: all of them)."""
+    found = []
+    ids, classes = queries.column("id").to_numpy(), rows.column("id").to_numpy()
+    cutoffs = queries.column("cutoff").to_pylist()
+    for at, p, allowed in _node_scores(rows, queries):
+        free = np.array([c is None for c in cutoffs[at]])
+        least = np.array([0 if c is None else c for c in cutoffs[at]], dtype=p.dtype)
+        q, r = np.nonzero(allowed & (free[:, None] | (p * nodes >= least[:, None]).astype(bool)))
+        found.append((ids[at][q], classes[r], _checked(p[q, r])))
+    return _entries(found, rows.column("node")[0].as_py() if rows.num_rows else 0)
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact scores of pairs whose vectors are there."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        sizes = np.array([len(v) for v in batch.column("q").to_pylist()])
+        scores = np.zeros(len(sizes), dtype=object)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            part = table.take(pa.array(own))
+            q, r = whole_numbers(matrix(part.column("q")), matrix(part.column("v")))
+            scores[own] = (q * r).sum(axis=1) if size else 0
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("class"), pa.array(_checked(scores), pa.int64())],
+                                         names=["query_id", "class", "score"])
+
+
+def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256.0, nodes: int = 2,
+          block_bytes: int = BLOCK_BYTES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the k rows with the highest integer inner product.
 
     Components become floor(scale * x), x as double. A row with the query's id
@@ -107,66 +147,71 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256
     query's are no candidates. Of several rows with one id the least vector
     counts, so repeated rows count once. An empty table on either side gives
     no rows. A score beyond 64 bits raises ArithmeticError. Other columns are
-    not read.
+    not read. Fewer nodes make the uniform shares of a cutoff prune more.
     """
+    x = F.col("v")
+
+    def whole(v: Column) -> Column:  # from 2^52 on, doubles are whole numbers
+        return F.when(F.abs(v) < 2.0 ** 52, F.floor(v).cast("double")).otherwise(v)
+
     def ready(df: DataFrame) -> DataFrame:
         return (df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-                .where(F.col("id").isNotNull() & usable(F.col("v")))
-                .groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
-
-    have, ask = stored(ready(rows), "topk-rows"), stored(ready(queries), "topk-queries")
-    row_blocks = max(1, -(-have.count() // ROW_BLOCK))
-    query_blocks = max(1, -(-ask.count() // QUERY_BLOCK))
-
-    def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return (df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))))
-
-    row_side = spread(have, "rb", row_blocks, "qb", query_blocks).groupBy("rb", "qb", "dim")
-
-    def over(left: pa.Table, right: pa.Table):
-        """Scores of the block, a slice of its queries at a time."""
-        if not left.num_rows or not right.num_rows:
-            return
-        r, q = ((matrix(t.column("v")) * scale) for t in (left, right))
-        r, q = np.floor(r), np.floor(q)
-        r_ids, q_ids = (t.column("id").to_numpy() for t in (left, right))
-        for a in range(0, len(q), AT_ONCE):
-            yield slice(a, a + AT_ONCE), q_ids[a: a + AT_ONCE], r_ids, _Scores(
-                q[a: a + AT_ONCE], q_ids[a: a + AT_ONCE], r, r_ids, nodes)
-
-    def first(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, lows = [], []
-        for _, q_ids, _, scores in over(left, right):
-            ids += q_ids.tolist()
-            lows += [[max(v, -(1 << 63)) for v in x] for x in scores.lows(k)]
-        if any(v >= 1 << 63 for x in lows for v in x):
-            raise ArithmeticError("a score does not fit 64 bits")
-        return pa.table({"id": pa.array(ids, pa.int64()), "lows": pa.array(lows, pa.list_(pa.int64()))})
-
-    def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        cutoffs = right.column("cutoff").to_pylist() if right.num_rows else []
-        for at, q_ids, r_ids, scores in over(left, right):
-            q, r, score = scores.survivors(cutoffs[at])
-            best: dict[int, list] = {}
-            for a, b, s in zip(q.tolist(), r.tolist(), score):
-                best.setdefault(a, []).append((-s, int(r_ids[b])))
-            for a, found in best.items():
-                out += [(int(q_ids[a]), i, -s) for s, i in sorted(found)[:k]]
-        if any(abs(s) >= 1 << 63 for _, _, s in out):
-            raise ArithmeticError("a score does not fit 64 bits")
-        columns = list(zip(*out)) if out else [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    asked = spread(ask, "qb", query_blocks, "rb", row_blocks).groupBy("rb", "qb", "dim")
-    lists = row_side.cogroup(asked).applyInArrow(first, "id bigint, lows array<bigint>")
-    # at most k numbers of each block that the query meets
-    best = F.sort_array(F.flatten(F.collect_list("lows")), asc=False)
-    cutoffs = lists.groupBy("id").agg(F.try_element_at(best, F.lit(k)).alias("cutoff"))
-    told = stored(ask.join(cutoffs, "id", "left"), "topk-cutoffs")
-    told = spread(told, "qb", query_blocks, "rb", row_blocks).groupBy("rb", "qb", "dim")
-    found = row_side.cogroup(told).applyInArrow(second, "query_id bigint, vec_id bigint, score bigint")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return (found.withColumn("rank", place).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+                .where(F.col("id").isNotNull() & usable(x)).groupBy("id").agg(F.min("v").alias("v"))
+                .select("id", F.transform(x, lambda c: whole(c * F.lit(scale))).alias("v")))
+
+    # equal vectors: the k + 1 smallest ids, one of which may be the query's own
+    first_ids = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    classes = (ready(rows).withColumn("n", first_ids).where(F.col("n") <= k + 1).groupBy("v")
+               .agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    classes = stored(classes.select(F.col("ids")[0].alias("id"), F.size("ids").alias("copies"), "ids", "v"), "topk-rows")
+    ask = stored(ready(queries), "topk-queries")
+
+    def blocks(df: DataFrame) -> int:
+        return max(1, -(-(df.agg(F.sum(F.size("v"))).first()[0] or 0) * 8 // block_bytes))
+
+    row_blocks, query_blocks = blocks(classes), blocks(ask)
+
+    def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int):
+        """The stretches of each vector, in its own block, for each block of the other side and each node."""
+        dim = F.size("v")
+        cut = [F.floor(dim * j / nodes).cast("int") for j in range(nodes + 1)]
+        parts = F.array(*[F.struct(F.lit(j).alias("node"), F.slice("v", cut[j] + 1, cut[j + 1] - cut[j]).alias("part"))
+                          for j in range(nodes)])
+        return (df.withColumns({"dim": dim, own: F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int")})
+                .select("*", F.inline(parts)).drop("v")
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+                .groupBy("rb", "qb", "node", "dim"))
+
+    row_side = dealt(classes.drop("ids"), "rb", row_blocks, "qb", query_blocks)
+
+    def resolve(pairs: DataFrame) -> DataFrame:
+        both = (pairs.join(ask.select(F.col("id").alias("_q"), F.col("v").alias("q")), F.col("query_id") == F.col("_q"))
+                .join(classes.select(F.col("id").alias("_c"), "v"), F.col("class") == F.col("_c")))
+        return both.select("query_id", "class", "q", "v").mapInArrow(_resolved, "query_id bigint, class bigint, score bigint")
+
+    def members(scored: DataFrame) -> DataFrame:
+        """Rows instead of classes, without the query's own, with their place."""
+        of = scored.join(classes.select(F.col("id").alias("_c"), "ids"), F.col("class") == F.col("_c"))
+        out = of.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return out.withColumn("rank", place).where(F.col("rank") <= k)
+
+    lists = row_side.cogroup(dealt(ask, "qb", query_blocks, "rb", row_blocks)).applyInArrow(
+        lambda r, q: _lists(r, q, k), ENTRIES)
+    listed = F.row_number().over(W.partitionBy("query_id", "node").orderBy(F.col("score").desc(), "class"))
+    lists = lists.withColumn("n", listed).where(F.col("n") <= k).select("query_id", "class").distinct()
+    cutoffs = members(resolve(lists)).where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("cutoff"))
+    cutoffs = stored(cutoffs, "topk-cutoffs")
+
+    told = ask.join(cutoffs, F.col("id") == F.col("_q"), "left").select("id", "v", "cutoff")
+    shares = row_side.cogroup(dealt(told, "qb", query_blocks, "rb", row_blocks)).applyInArrow(
+        lambda r, q: _shares(r, q, nodes), ENTRIES)
+    sums = (shares.groupBy("query_id", "class").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
+            .join(cutoffs, F.col("query_id") == F.col("_q"), "left"))
+    known, cutoff = F.col("score").cast("decimal(25,0)"), F.col("cutoff").cast("decimal(25,0)")
+    reachable = F.col("cutoff").isNull() | (known * nodes + (nodes - F.col("n")) * cutoff >= cutoff * nodes)
+    sums = stored(sums.where(reachable).select("query_id", "class", "score", "n"), "topk-sums")
+    complete = sums.where(F.col("n") == nodes).select("query_id", "class", "score")
+    rest = resolve(sums.where(F.col("n") < nodes).select("query_id", "class"))
+    return members(complete.unionAll(rest)).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

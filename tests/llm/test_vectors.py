@@ -52,15 +52,46 @@ def brute_top(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k, row_block, nodes", [(5, 1024, 4), (3, 4, 4), (1, 3, 1), (40, 5, 9)])
-def test_top_k(vectors, monkeypatch, k, row_block, nodes):
-    monkeypatch.setattr(topk, "ROW_BLOCK", row_block)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 2 * row_block)
+@pytest.mark.parametrize("k, block_bytes, nodes", [(5, 4 << 20, 2), (3, 200, 4), (1, 150, 1), (40, 250, 9)])
+def test_top_k(vectors, k, block_bytes, nodes):
     ids = [0, 3, 5, 20, 40, 42, 50, 51, 54, 55, 56]
-    got = topk.top_k(vectors, vectors.where(F.col("vec_id").isin(ids)), k=k, nodes=nodes)
+    got = topk.top_k(vectors, vectors.where(F.col("vec_id").isin(ids)), k=k, nodes=nodes, block_bytes=block_bytes)
     assert sorted(tuple(r) for r in got.collect()) == brute_top(edge_vectors(), ids, k)
 
 
+@pytest.mark.parametrize("nodes", [2, 3])
+def test_top_k_copies_and_negative_scores(spark, nodes):
+    r = np.random.default_rng(7)
+    rows = [(k, [float(x) for x in -abs(v)]) for k, v in enumerate(r.normal(size=(40, 5)))]
+    rows = [(k, v if k % 3 else [-x for x in v]) for k, v in rows]  # most inner products are below 0
+    rows += [(100 + k, rows[k % 2][1]) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    ids = [0, 1, 2, 3, 100, 101, 117]
+    got = topk.top_k(df, df.where(F.col("vec_id").isin(ids)), k=4, nodes=nodes, block_bytes=300)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, ids, 4)
+
+
+def test_nodes_give_few_entries_and_none_that_is_needed_is_missing():
+    """Phase 2 on a block: with the cutoff of each query, far fewer entries than pairs, and at least one of each best row."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    rows, queries = np.floor(256 * r.normal(size=(2000, 16))), np.floor(256 * r.normal(size=(20, 16)))
+    scores = queries @ rows.T
+    cutoffs = np.sort(scores, axis=1)[:, -5]
+    given = []
+    for node, at in enumerate((slice(0, 8), slice(8, 16))):
+        left = pa.table({"id": pa.array(np.arange(2000)), "copies": pa.array(np.ones(2000, np.int32)),
+                         "part": pa.array(rows[:, at].tolist()), "node": pa.array(np.full(2000, node, np.int32))})
+        right = pa.table({"id": pa.array(np.arange(5000, 5020)), "part": pa.array(queries[:, at].tolist()),
+                          "cutoff": pa.array(cutoffs.astype(np.int64))})
+        given += [(e["query_id"] - 5000, e["class"]) for e in topk._shares(left, right, 2).to_pylist()]
+        lists = topk._lists(left, right, 5).to_pylist()
+        assert len(lists) == 20 * 5 and all(e["node"] == node for e in lists)
+    assert len(given) < 0.1 * scores.size
+    assert set(zip(*(x.tolist() for x in np.nonzero(scores >= cutoffs[:, None])))) <= set(given)
+
+
 def test_top_k_ties_large_numbers_and_empty(spark, vectors):
     rows = [(k, [1.0, 1.0]) for k in range(30)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")

@@ -22,8 +22,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that at least ten documents have."""
-    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    """Takes lines out that at least ten documents have, but for each line's first occurrence: no text leaves the corpus."""
+    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, keep_first=True)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_quality_keeps_what_the_model_accepts(spark, stages):
 
 
 def test_lines(stages):
-    want = brute_lines(rows(stages[1]), 10, False)
+    want = brute_lines(rows(stages[1]), 10, True)
     got = ordered((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in rows(stages[2]))
     assert got == ordered((w[0], w[3]) for w in want)
 

@@ -6,13 +6,16 @@ bytes as the line declares. The converter reads files by these lengths, and
 writes WARC records with identifiers, timestamps, types and digests made from
 what the ARC record holds. Files are written and read by Spark's own readers
 and writers, compressed, in the shared store; a record is one row of a text
-writer whose line end completes the record's closing blank lines.
+writer whose line end completes the record's closing blank lines. Files are
+bounded by bytes: long records go to files of few records or of one. A task
+unpacks a file as a stream, one record at a time.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import stored
 
-#: records per archive file, so that a file fits a task's memory
-RECORDS_PER_FILE = 2000
+#: records per archive file, by their bytes: (from, below, records). No file has more than 128 MB of records, but for
+#: files of one record
+FILES = ((0, 64 << 10, 2000), (64 << 10, 1 << 20, 128), (1 << 20, None, 1))
 #: payloads shorter than this are never revisits
 MIN_REVISIT_BYTES = 100
 
@@ -46,9 +50,20 @@ def _clean(x: Column, fallback: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(x, r"[\x00-\x20\x7F]", "%20"), F.lit("")), F.lit(fallback))
 
 
+def _write_files(rows: DataFrame, value: Column, size: Column, path: str) -> None:
+    """Writes ``value`` of each row as a record of gzip files below ``path``; FILES says how many to a file, by ``size``."""
+    kind = F.lit(0)
+    for k, (least, _, _) in enumerate(FILES):
+        kind = F.when(size >= least, F.lit(k)).otherwise(kind)
+    kinds = [r["kind"] for r in rows.select(kind.alias("kind")).distinct().collect()]  # those of FILES that are there
+    for k in sorted(kinds) or [0]:
+        (rows.where(kind == k).select(value.alias("value")).write.mode("append").option("compression", "gzip")
+         .option("lineSep", "\n").option("maxRecordsPerFile", FILES[k][2]).text(path))
+
+
 def write_arc(pages: DataFrame, path: str, *, version: int = 1, id_col: str = "page_id", url_col: str = "url",
               html_col: str = "html", date: str = "20240101000000") -> None:
-    """Writes one ARC response record per row (gzip files of RECORDS_PER_FILE records below ``path``).
+    """Writes one ARC response record per row (gzip files below ``path``, which FILES bounds).
 
     The payload is the html in UTF-8 (null: empty) behind an HTTP header that
     carries the row's id as ``X-Record-Key`` (null id: no such line).
@@ -67,9 +82,13 @@ def write_arc(pages: DataFrame, path: str, *, version: int = 1, id_col: str = "p
     # a file has no record of its own to begin with, so each record brings a version block of its version along
     about = f"{version} 0 basketry\n{ARC_FIELDS[str(version)]}\n"
     block = f"filedesc://converted.arc 0.0.0.0 {date} text/plain {len(about)}\n{about}\n"
-    (pages.select(F.concat(F.lit(block), line, F.lit("\n"), content).alias("value"))
-     .write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
-     .text(path))
+    _write_files(pages, F.concat(F.lit(block), line, F.lit("\n"), content), F.octet_length(body), path)
+
+
+def _stream(data: bytes) -> io.BufferedReader:
+    """The bytes of a file, gzip or plain, unpacked as they are read."""
+    raw = io.BytesIO(data)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw, 1 << 20)
 
 
 def arc_records(data: bytes, name: str) -> Iterator[dict]:
@@ -79,17 +98,15 @@ def arc_records(data: bytes, name: str) -> Iterator[dict]:
     fields of the header lines that follow. Raises ValueError where a header
     line does not have these fields, or the file ends inside a record.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    fields, at = ARC_FIELDS["1"].split(), 0
-    while at < len(data):
-        if data[at: at + 1] in (b"\n", b"\r"):  # between records
-            at += 1
+    stream, fields, at = _stream(data), ARC_FIELDS["1"].split(), 0
+    while ahead := stream.peek(1)[:1]:
+        if ahead in (b"\n", b"\r"):  # between records
+            at += len(stream.read(1))
             continue
-        stop = data.find(b"\n", at)
-        if stop < 0:
+        line = stream.readline()
+        if not line.endswith(b"\n"):
             raise ValueError(f"{name}: unfinished ARC header line at {at}")
-        values = data[at: stop].rstrip(b"\r").decode("utf-8", "replace").split(" ")
+        values = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
         if values[0].startswith("filedesc:"):
             values = [*values[:4], values[-1]]
             names = ARC_FIELDS["1"].split()
@@ -98,7 +115,7 @@ def arc_records(data: bytes, name: str) -> Iterator[dict]:
         if len(values) != len(names) or not values[-1].isdigit():
             raise ValueError(f"{name}: ARC header line at {at} does not have the fields {' '.join(names)}")
         length = int(values[-1])
-        content = data[stop + 1: stop + 1 + length]
+        content = stream.read(length)
         if len(content) < length:
             raise ValueError(f"{name}: ARC record at {at} declares {length} bytes and has {len(content)}")
         if values[0].startswith("filedesc:"):
@@ -108,7 +125,7 @@ def arc_records(data: bytes, name: str) -> Iterator[dict]:
             fields = declared or ARC_FIELDS.get(version, ARC_FIELDS["1"]).split()
         else:
             yield dict(zip(names, values)) | {"content": content, "at": at}
-        at = stop + 1 + length
+        at += len(line) + length
 
 
 def _http(content: bytes) -> tuple[bytes, bytes]:
@@ -197,29 +214,25 @@ def write_warc(typed: DataFrame, path: str) -> None:
         line("X-Payload-Length", F.col("payload_bytes")),
         line("Content-Type", kind), line("Content-Length", F.octet_length(block)), F.lit("\r\n"))
     value = F.concat(header.cast("binary"), block, F.lit("\r\n\r").cast("binary")).cast("string")
-    (typed.select(value.alias("value")).write.option("compression", "gzip").option("lineSep", "\n")
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    _write_files(typed, value, F.col("payload_bytes"), path)
 
 
 def warc_records(data: bytes, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields in lower case, block) of each record of one WARC file (gzip or plain)."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        lines = data[at: stop].split(b"\r\n")
-        if stop < 0 or not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"{name}: no WARC record at {at}")
-        fields = dict(x.decode("utf-8", "replace").split(": ", 1) for x in lines[1:])
+    stream = _stream(data)
+    while first := stream.readline():
+        lines = []
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            lines.append(line.rstrip(b"\r\n"))
+        if not first.startswith(b"WARC/") or not line:
+            raise ValueError(f"{name}: no WARC record begins with {first[:40]!r}")
+        fields = dict(x.decode("utf-8", "replace").split(": ", 1) for x in lines)
         fields = {k.lower(): v for k, v in fields.items()}
         length = int(fields["content-length"])
-        block = data[stop + 4: stop + 4 + length]
-        at = stop + 4 + length
-        if len(block) < length or data[at: at + 4] != b"\r\n\r\n":
+        block = stream.read(length)
+        if len(block) < length or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"{name}: a WARC record declares {length} bytes and does not end there")
         yield fields, block
-        at += 4
 
 
 READ = ("key bigint, warc_type string, record_id string, url string, date string, payload_bytes bigint, "
@@ -260,7 +273,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, min_bytes: in
     rerun gives the same ones. Dates that cannot be read become 1970-01-01.
     Content that begins with an HTTP header becomes a response with that
     header, other content a resource. Empty files and payloads, and equal
-    records, are ordinary. A header line that does not have its version's
+    records, are ordinary; a long record is held whole, but no more than one. A header line that does not have its version's
     fields, or a length beyond the file's end, raises ValueError.
     """
-    write_warc(with_types(read_arc(spark, arc_path), min_bytes=min_bytes), warc_path)
+    records = stored(read_arc(spark, arc_path), "arc-records")  # files are unpacked once
+    write_warc(with_types(records, min_bytes=min_bytes), warc_path)

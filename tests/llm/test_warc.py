@@ -51,6 +51,24 @@ def test_round_trip(spark, version):
     assert {r.record_id for r in warc.read_warc(spark, again).collect()} == set(by_id)
 
 
+def test_long_pages_go_to_files_of_their_own(spark):
+    """Pages of 50 MB, twice, and of 200 kB among short ones: no file with more than its bytes."""
+    pages = spark.range(300).selectExpr(
+        "id AS page_id", "'u' AS url", "CASE WHEN id IN (7, 8) THEN repeat('0123456789', 5000000) "
+        "WHEN id >= 100 THEN repeat(CAST(id AS STRING), 70000) ELSE CAST(id AS STRING) END AS html").repartition(2)
+    arc, out = shared_path(spark, "arc"), shared_path(spark, "warc")
+    warc.write_arc(pages, arc)
+    warc.convert(spark, arc, out)
+    for path in (arc, out):
+        sizes = sorted(len(gzip.open(f.removeprefix("file:"), "rb").read()) for f in spark.read.format("binaryFile").load(path).select("path").toPandas().path)
+        # the revisit of the long page has no payload
+        assert sum(n > 40 << 20 for n in sizes) == (2 if path == arc else 1)
+        assert sorted(n for n in sizes if n < 40 << 20)[-1] < 130 * 220_000 and len(sizes) >= 5
+    got = {r.key: r for r in warc.read_warc(spark, out).collect()}
+    assert len(got) == 300 and got[7].payload_bytes == 50_000_000 and got[8].warc_type == "revisit" and got[8].refers_key == 7
+    assert got[7].payload_digest == got[8].payload_digest == hashlib.sha256(b"0123456789" * 5_000_000).hexdigest()
+
+
 def test_null_and_repeated_keys_and_empty_table(spark):
     rows = [(None, "u", LONG), (3, "u", LONG), (3, "u", LONG), (None, "u", "s")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

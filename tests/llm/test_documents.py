@@ -433,7 +433,7 @@ def test_prefixes_are_shortened_as_far_as_the_data_need():
 
 @pytest.mark.parametrize("cuts", [(), (3, 7, 8, 20, 60)])
 def test_links_of_the_forest_connect_the_runs_of_each_depth(cuts):
-    """Over partitions of sorted strings: links of at least d connect the texts that share d values, and no others."""
+    """Over partitions of sorted strings: links of depth d connect the texts that share d values, and no others."""
     import pyarrow as pa
 
     r = random.Random(2)
@@ -459,7 +459,7 @@ def test_links_of_the_forest_connect_the_runs_of_each_depth(cuts):
             return k
 
         for x in links:
-            if x["depth"] >= depth:
+            if x["depth"] == depth:
                 group[root(x["a"])] = root(x["b"])
         want = collections.defaultdict(set)
         for t, string, k in rows:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.exprs import exact
-from basketry.session import stored
+from basketry.session import stored, stored_together
 
 #: a row's place in ``tile_columns``: its range in the upper bits, its number in the range below
 RANGE_BITS = 33
@@ -204,11 +204,12 @@ def with_windows(df: DataFrame, specs: Mapping[str, tuple[Ordering, Mapping]], *
     dealt = dealt.withColumn("_range", F.spark_partition_id()).repartitionById(n, "_range")
     rows = dealt.select("*", *[c.alias(k) for s in made for k, c in s.in_range().items()])
     rows = stored(rows, "range-windows")
+    # a row per range and partition: as many as ranges, or partitions in ranges, but never more than rows.
+    # Stored, so that Spark knows their size when it chooses how to join them
+    tables = stored_together([(s.summary(rows), "range-summary") for s in made])
     out = rows
-    for s in made:
-        # a row per range and partition: as many as ranges, or partitions in ranges, but never more than rows.
-        # Stored, so that Spark knows its size when it chooses how to join it
-        out = s.joined(out, stored(s.summary(rows), "range-summary"))
+    for s, table in zip(made, tables):
+        out = s.joined(out, table)
     return out.select(*df.columns, *[c.alias(k) for s in made for k, c in s.values().items()])
 
 

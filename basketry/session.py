@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import threading
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,10 +93,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    before = spark.conf.get(_CLEAN_UP)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with _cleaning_up(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_lock = threading.Lock()
+#: sessions that are writing: how many writes, and the setting before the first of them
+_writes: dict[int, tuple[int, str]] = {}
+
+
+@contextlib.contextmanager
+def _cleaning_up(spark: SparkSession) -> Iterator[None]:
+    """While a write runs, shuffle files go with their query; the session's own setting is back after the last
+    of the writes that its threads run at a time."""
+    key = id(spark)
+    with _lock:
+        running, before = _writes.get(key, (0, None))
+        if not running:
+            before = spark.conf.get(_CLEAN_UP)
+            spark.conf.set(_CLEAN_UP, "true")
+        _writes[key] = (running + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            running, before = _writes.pop(key)
+            if running > 1:
+                _writes[key] = (running - 1, before)
+            else:
+                spark.conf.set(_CLEAN_UP, before)
+
+
+def stored_together(frames: list[tuple[DataFrame, str]]) -> list[DataFrame]:
+    """``stored`` for tables that do not depend on each other, written at the same time."""
+    if len(frames) < 2:
+        return [stored(df, name) for df, name in frames]
+    with ThreadPoolExecutor(len(frames)) as pool:
+        # each thread sees the run folder of this one
+        running = [pool.submit(contextvars.copy_context().run, stored, df, name) for df, name in frames]
+        return [r.result() for r in running]

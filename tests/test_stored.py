@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from basketry.operators.order import order_breaks, order_columns, stored_order
 from basketry.operators.reshape import pivot_revenue_map
 from basketry.plans.inspect import executed_plan
-from basketry.session import run_folder, shared_path, stored
+from basketry.session import run_folder, shared_path, stored, stored_together
 from basketry.sources import write_buckets
 
 
@@ -76,6 +76,21 @@ def test_run_folder_is_removed(spark):
     assert not os.path.exists(folder)
 
 
+def test_tables_stored_together(spark):
+    """Threads of one session leave its settings as they were, and store in the run folder that is open."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with run_folder(spark) as folder:
+        frames = [(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count().where(f"k <> {n}"), f"t{n}") for n in range(5)]
+        tables = stored_together(frames)
+        assert [t.count() for t in tables] == [6] * 5
+        assert all(folder in f for t in tables for f in t.inputFiles())
+    assert spark.conf.get(name) == before
+    with pytest.raises(Exception, match="no"):
+        stored_together([(spark.range(3).selectExpr("raise_error('no') AS x"), "bad"), (spark.range(3).toDF("id"), "good")])
+    assert spark.conf.get(name) == before
+
+
 def test_pivot_of_any_number_of_categories(spark):
     revenue = spark.range(3000).selectExpr(
         "make_date(2024, CAST(1 + id % 2 AS INT), 1) AS month", "CASE WHEN id % 1500 > 0 THEN 'c' || (id % 1500) END AS category",

@@ -96,13 +96,18 @@ def _lists(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """Phase 1 in a block: a node's k best rows (classes of equal ones) of each query, ties to the smaller id."""
     found = []
     ids, classes = queries.column("id").to_numpy(), rows.column("id").to_numpy()
-    by = np.argsort(classes)
     for at, p, allowed in _node_scores(rows, queries):
-        for q in range(len(p)):
-            can = by[allowed[q, by]]
-            own = p[q, can]
-            best = can[np.argsort(-own, kind="stable")[:k]]
-            found.append((np.full(len(best), ids[at][q]), classes[best], _checked(p[q, best])))
+        good = allowed
+        if p.shape[1] > k + 1 and p.dtype != object:
+            # one of the k + 1 best may be the query's own
+            good = allowed & (p >= np.partition(p, p.shape[1] - k - 1, axis=1)[:, [p.shape[1] - k - 1]])
+        q, r = np.nonzero(good)
+        own = p[q, r]
+        by = np.lexsort((classes[r], -own, q)) if p.dtype != object else np.array(
+            sorted(range(len(q)), key=lambda i: (q[i], -own[i], classes[r[i]])), dtype=np.int64)
+        place = np.arange(len(by)) - np.searchsorted(q[by], q[by])
+        by = by[place < k]
+        found.append((ids[at][q[by]], classes[r[by]], _checked(own[by])))
     return _entries(found, rows.column("node")[0].as_py() if rows.num_rows else 0)
 
 
@@ -119,19 +124,25 @@ def _shares(rows: pa.Table, queries: pa.Table, nodes: int) -> pa.Table:
     return _entries(found, rows.column("node")[0].as_py() if rows.num_rows else 0)
 
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The exact scores of pairs whose vectors are there."""
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        sizes = np.array([len(v) for v in batch.column("q").to_pylist()])
-        scores = np.zeros(len(sizes), dtype=object)
-        for size in np.unique(sizes).tolist():
-            own = np.flatnonzero(sizes == size)
-            part = table.take(pa.array(own))
-            q, r = whole_numbers(matrix(part.column("q")), matrix(part.column("v")))
-            scores[own] = (q * r).sum(axis=1) if size else 0
-        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("class"), pa.array(_checked(scores), pa.int64())],
-                                         names=["query_id", "class", "score"])
+def _lookups(rows: pa.Table, queries: pa.Table) -> pa.Table:
+    """The exact scores of the rows of a block that its queries want."""
+    classes = rows.column("id").to_numpy() if rows.num_rows else np.empty(0, np.int64)
+    lists = queries.column("wanted").combine_chunks()
+    query = np.repeat(np.arange(queries.num_rows), np.diff(lists.offsets.to_numpy()))
+    wanted = lists.flatten().to_numpy()
+    by = np.argsort(classes)
+    at = np.minimum(np.searchsorted(classes, wanted, sorter=by), max(len(by) - 1, 0))
+    row = by[at] if len(by) else at
+    here = classes[row] == wanted if len(by) else np.zeros(len(wanted), dtype=bool)  # of the same length, that is
+    query, row = query[here], row[here]
+    scores = []
+    if len(query):
+        q, r = whole_numbers(matrix(queries.column("part")), matrix(rows.column("part")))
+        for i in range(0, len(query), 50_000):
+            part = slice(i, i + 50_000)
+            scores += _checked((q[query[part]] * r[row[part]]).sum(axis=1))
+    return pa.table([pa.array(queries.column("id").to_numpy()[query], pa.int64()), pa.array(classes[row], pa.int64()),
+                     pa.array(scores, pa.int64())], names=["query_id", "class", "score"])
 
 
 def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256.0, nodes: int = 2,
@@ -171,23 +182,34 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256
 
     row_blocks, query_blocks = blocks(classes), blocks(ask)
 
-    def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int):
+    def block(own: str, n: int, c: str = "id") -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(own)
+
+    def dealt(df: DataFrame, others: Column | None, own: str, own_n: int, other: str, nodes: int):
         """The stretches of each vector, in its own block, for each block of the other side and each node."""
         dim = F.size("v")
         cut = [F.floor(dim * j / nodes).cast("int") for j in range(nodes + 1)]
         parts = F.array(*[F.struct(F.lit(j).alias("node"), F.slice("v", cut[j] + 1, cut[j + 1] - cut[j]).alias("part"))
                           for j in range(nodes)])
-        return (df.withColumns({"dim": dim, own: F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int")})
-                .select("*", F.inline(parts)).drop("v")
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
-                .groupBy("rb", "qb", "node", "dim"))
+        out = df.select("*", block(own, own_n), dim.alias("dim"), F.inline(parts)).drop("v")
+        if others is not None:
+            out = out.withColumn(other, F.explode(others))
+        return out.groupBy("rb", "qb", "node", "dim")
+
+    all_rb, all_qb = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (row_blocks, query_blocks))
+
+    def row_side(nodes: int):
+        return dealt(classes.drop("ids"), all_qb, "rb", row_blocks, "qb", nodes)
 
-    row_side = dealt(classes.drop("ids"), "rb", row_blocks, "qb", query_blocks)
+    def query_side(df: DataFrame, nodes: int):
+        return dealt(df, all_rb, "qb", query_blocks, "rb", nodes)
 
     def resolve(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(ask.select(F.col("id").alias("_q"), F.col("v").alias("q")), F.col("query_id") == F.col("_q"))
-                .join(classes.select(F.col("id").alias("_c"), "v"), F.col("class") == F.col("_c")))
-        return both.select("query_id", "class", "q", "v").mapInArrow(_resolved, "query_id bigint, class bigint, score bigint")
+        """Scores of (query_id, class): a block of rows is told which of them each query wants."""
+        wanted = pairs.groupBy("query_id", block("rb", row_blocks, "class")).agg(F.collect_list("class").alias("wanted"))
+        asked = ask.join(wanted, F.col("id") == F.col("query_id")).select("id", "v", "rb", "wanted")
+        return row_side(1).cogroup(dealt(asked, None, "qb", query_blocks, "rb", 1)).applyInArrow(
+            _lookups, "query_id bigint, class bigint, score bigint")
 
     def members(scored: DataFrame) -> DataFrame:
         """Rows instead of classes, without the query's own, with their place."""
@@ -196,7 +218,7 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
         return out.withColumn("rank", place).where(F.col("rank") <= k)
 
-    lists = row_side.cogroup(dealt(ask, "qb", query_blocks, "rb", row_blocks)).applyInArrow(
+    lists = row_side(nodes).cogroup(query_side(ask, nodes)).applyInArrow(
         lambda r, q: _lists(r, q, k), ENTRIES)
     listed = F.row_number().over(W.partitionBy("query_id", "node").orderBy(F.col("score").desc(), "class"))
     lists = lists.withColumn("n", listed).where(F.col("n") <= k).select("query_id", "class").distinct()
@@ -204,7 +226,7 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256
     cutoffs = stored(cutoffs, "topk-cutoffs")
 
     told = ask.join(cutoffs, F.col("id") == F.col("_q"), "left").select("id", "v", "cutoff")
-    shares = row_side.cogroup(dealt(told, "qb", query_blocks, "rb", row_blocks)).applyInArrow(
+    shares = row_side(nodes).cogroup(query_side(told, nodes)).applyInArrow(
         lambda r, q: _shares(r, q, nodes), ENTRIES)
     sums = (shares.groupBy("query_id", "class").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
             .join(cutoffs, F.col("query_id") == F.col("_q"), "left"))

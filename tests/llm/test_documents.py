@@ -175,6 +175,38 @@ def test_quality_threshold_is_of_unseen_documents(spark):
     assert {(r.lang, round(r.threshold, 9)) for r in more.collect()} == {(r.lang, round(r.threshold, 9)) for r in got}
 
 
+def test_quality_learns_from_all_trusted_texts(spark):
+    texts = [prose(k, 12) for k in range(2600)]
+    rows = [(k, t, "en", k, len(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, row_key bigint, n_symbols bigint").repartition(5)
+    assert quality.picked(df, df.select("doc_id"), quality.SAMPLE, 0.5).count() == 1300
+    # the grams of all of them; with a half, those with the lowest hashes
+    hashes = {r.row_key: r.h for r in df.select("row_key", F.xxhash64("row_key").alias("h")).collect()}
+    for share in (1.0, 0.5, 0.3):
+        learned = sorted(range(2600), key=hashes.get)[: math.ceil(2600 * share)]
+        want = collections.Counter()
+        for k in learned:
+            s = b"\xfe\xfe" + texts[k].encode() + b"\xff"
+            want.update(int.from_bytes(s[i: i + 3], "big") for i in range(len(s) - 2))
+        counts = (quality.sample(df, df.select("doc_id"), quality.SAMPLE, share)
+                  .mapInArrow(lambda b: quality._gram_counts(b, 3), "lang string, gram bigint, c bigint")
+                  .groupBy("gram").agg(F.sum("c").alias("c")).collect())
+        assert {r.gram: r.c for r in counts} == want
+    # a part of the texts that is given by number
+    assert quality.picked(df, df.select("doc_id"), 70, 0.5).count() == 70
+
+
+def test_quality_joins_texts_with_a_large_model(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(quality, "ROWS", 100)
+    trusted = docs.where("doc_id between 5 and 21 or doc_id > 100").select("doc_id").distinct()
+    whole, joined = (quality.perplexities(docs, trusted, share=0.5, model_rows=n).withColumn("p", F.round("perplexity", 9))
+                     for n in (quality.MODEL_ROWS, 0))
+    columns = ("doc_id", "row_key", "lang", "n_symbols", "p")
+    assert rows_of(whole, *columns) == rows_of(joined, *columns)
+    assert joined.where("perplexity is not null").count() > 20
+
+
 # ------------------------------------------------------------------ op4
 
 

@@ -8,8 +8,8 @@ head of the run it is in.
 
 The prefix that counts as a match starts at the whole string and is shortened,
 one value at a time, until the recall reaches the target. Recall is measured on
-the data: a sample of matched pairs is compared exactly, and the chance that
-pairs of their similarities match in some tree is averaged. Collections of
+the data: all links of the shortest prefix are compared exactly, and the chance
+that pairs of their similarities match in some tree is averaged. Collections of
 close copies thus stop at long prefixes, and short ones, with their chance
 matches, are taken only where less similar pairs need them.
 
@@ -35,9 +35,10 @@ from basketry.llm.lattice import forest_edges, grouped_rows
 
 #: trees, and MinHash values of a tree
 TREES, DEPTH = 16, 8
-#: matched pairs that recall is measured on, at most, and the share of pairs that are taken to be
-#: just similar enough whatever the sample says
-PAIRS, DOUBT = 2000, 0.05
+#: the share of pairs that are taken to be just similar enough whatever the linked pairs say
+DOUBT = 0.05
+#: similarities are counted by steps of one part in so many, rounded down
+STEPS = 1000
 #: texts of a block
 BLOCK = 1024
 #: bytes of text in a task
@@ -61,14 +62,16 @@ def matched_depth(trees: int, depth: int, similarity: float, recall: float) -> i
     raise ValueError(f"{trees} trees cannot reach a recall of {recall} at similarity {similarity}")
 
 
-def shortened(found: np.ndarray, trees: int, depth: int, least: int, similarity: float, recall: float) -> int:
+def shortened(found: np.ndarray, trees: int, depth: int, least: int, similarity: float, recall: float,
+              counts: np.ndarray | None = None) -> int:
     """The prefix from ``depth`` down to ``least`` at which measured recall reaches ``recall``.
 
-    ``found``: exact similarities of a sample of pairs; those below ``similarity`` do not count.
+    ``found``: similarities of pairs, ``counts``: how many pairs have each; those below ``similarity`` do not count.
     """
-    close = found[found >= similarity]
+    near = found >= similarity
+    close, weights = found[near], None if counts is None else counts[near]
     for k in range(depth, least, -1):
-        measured = float(match_chance(close, trees, k).mean()) if len(close) else 1.0
+        measured = float(np.average(match_chance(close, trees, k), weights=weights)) if len(close) else 1.0
         if (1 - DOUBT) * measured + DOUBT * match_chance(similarity, trees, k) >= recall:
             return k
     return least
@@ -192,20 +195,18 @@ def _grams(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                                              names=["id", "grams"])
 
 
-def _similarities(links: DataFrame, classes: DataFrame, read: DataFrame, length: int) -> np.ndarray:
-    """Exact similarities of at most PAIRS matched pairs."""
-    pairs = links.select("a", "b").orderBy(F.xxhash64("a", "b"), "a", "b").limit(PAIRS).distinct()
-    pairs = stored(pairs, "sample-pairs")
-    ids = pairs.select(F.col("a").alias("_i")).unionAll(pairs.select("b")).distinct()
-    wanted = classes.join(F.broadcast(ids), F.col("id") == F.col("_i")).select("id", "doc", "key")  # 2 * PAIRS at most
-    texts = read.join(F.broadcast(wanted), (F.col("doc_id") == F.col("doc")) & (F.col("row_key") == F.col("key")))
-    sets = stored(texts.select("id", "text").dropDuplicates(["id"]).mapInArrow(
-        lambda b: _grams(b, length), "id bigint, grams array<bigint>"), "sample-grams")
-    both = (pairs.join(sets.select(F.col("id").alias("_a"), F.col("grams").alias("x")), F.col("a") == F.col("_a"))
-            .join(sets.select(F.col("id").alias("_b"), F.col("grams").alias("y")), F.col("b") == F.col("_b")))
+def _similarities(pairs: DataFrame, texts: DataFrame, length: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities of ``similarity`` and more, rounded down to STEPS, how many of the pairs have each)."""
+    sets = stored(texts.mapInArrow(lambda b: _grams(b, length), "id bigint, grams array<bigint>"), "candidate-grams")
+    # a text has one head in each tree, but heads have many texts: they are joined last, when Spark sees how large
+    # the rows of such a key are
+    both = (pairs.join(sets.select(F.col("id").alias("_b"), F.col("grams").alias("y")), F.col("b") == F.col("_b"))
+            .join(sets.select(F.col("id").alias("_a"), F.col("grams").alias("x")), F.col("a") == F.col("_a")))
     shared = F.size(F.array_intersect("x", "y"))
-    found = both.select(F.try_divide(shared, F.size("x") + F.size("y") - shared).alias("s")).collect()
-    return np.array([r["s"] for r in found if r["s"] is not None], dtype=np.float64)
+    found = both.select(F.try_divide(shared, F.size("x") + F.size("y") - shared).alias("s")).where(F.col("s") >= similarity)
+    steps = F.greatest(F.lit(similarity), F.floor(F.col("s") * STEPS) / STEPS)
+    rows = found.groupBy(steps.alias("s")).count().collect()  # STEPS rows at most
+    return np.array([r["s"] for r in rows], dtype=np.float64), np.array([r["count"] for r in rows], dtype=np.float64)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -284,8 +285,8 @@ def near_documents(docs: DataFrame, *, similarity: float = 0.8, length: int = 5,
     linked. ``n_links``: other rows linked directly. ``component_id``: the
     smallest id that links reach; ``kept``: whether that is the row's own.
 
-    The forest's prefix is the longest at which measured recall reaches
-    ``recall`` (``shortened``), and at least as long as pairs that are just
+    The forest's prefix is the longest at which recall, measured on all links of
+    the shortest one, reaches ``recall`` (``shortened``), and at least as long as pairs that are just
     similar enough need for it. Long texts are worked on whole, one by one.
 
     Texts with the same words in the same order are copies: they are linked,
@@ -318,19 +319,26 @@ def near_documents(docs: DataFrame, *, similarity: float = 0.8, length: int = 5,
     heads = ends.groupBy("depth", "tree", "prefix").agg(F.min("id").alias("a"))
     over = ends.join(heads, ["depth", "tree", "prefix"]).select("a", F.col("id").alias("b"), "depth")
     links = found.where("b is not null").select("a", "b", "depth").unionAll(over).where("a <> b")
+    # links of longer prefixes are between texts that shorter ones link too
+    sides = (F.least("a", "b"), F.greatest("a", "b"))  # a text may be the other's head in one tree, and not in another
+    pairs = (links.where(F.col("depth") == least).groupBy(*[x.alias(f"_{k}") for k, x in enumerate(sides)])
+             .agg(F.min(F.struct("a", "b")).alias("pair")))
+    pairs = stored(pairs.select("pair.*"), "matched-pairs")
+    ids = pairs.select(F.col("a").alias("_i")).unionAll(pairs.select("b")).distinct()
+    wanted = stored(classes.join(ids, F.col("id") == F.col("_i")).select("id", "doc", "key"), "candidates")
+    # rows that are equal in id and text are of one class; one of them will do
+    texts = read.join(wanted.hint("merge"), (F.col("doc_id") == F.col("doc")) & (F.col("row_key") == F.col("key")))
+    texts = stored(texts.select("id", "text").dropDuplicates(["id"]), "candidate-texts")
     matched = least
     if least < depth:
-        alike = _similarities(links.where(F.col("depth") == least), classes, read, length)
-        matched = shortened(alike, trees, depth, least, similarity, recall)
+        alike, counts = _similarities(pairs, texts, length, similarity)
+        matched = shortened(alike, trees, depth, least, similarity, recall, counts)
     groups = stored(components(links.where(F.col("depth") == matched).select("a", "b")), "candidate-groups")
 
     sizes = stored(groups.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("members")), "group-sizes")
     members = (groups.join(sizes, F.col("component") == F.col("_c")).select("id", "component", "members")
-               .join(classes.select("id", "doc", "key", "copies"), "id"))
-    # rows that are equal in id and text are of one class; one of them will do
-    texts = read.join(members, (F.col("doc_id") == F.col("doc")) & (F.col("row_key") == F.col("key")))
-    texts = texts.select("id", "component", "members", "copies", "text").dropDuplicates(["id", "component"])
-    texts = stored(texts, "candidate-texts")
+               .join(classes.select("id", "copies"), "id"))
+    texts = stored(texts.join(members, "id").select("id", "component", "members", "copies", "text"), "group-texts")
     size = texts.agg(F.sum(F.octet_length("text") * F.ceil(F.col("members") / block))).first()[0] or 0
     dealt = in_blocks(texts, "component", "members", "id", block)
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("component", "lo", "hi"),

@@ -463,6 +463,34 @@ def test_prefixes_are_shortened_as_far_as_the_data_need():
     assert depths == sorted(depths) and depths[0] < depths[-1]
 
 
+def test_recall_is_measured_on_all_matched_pairs(spark, monkeypatch):
+    """2,400 pairs of texts, more than the sample there once was, and each is counted with its similarity."""
+    r = random.Random(6)
+    rows = []
+    for k in range(2400):
+        words = [f"p{k}w{i}" for i in range(40)]
+        rows.append((2 * k, " ".join(words)))
+        for i in range(r.randrange(3)):
+            words[-1 - i] = f"p{k}x{i}"
+        rows.append((2 * k + 1, " ".join(words) + f" end{k}"))
+    seen = []
+
+    def spied(found, trees, depth, least, similarity, recall, counts=None):
+        seen.append(collections.Counter(dict(zip(np.round(found, 3), counts))))
+        return least
+
+    monkeypatch.setattr(forest, "shortened", spied)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = rows_of(forest.near_documents(df), "doc_id", "n_links")
+    texts = dict(rows)
+    want = collections.Counter()
+    for k in range(2400):
+        x, y = ({tuple(w[i: i + 5]) for i in range(len(w) - 4)} for w in (texts[2 * k].split(), texts[2 * k + 1].split()))
+        want[max(0.8, math.floor(len(x & y) / len(x | y) * 1000) / 1000)] += 1
+    assert min(want) > 0.8 and sum(seen[0].values()) == sum(n for _, n in got) / 2 >= 2395
+    assert set(seen[0]) == set(want) and all(0 <= want[s] - n <= 5 for s, n in seen[0].items())
+
+
 @pytest.mark.parametrize("cuts", [(), (3, 7, 8, 20, 60)])
 def test_links_of_the_forest_connect_the_runs_of_each_depth(cuts):
     """Over partitions of sorted strings: links of depth d connect the texts that share d values, and no others."""

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import slices, span_hashes, utf8, word_spans
+from basketry.llm.common import lowered, slices, span_hashes, utf8, word_spans
 
 #: words that a task remembers the tokens of
 CACHE_WORDS = 800_000
@@ -43,13 +44,39 @@ _ASCII_WORD = np.zeros(256, dtype=bool)
 _ASCII_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
+class Numbers:
+    """Numbers by 64-bit hash, in sorted arrays: 12 bytes for each."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray):
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.add(hashes, numbers)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], np.int32(-1))
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Takes up hashes that are not there yet."""
+        by = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[by])
+        self.hashes = np.insert(self.hashes, at, hashes[by])
+        self.numbers = np.insert(self.numbers, at, numbers[by])
+
+
 class WordTokens:
     """Token ids of texts, for a tokenizer that drops white space and works on each stretch between it alone.
 
     A stretch (here: word) is encoded once and remembered under a 64-bit hash
     of its bytes, CACHE_WORDS of them at most (then the memory starts
     afresh). Sentence marks behind an ASCII letter or digit are encoded apart
-    from what they follow: the tokenizer splits there anyway. Words that are
+    from what they follow: the tokenizer splits there anyway. What is left
+    (the stem) and the marks are remembered in the same way. Words that are
     all letters go through the tokenizer many at a time; the ids that end a
     word part them again.
     """
@@ -64,16 +91,20 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.is_mark = np.zeros(256, dtype=bool)
+        self.is_mark[list(self.MARKS)] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.word: dict[int, int] = {}  # number of a word, by its hash
-        self.parts = np.empty((0, 2), np.int64)  # of a word: its stem and its marks
-        self.stem: dict[bytes, int] = {b"": 0}
-        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)  # of a stem's ids, in flat
+        self.word = Numbers(np.empty(0, np.uint64), np.empty(0, np.int32))
+        self.parts = np.empty((0, 2), np.int32)  # of a word: its stem and its marks
+        nothing = span_hashes(np.empty(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))
+        self.stem = Numbers(nothing, np.zeros(1, np.int32))
+        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int32)  # of a stem's ids, in flat
         self.flat = np.empty(0, np.uint32)
 
-    def _encode(self, stems: list[bytes]) -> None:
+    def _encode(self, stems: list[bytes]) -> np.ndarray:
+        """Takes up the ids of these stems; their numbers."""
         texts = [s.decode("utf-8", "replace") for s in stems]
         plain = [k for k, t in enumerate(texts) if t.isalpha()]
         alone = [k for k, t in enumerate(texts) if not t.isalpha()]
@@ -98,50 +129,66 @@ class WordTokens:
             lengths.append(np.fromiter(map(len, own), np.int64, len(own)))
             flat.append(np.fromiter(itertools.chain.from_iterable(own), np.uint32))
         length = np.concatenate(lengths)
-        self.stem.update((stems[k], n) for n, k in enumerate(order, len(self.stem)))
+        numbers = np.empty(len(stems), np.int32)
+        numbers[order] = np.arange(len(self.start), len(self.start) + len(order))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
+        self.length = np.concatenate((self.length, length.astype(np.int32)))
         self.flat = np.concatenate(flat)
-
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        stems, marks = [], []
-        for w in words:
-            stem = w.rstrip(self.MARKS)
-            if len(stem) < len(w) and stem and _ASCII_WORD[stem[-1]]:
-                marks.append(w[len(stem):])
-            else:
-                stem = w
-                marks.append(b"")
-            # lower case comes first in the tokenizer too, but for its special tokens
-            stems.append(stem.lower() if stem.isascii() and b"<|" not in stem else stem)
-        if need := [p for p in {*stems, *marks} if p not in self.stem]:
-            self._encode(need)
-        stem = self.stem
-        new = np.array([[stem[a] for a in stems], [stem[b] for b in marks]], dtype=np.int64).T
-        self.parts = np.concatenate((self.parts, new))
-        self.word.update(zip(hashes, range(len(self.word), len(self.parts))))
+        return numbers
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Takes up the words data[start:end], which have these hashes."""
+        cut, live = end.copy(), np.arange(len(end))  # where the marks begin
+        while len(live):
+            live = live[self.is_mark[data[cut[live] - 1]]]
+            cut[live] -= 1
+            live = live[cut[live] > start[live]]
+        apart = (cut < end) & (cut > start)
+        apart[apart] = _ASCII_WORD[data[cut[apart] - 1]]
+        cut = np.where(apart, cut, end)
+        # lower case comes first in the tokenizer too, but for its special tokens
+        odd = np.concatenate(([0], np.cumsum(data >= 0x80)))
+        special = np.concatenate(([0], np.cumsum((data[:-1] == ord("<")) & (data[1:] == ord("|"))), [0]))
+        special[-1] = special[-2]
+        whole = (odd[cut] > odd[start]) | (special[cut - 1] > special[start])
+        low = lowered(data)
+        stems = np.where(whole, span_hashes(data, start, cut), span_hashes(low, start, cut))
+        marks = span_hashes(data, cut, end)
+        known, first, own = np.unique(np.concatenate((stems, marks)), return_index=True, return_inverse=True)
+        missing = self.stem.find(known) < 0
+        if missing.any():
+            first = first[missing]
+            raw, plain, n = data.tobytes(), low.tobytes(), len(start)
+            a, b = np.concatenate((start, cut))[first], np.concatenate((cut, end))[first]
+            kept = np.concatenate((whole, np.ones(n, bool)))[first]
+            self.stem.add(known[missing], self._encode([
+                (raw if k else plain)[i: j] for i, j, k in zip(a.tolist(), b.tolist(), kept.tolist())]))
+        numbers = np.arange(len(self.parts), len(self.parts) + len(hashes), dtype=np.int32)
+        self.parts = np.concatenate((self.parts, self.stem.find(known)[own].reshape(2, -1).T))
+        self.word.add(hashes, numbers)
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds of ids) of the rows data[bounds[i]:bounds[i + 1]]."""
         start, end, first = word_spans(data, bounds)
         code, hashes = pd.factorize(span_hashes(data, start, end))
-        hashes = hashes.tolist()
-        number = [self.word.get(h, -1) for h in hashes]
-        if new := number.count(-1):
+        by = np.argsort(hashes)  # sorted ones are found much faster
+        hashes, rank = hashes[by], np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        code = rank[code]
+        number = self.word.find(hashes)
+        if new := int((number < 0).sum()):
             if len(self.word) + new > CACHE_WORDS:
                 self._forget()
-                number = [-1] * len(hashes)
+                number = np.full(len(hashes), -1, np.int32)
             example = np.empty(len(hashes), np.int64)
             example[code] = np.arange(len(code))
-            missing = [k for k, n in enumerate(number) if n < 0]
+            missing = number < 0
             at = example[missing]
-            raw = data.tobytes()
-            self._learn([hashes[k] for k in missing],
-                        [raw[a: b] for a, b in zip(start[at].tolist(), end[at].tolist())])
-            number = [self.word[h] for h in hashes]
-        stems = self.parts[np.array(number, dtype=np.int64)[code]].ravel()
+            self._learn(hashes[missing], data, start[at], end[at])
+            number = self.word.find(hashes)
+        stems = self.parts[number[code]].ravel()
         n = self.length[stems]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.arange(total) + np.repeat(self.start[stems] - (ends - n), n)]
         return ids, np.concatenate(([0], ends[1::2]))[first]
@@ -262,6 +309,7 @@ class Packer:
 @functools.lru_cache(maxsize=1)
 def _words(path: str) -> WordTokens:
     """One for all tasks that a Python worker runs."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks beside this one use the other cores
     return WordTokens(path)
 
 
